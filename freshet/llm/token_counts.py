@@ -144,13 +144,7 @@ class PrefixCounter:
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The changes of texts whose special strings, if any, are taken as ordinary characters."""
-        units = [UNIT.findall(t) for t in texts]
-        new = self.kept.missing({u for one in units for u in one})
-        self.learn(new)
-        get = self.kept.new.__getitem__
-        out = [b"".join(map(get, one)) for one in units]
-        self.kept.forget_long(new)
-        return out
+        return [b"".join(found) for found in self.kept.look_up([UNIT.findall(t) for t in texts], self.learn)]
 
     def special(self, text: str) -> bytes:
         """The changes of a text with special strings: each is ordinary until its last character makes it one token."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -17,7 +18,7 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 SPACE_RUN = re.compile(f"[{SPACES}]*")
 #: Units that a worker keeps, and the longest that it keeps.
-KEPT_UNITS, KEPT_LENGTH = 400_000, 64
+KEPT_UNITS, KEPT_LENGTH = 600_000, 64
 DEFAULT = "byte_bpe_50k.json"
 
 
@@ -48,25 +49,32 @@ class Kept:
     def __init__(self, most: int = KEPT_UNITS):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys without an entry; entries of the others are made new."""
+    def look_up(self, lists: list[list[str]], learn: Callable[[list[str]], None]) -> list[list[bytes]]:
+        """The entry of every key; `learn` gets the keys without one, once each, and puts their entries into `new`."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        if len(new) > self.most:
-            self.new, self.old = {}, new
-            new, old = self.new, self.old
-        out = []
-        for k in keys - new.keys():
-            found = old.get(k)
-            if found is None:
-                out.append(k)
-            else:
-                new[k] = found
-        return out
-
-    def forget_long(self, keys: list[str]) -> None:
-        for k in keys:
-            if len(k) > KEPT_LENGTH:
-                del self.new[k]
+        found = [list(map(new.get, keys)) for keys in lists]
+        holes, todo = [], {}
+        for keys, values in zip(lists, found, strict=True):
+            if None in values:
+                for i, v in enumerate(values):
+                    if v is None:
+                        k = keys[i]
+                        v = old.get(k)
+                        if v is None:
+                            holes.append((values, i, k))
+                            todo[k] = None
+                        else:
+                            values[i] = new[k] = v
+        if todo:
+            learn(list(todo))
+            for values, i, k in holes:
+                values[i] = new[k]
+            for k in todo:
+                if len(k) > KEPT_LENGTH:
+                    del new[k]
+        return found
 
 
 class UnitEncoder:
@@ -104,13 +112,9 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
-        units = [None if any(s in t for s in self.specials) else UNIT.findall(t) for t in texts]
-        new = self.kept.missing({u for one in units if one for u in one})
-        self.learn(new)
-        get = self.kept.new.__getitem__
-        out = [self.whole(t) if one is None else b"".join(map(get, one)) for t, one in zip(texts, units, strict=True)]
-        self.kept.forget_long(new)
-        return out
+        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
+        plain = iter(self.kept.look_up([UNIT.findall(t) for i, t in enumerate(texts) if i not in odd], self.learn))
+        return [self.whole(t) if i in odd else b"".join(next(plain)) for i, t in enumerate(texts)]
 
 
 _encoders: dict[str, UnitEncoder] = {}

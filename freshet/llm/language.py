@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.storage import shipped
 from freshet.llm.textops import chunks
@@ -188,23 +189,26 @@ def fit(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Network | None:
     return train(np.stack(segments)[order], np.array(target)[order], languages)
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """A row per row of docs: doc_id, lang_pred and score."""
-    letters = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
+def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row per row of docs: the columns `keep` (doc_id by default), lang_pred and score."""
+    letters = docs.select(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col("text").alias("_text"), *[c for c in keep if c != "text"])
+    kept = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in keep]
     if net is None:
-        return letters.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return letters.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = T.StructType([f for f in letters.schema if f.name not in ("_letters", "_text") or f.name == "_text" and "text" in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.languages, UNKNOWN], object)
         for batch in batches:
-            for rows, data, offsets in chunks(batch, most=CHUNK):
+            for rows, data, offsets in chunks(batch, "_text", most=CHUNK):
                 found = net.documents(data, offsets)
-                has = rows.column(1).to_numpy(zero_copy_only=False)
+                has = rows.column(0).to_numpy(zero_copy_only=False)
                 best = np.where(has, found.argmax(axis=1), len(net.languages))
                 scores = np.where(has, np.clip(found.max(axis=1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names[best], pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+                columns = [rows.column(rows.schema.get_field_index(f.name)) for f in schema.fields[:-2]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(scores)], names=schema.names)
 
-    return shipped(letters).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return shipped(letters).mapInArrow(work, schema).select(*kept, "lang_pred", "score")
 
 
 def op3_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:

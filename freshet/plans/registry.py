@@ -25,3 +25,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["k9_by_factor"](spark, sf_dir)
+
+
+def load() -> None:
+    """Registers the queries of all plan modules."""
+    from freshet.plans import summaries  # noqa: F401

@@ -6,7 +6,8 @@ candidates. At similarity 0.75 a pair shares no band with probability (1 - 0.75^
 
 Candidates are not expanded into all pairs of a band. First each band's members are compared with one centre: the member
 that shares bands with the most others, which in a group of near copies is the text they derive from. What is confirmed
-joins components. Then only pairs of different components within a band are compared, without those already done.
+joins components. Then only pairs of different components within a band are compared, without those already done; in
+bands of more than SMALL_BAND members, only pairs that `across_hub` can't rule out.
 
 A comparison looks at 32 minima at a time. With a uniform prior, the chance that the similarity reaches the threshold
 after m of n agree is P(Binomial(n + 1, threshold) <= m); the pair is pruned as soon as that falls below MISS. Survivors
@@ -24,7 +25,7 @@ from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.components import components
@@ -36,6 +37,8 @@ THRESHOLD_PERCENT = 75
 BANDS, ROWS = 64, 6
 HASHES = BANDS * ROWS
 BATCH = 32
+#: Members up to which all pairs of different components within a band are compared; beyond, see `across_hub`.
+SMALL_BAND = 32
 #: Chance at which a pair at the threshold may be pruned, for each look.
 MISS = 1e-6
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -131,6 +134,18 @@ def explode_bands(classes: DataFrame) -> DataFrame:
     return shipped(classes.select("id", "signature")).mapInArrow(work, "key long, id long")
 
 
+def set_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """For rows (a, b, text_a, text_b): some rows, the index of one of them, and the shingle sets of its two texts."""
+    for batch in batches:
+        for rows, data, offsets in chunks(batch, "text_a"):
+            at, (left, left_sets) = 0, shingle_sets(data, offsets)
+            for other, other_data, other_offsets in chunks(rows, "text_b"):
+                right, right_sets = shingle_sets(other_data, other_offsets)
+                for k in range(other.num_rows):
+                    yield other, k, left[left_sets[at + k] : left_sets[at + k + 1]], right[right_sets[k] : right_sets[k + 1]]
+                at += other.num_rows
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class representatives that are similar enough: pruned on signatures, then verified on texts."""
     sides = [classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab"]
@@ -146,24 +161,58 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in chunks(batch, "text_a"):
-                at = 0
-                left, left_sets = shingle_sets(data, offsets)
-                for other, other_data, other_offsets in chunks(rows, "text_b"):
-                    right, right_sets = shingle_sets(other_data, other_offsets)
-                    linked = []
-                    for k in range(other.num_rows):
-                        x, y = left[left_sets[at + k] : left_sets[at + k + 1]], right[right_sets[k] : right_sets[k + 1]]
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        linked.append(both > 0 and 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both))
-                    at += other.num_rows
-                    yield other.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+        for rows, k, x, y in set_pairs(batches):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both > 0 and 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both):
+                yield rows.slice(k, 1).select([0, 1])
 
     wide = alive.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return written(shipped(wide.select("a", "b", "text_a", "text_b")).mapInArrow(verify, "a long, b long"), "links")
 
 
+def across_hub(members: DataFrame, of_class: DataFrame, degrees: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) among the members of large bands that may be similar across components, without comparing all of them.
+
+    members: key, id, component. A component's hub is its vertex with most candidates, and the hub of a band is the greatest
+    hub of its members' components. With o shingles in common with the hub, two members have at most
+    min(o_a, o_b) + (shingles that both have and the hub hasn't) in common. So a pair at the threshold of 3/4, which has 3/7 (n_a + n_b) in common at least, either satisfies
+    7 min(o_a, o_b) >= 3 (n_a + n_b) or shares a shingle that the hub hasn't. A pair across components has a member that
+    isn't in the hub's: a stray. Strays look the first kind up by size (few sizes are left, as a stray has little in common
+    with the hub) and the second by shingle. A stray that lacks k of the 3/4 n_a shingles that it must share has to find k
+    among those that the hub hasn't, so all but its k - 1 most frequent ones are enough to look up.
+    """
+    best = F.max(F.struct("degree", (-F.col("id")).alias("m")))
+    hubs = degrees.join(of_class, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(best.alias("top"))
+    hubs = written(hubs.select("component", "top.degree", (-F.col("top.m")).alias("hub")), "hubs")
+    chosen = members.join(hubs, "component").groupBy("key").agg(F.max(F.struct("degree", (-F.col("hub")).alias("m"), F.col("component").alias("home"))).alias("top"))
+    chosen = written(chosen.select("key", (-F.col("top.m")).alias("hub"), "top.home"), "chosen")
+    members = written(members.join(chosen, "key").select("id", "component", "home", "hub").distinct(), "hub-members")
+    spokes = members.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    ids = written(spokes.select(F.col("a").alias("id")).union(spokes.select("b")).distinct(), "ids")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, k, x, y in set_pairs(batches):
+            rest = np.setdiff1d(x, y, assume_unique=True)
+            yield pa.RecordBatch.from_arrays([rows.column(0).slice(k, 1), rows.column(1).slice(k, 1), pa.array([len(x)], pa.int64()), pa.array([len(x) - len(rest)], pa.int64()), pa.array([rest.view(np.int64)], pa.list_(pa.int64()))], names=["id", "hub", "n", "o", "rest"])
+
+    wide = spokes.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    measured = shipped(wide.select("a", "b", "text_a", "text_b")).mapInArrow(measure, "id long, hub long, n long, o long, rest array<long>")
+    measured = written(measured.join(members, ["id", "hub"]), "measured")
+    strays = measured.filter("component <> home").select("hub", F.col("id").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"), F.col("o").alias("o_a"), F.col("rest").alias("rest_a"))
+    least = F.ceil(F.col("n_a") * THRESHOLD_PERCENT / 100).cast("long")
+    most = F.least(F.floor(F.col("n_a") * 100 / THRESHOLD_PERCENT), F.floor(F.col("o_a") * 7 / 3 - F.col("n_a"))).cast("long")
+    sized = strays.filter(least <= most).select("hub", "a", "component_a", "n_a", F.explode(F.sequence(least, most)).alias("n"))
+    alike = sized.join(measured.select("hub", "id", "component", "n", "o"), ["hub", "n"]).filter("component <> component_a AND 7 * o >= 3 * (n + n_a)")
+    tokens = measured.select("hub", "id", "component", F.explode("rest").alias("token"))
+    common = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df"))
+    short = F.greatest(F.ceil(F.col("n_a") * THRESHOLD_PERCENT / 100) - F.col("o_a"), F.lit(1))
+    asked = strays.select("hub", "a", "component_a", (F.size("rest_a") - short + 1).alias("prefix"), F.explode("rest_a").alias("token")).join(common, ["hub", "token"])
+    rarest = F.row_number().over(Window.partitionBy("hub", "a").orderBy("df", "token"))
+    extra = asked.withColumn("nth", rarest).filter("nth <= prefix AND df > 1").join(tokens, ["hub", "token"]).filter("component <> component_a")
+    return alike.select("a", "id").union(extra.select("a", "id")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles and component_id."""
     sketched = written(sketch(docs), "sketches")
@@ -186,10 +235,14 @@ def near_components(docs: DataFrame) -> DataFrame:
     placed = members.select("key", "id").join(of_class, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "mixed")
-    mixed = placed.join(mixed, "key").join(centres, "key")
-    mixed = written(mixed.filter("id <> centre").select("key", "id", "component"), "mixed")
-    other = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    crossed = mixed.withColumnRenamed("id", "a").join(other, "key").filter("a < b AND component <> component_b").select("a", "b").distinct()
+    mixed = written(placed.join(mixed, "key").join(shared, "key").select("key", "id", "component", "n"), "mixed")
+    few = mixed.filter(F.col("n") <= SMALL_BAND)
+    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
+    crossed = few.withColumnRenamed("id", "a").join(other, "key").filter("a < b AND component <> component_b").select("a", "b")
+    many = mixed.filter(F.col("n") > SMALL_BAND).select("key", "id", "component")
+    if not many.isEmpty():
+        crossed = crossed.unionByName(across_hub(many, of_class, degrees, docs))
+    crossed = crossed.distinct()
     crossed = written(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
     if not crossed.isEmpty():
         more = confirmed(crossed, classes, docs)

@@ -50,15 +50,18 @@ def accumulate(nodes: DataFrame, reach: DataFrame, value: str) -> DataFrame:
 def distance_to_outfall(nodes: DataFrame, edges: DataFrame, outfalls: DataFrame, length: str = "length") -> DataFrame:
     """The least length of a path to any outfall, NULL without one: relaxation from all outfalls at once, in which only
     nodes that came closer in a round are looked at in the next."""
+    spark = edges.sparkSession
+    cut = spark.conf.get("spark.checkpoint.dir", None) is not None
     steps = edges.select("from_node", "to_node", F.coalesce(length, F.lit(0)).cast("double").alias("w")).persist()
-    best = outfalls.select("node_id").withColumn("distance", F.lit(0.0)).persist()
-    frontier = best
-    while not frontier.isEmpty():
-        offers = steps.join(frontier, F.col("to_node") == F.col("node_id")).groupBy(F.col("from_node").alias("node_id")).agg(F.min(F.col("w") + F.col("distance")).alias("offer"))
-        closer = offers.join(best, "node_id", "left").filter(F.col("distance").isNull() | (F.col("offer") < F.col("distance")))
-        frontier = closer.select("node_id", F.col("offer").alias("distance")).persist()
-        best = best.join(frontier.select("node_id"), "node_id", "left_anti").unionByName(frontier).persist()
-    return nodes.select("node_id").join(best, "node_id", "left")
+    best = outfalls.select("node_id", F.lit(0.0).alias("distance"), F.lit(True).alias("new"))
+    while not best.filter("new").isEmpty():
+        front = best.filter("new").select(F.col("node_id").alias("to_node"), "distance")
+        offers = steps.join(front, "to_node").select(F.col("from_node").alias("node_id"), (F.col("w") + F.col("distance")).alias("distance"), F.lit(True).alias("new"))
+        both = best.withColumn("new", F.lit(False)).unionByName(offers)
+        # the least distance wins; at equal distances an old one, so that nothing is looked at twice
+        best = both.groupBy("node_id").agg(F.min(F.struct("distance", "new")).alias("m")).select("node_id", "m.distance", "m.new")
+        best = best.checkpoint() if cut else best.persist()
+    return nodes.select("node_id").join(best.select("node_id", "distance"), "node_id", "left")
 
 
 def incoming_capacity(nodes: DataFrame, edges: DataFrame) -> DataFrame:

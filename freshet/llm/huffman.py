@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.storage import shared_dir, shipped, written
+from freshet.llm.textops import CHUNK_BYTES, chunks, text_bytes
 from freshet.llm.tokens import default_path, encoder
 
 END_ID = 2
@@ -144,18 +145,22 @@ def unpack_bits(payload: np.ndarray, n_ids: np.ndarray, checkpoints: np.ndarray,
     return out
 
 
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A column of binary values that are stretches of one buffer."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """A row per row of docs: doc_id and ids (packed, with the end)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        end = own.pack([end_id])
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(at, ROWS_AT_ONCE)
-                ids = [x + end for x in own.encode(rows.column(1).to_pylist())]
-                size = own.dtype().itemsize
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // size for x in ids], pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_ids", "ids"])
+            for rows, data, offsets in chunks(batch, most=CHUNK_BYTES // 2):
+                ids, counts = own.encode(data, offsets)
+                out = np.full(len(ids) + len(counts), end_id, own.dtype)
+                out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((counts + 1).astype(np.int32)), binaries(out.view(np.uint8), np.r_[0, np.cumsum(counts + 1)] * out.itemsize)], names=["doc_id", "n_ids", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return shipped(slim).mapInArrow(work, "doc_id long, n_ids int, ids binary")
@@ -167,8 +172,7 @@ def count_ids(encoded: DataFrame, dtype: str, size: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4 * ROWS_AT_ONCE):
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 4 * ROWS_AT_ONCE).to_pylist()), dtype), minlength=size)
+            total += np.bincount(text_bytes(batch.column(0))[0].view(dtype), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
@@ -205,12 +209,10 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
-                ids = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype)
+                ids = text_bytes(rows.column(3))[0].view(dtype)
                 offsets = np.r_[0, np.cumsum(rows.column(2).to_numpy())]
                 packed, ends, marks, mark_ends = pack_bits(ids, offsets, codes, small)
-                payload = [packed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                checkpoints = [marks[a:b].tobytes() for a, b in zip(mark_ends[:-1], mark_ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(payload, pa.binary()), pa.array(checkpoints, pa.binary())], names=["shard", "doc_id", "n_ids", "payload", "checkpoints"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), binaries(packed, ends), binaries(marks.view(np.uint8), 2 * mark_ends)], names=["shard", "doc_id", "n_ids", "payload", "checkpoints"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first, held, ids = None, 0, 0, [], 0

@@ -26,19 +26,19 @@ def windowed(events: DataFrame, width: str = "1 day", slide: str | None = None,
     return sums.select(F.col("w.start").alias("start"), "event_type", "n", "peak")
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, peak, total = state.get if state.exists else (0, float("-inf"), 0.0)
-    for batch in batches:
-        n += len(batch)
-        peak = max(peak, float(batch["value"].max()))
-        total += float(batch["value"].sum())
-    state.update((n, peak, total))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "peak": [peak], "total": [total]})
-
-
 def running_peaks(events: DataFrame) -> DataFrame:
     """Count, peak and total of each user so far, emitted whenever they change; the state is three numbers a user."""
-    return events.groupBy("user_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, peak, total = state.get if state.exists else (0, float("-inf"), 0.0)
+        for batch in batches:
+            n += len(batch)
+            peak = max(peak, float(batch["value"].max()))
+            total += float(batch["value"].sum())
+        state.update((n, peak, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "peak": [peak], "total": [total]})
+
+    return events.groupBy("user_id").applyInPandasWithState(advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:

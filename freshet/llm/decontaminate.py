@@ -80,7 +80,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     small = F.broadcast if facts["n"] <= MAX_BROADCAST_SHINGLES else lambda df: df
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), word_hashes(F.col("text")).alias("h"))
-    runs = F.flatten(F.array(*[F.transform(shingles(F.col("h"), k), lambda g, i, k=k: F.struct(F.lit(k).alias("width"), i.alias("pos"), g.alias("gram"))) for k in widths])) if len(widths) > 1 else None
+    tagged = lambda k: F.transform(shingles(F.col("h"), k), lambda g, i: F.struct(F.lit(k).alias("width"), i.alias("pos"), g.alias("gram")))
+    runs = F.flatten(F.array(*[tagged(k) for k in widths])) if len(widths) > 1 else None
     if runs is None:
         seen = keyed.select("doc_id", "doc_key", F.size("h").alias("n_words"), F.posexplode(shingles(F.col("h"), widths[0])).alias("pos", "gram")).withColumn("width", F.lit(widths[0]))
     else:

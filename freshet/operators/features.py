@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The feature contract, in order: name, may be null.
+#: The feature contract, in order (name, may be null).
 FEATURES = [
     ("elev_fondo", False), ("prof_max", False), ("n_tuberias_in", False), ("n_tuberias_out", False), ("diam_max_in", True), ("diam_max_out", True), ("pendiente_max_in", True),
     ("pendiente_out", True), ("base_inflow_lps", False), ("dist_outfall_m", True), ("n_nodos_aguas_arriba", False), ("q_pico_acum_base", False), ("upstream_capacity_lps", True),

@@ -21,7 +21,7 @@ def closure(edges: DataFrame, checkpoint: bool | None = None) -> DataFrame:
     """(ancestor, node) for every path, by doubling: paths of up to 2^k edges join with themselves. Distinct pairs only, so
     diamonds don't multiply paths and cycles end; a node on a cycle isn't its own ancestor."""
     spark = edges.sparkSession
-    cut = spark.conf.get("spark.checkpoint.dir", None) is not None if checkpoint is None else checkpoint
+    cut = spark.sparkContext.getCheckpointDir() is not None if checkpoint is None else checkpoint
     reach = edges.select(F.col("from_node").alias("ancestor"), F.col("to_node").alias("node")).filter("ancestor <> node").distinct()
     known = reach.count()
     for _ in range(ROUNDS):
@@ -51,7 +51,7 @@ def distance_to_outfall(nodes: DataFrame, edges: DataFrame, outfalls: DataFrame,
     """The least length of a path to any outfall, NULL without one: relaxation from all outfalls at once, in which only
     nodes that came closer in a round are looked at in the next."""
     spark = edges.sparkSession
-    cut = spark.conf.get("spark.checkpoint.dir", None) is not None
+    cut = spark.sparkContext.getCheckpointDir() is not None
     steps = edges.select("from_node", "to_node", F.coalesce(length, F.lit(0)).cast("double").alias("w")).persist()
     best = outfalls.select("node_id", F.lit(0.0).alias("distance"), F.lit(True).alias("new"))
     while not best.filter("new").isEmpty():

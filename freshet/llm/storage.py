@@ -17,9 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.gettempdir()}/freshet-shared"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return f"file://{tempfile.gettempdir()}/freshet-shared"
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -29,8 +27,15 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text in one Arrow batch: at Spark's default of 10,000, a batch of long texts is as large as a worker's share of memory.
+BATCH_SETTING, DEFAULT_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def shipped(df: DataFrame) -> DataFrame:
-    """The frame itself, after this package has been sent to the executors (once a session) for the Python functions that follow."""
+    """The frame itself, after this package has been sent to the executors (once a session) for the Python functions that
+    follow; Arrow batches get smaller unless their size has been chosen."""
+    if df.sparkSession.conf.get(BATCH_SETTING) == DEFAULT_ROWS:
+        df.sparkSession.conf.set(BATCH_SETTING, ROWS)
     context = df.sparkSession.sparkContext
     if not getattr(context, "_freshet_shipped", False):
         root = Path(__file__).resolve().parent.parent

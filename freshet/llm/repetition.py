@@ -2,7 +2,7 @@
 
 N-grams of five to ten words are hashed by rolling (prefix-sum) hashes in numpy; a word is covered by length n if it lies
 in an n-gram that has occurred before in the same text. A text fails a length if covered characters exceed the length's
-share of all word characters, and fails on lines if repeated lines or their characters exceed theirs. The base counts
+share of all word characters, and fails on lines if characters in repeated lines exceed theirs. The base counts
 (words, symbols, repeated lines, words in five-word windows that are found twice) come from the same arrays.
 
 Equality is that of 64-bit hashes within one text. Defined cases: a null text counts as empty and fails the base (fewer
@@ -23,8 +23,8 @@ from freshet.llm.textops import BYTE_VALUE, BYTES, RUNS, SPACE, chunks, owners,
 
 #: n: percent of word characters that may lie in n-grams seen before.
 COVERAGE_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
-#: Percent of lines, and of word characters in lines, that may repeat an earlier line.
-LINE_LIMIT, LINE_CHARS_LIMIT = 30, 20
+#: Percent of word characters that may lie in lines that repeat an earlier one.
+LINE_CHARS_LIMIT = 20
 MIN_WORDS, REPEAT_WORDS_LIMIT, REPEAT_WINDOW = 10, 20, 5
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -100,7 +100,7 @@ def repetition(docs: DataFrame) -> DataFrame:
 
     counts = shipped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_WORDS_LIMIT * F.col("n_words"))
-    bad = (100 * F.col("n_dup_lines") > LINE_LIMIT * F.col("n_lines")) | (100 * F.col("dup_line_chars") > LINE_CHARS_LIMIT * F.col("word_chars"))
+    bad = 100 * F.col("dup_line_chars") > LINE_CHARS_LIMIT * F.col("word_chars")
     for n, limit in COVERAGE_LIMITS.items():
         bad |= 100 * F.col(f"covered_{n}") > limit * F.col("word_chars")
     return counts.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~bad)
@@ -149,7 +149,7 @@ WITH t AS (
     + " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in COVERAGE_LIMITS)
     + """
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
-SELECT *, NOT base_failed AND NOT (100 * n_dup_lines > 30 * n_lines OR 100 * dup_line_chars > 20 * word_chars OR """
+SELECT *, NOT base_failed AND NOT (100 * dup_line_chars > 20 * word_chars OR """
     + " OR ".join(f"100 * covered_{n} > {limit} * word_chars" for n, limit in COVERAGE_LIMITS.items())
     + ") AS kept FROM b",
 }

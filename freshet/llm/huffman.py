@@ -156,7 +156,7 @@ def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for rows, data, offsets in chunks(batch, most=CHUNK_BYTES // 2):
+            for rows, data, offsets in chunks(batch, most=2 * CHUNK_BYTES):
                 ids, counts = own.encode(data, offsets)
                 out = np.full(len(ids) + len(counts), end_id, own.dtype)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids

@@ -15,7 +15,7 @@ about (WIDTH - grain) / 2 bytes apart.
    A head's own length comes from its front code. The merge's prefixes are those of neighbours in suffix order.
 4. A neighbour that agrees on R bytes to the right and L to the left repeats the strings that start j bytes before the
    anchor, WIDTH - R <= j <= L. No anchor can repeat a string outside of WIDTH - max R <= j <= max L. Where these bounds
-   leave a j open (contexts that several others share in part), the strings themselves are grouped by digest.
+   leave a j open (contexts that several others share in part), the strings themselves are grouped by digest (`settle`).
 
 Defined cases: a null text counts as empty; texts that repeat (rows that repeat too) remove each other if they have WIDTH
 bytes; bytes are UTF-8 and cuts may fall within characters; an empty table gives an empty result; columns other than
@@ -40,10 +40,11 @@ from freshet.llm.textops import BYTE_VALUE, BYTES, chunks
 WIDTH = 400
 #: Classes that a range of the merge holds, about, and samples for each splitter.
 RANGE_CLASSES, SAMPLES = 40_000, 8
+MAX_BROADCAST_CLASSES = 200_000
 
 
 def grain_of(width: int) -> int:
-    return max(1, 2 * width // 5)
+    return max(1, width // 4)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, grain: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,104 +145,134 @@ class LoserTree:
                 node //= 2
 
 
-def agreement(a: bytes, head_a: int, b: bytes, head_b: int, shared: int) -> tuple[int, int, int]:
-    """Of two keys (a head of the given length, then a tail) that share a prefix: an upper bound of what any key between
-    them shares with a's head, and what the two heads and the two tails share."""
-    return min(shared, head_a), min(shared, head_a, head_b), shared_prefix(a[head_a:], b[head_b:])
+def suffix_sort(entries: DataFrame, right_first: bool, n_ranges: int) -> DataFrame:
+    """entries: d0, d1 (class), right, left, place (a digest of where it stands), several -> a row per class in suffix order
+    over ranges (SORTED): whether it stands in several places, its key (first context, then the other; only kept for the
+    first sort and for edges of ranges), and for the class before and the one behind: a bound (no class beyond agrees on
+    more of the first context), and what they agree on to the right and to the left.
 
-
-def neighbours(classes: DataFrame, right_first: bool, n_ranges: int) -> DataFrame:
-    """classes: d0, d1, right, left -> for each class and each neighbour in suffix order: d0, d1, bound, right_agrees,
-    left_agrees. bound: no class agrees on more of the first context."""
-    spark = classes.sparkSession
-    head, tail = ("right", "left") if right_first else ("left", "right")
-    keyed = classes.select("d0", "d1", F.length(head).cast("int").alias("head"), F.concat(head, tail).alias("key"))
+    Entries of one class are merged within a task's run before the exchange, and within a range behind it."""
+    spark = entries.sparkSession
+    first, second = ("right", "left") if right_first else ("left", "right")
+    keyed = entries.select("d0", "d1", F.length(first).cast("int").alias("head"), "place", "several", F.concat(first, second).alias("key"))
     splitters: list[bytes] = []
     if n_ranges > 1:
-        share = min(1.0, SAMPLES * n_ranges / (RANGE_CLASSES * (n_ranges - 1)))
-        picked = keyed.filter(F.pmod("d1", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key").toArrow()["key"].to_pylist()
-        picked = sorted(set(picked))
+        share = min(1.0, SAMPLES / RANGE_CLASSES)
+        picked = sorted(set(keyed.filter(F.pmod("d1", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key").toArrow()["key"].to_pylist()))
         splitters = sorted({picked[len(picked) * k // n_ranges] for k in range(1, n_ranges)}) if picked else []
 
+    def joined(group: dict, d0: int, d1: int, head: int, place: int, several: bool) -> None:
+        """Adds an entry to the classes of one key."""
+        known = group.setdefault((d0, d1), [head, place, several])
+        known[2] = known[2] or several or known[1] != place
+
     def make_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d0, d1, heads, keys = (c.to_pylist() for c in batch.columns)
+            d0, d1, heads, places, several, keys = (c.to_pylist() for c in batch.columns)
             order = sorted(range(len(keys)), key=keys.__getitem__)
+            rows: list[tuple] = []
+            at = 0
+            while at < len(order):
+                key, group = keys[order[at]], {}
+                while at < len(order) and keys[order[at]] == key:
+                    i = order[at]
+                    joined(group, d0[i], d1[i], heads[i], places[i], several[i])
+                    at += 1
+                rows += [(*c, *facts, key) for c, facts in group.items()]
             cut = 0
-            while cut < len(order):
-                k = bisect_right(splitters, keys[order[cut]])
+            while cut < len(rows):
+                k = bisect_right(splitters, rows[cut][5])
                 to = cut
-                while to < len(order) and (k == len(splitters) or keys[order[to]] < splitters[k]):
+                while to < len(rows) and (k == len(splitters) or rows[to][5] < splitters[k]):
                     to += 1
-                part = order[cut:to]
-                shared, rests = front_code([keys[i] for i in part])
-                row = {"range": k, "d0": [d0[i] for i in part], "d1": [d1[i] for i in part], "heads": [heads[i] for i in part], "shared": shared, "sizes": [len(r) for r in rests], "rests": b"".join(rests)}
-                yield pa.RecordBatch.from_pylist([row], schema=RUN_SCHEMA)
+                part = rows[cut:to]
+                shared, rests = front_code([r[5] for r in part])
+                columns = [[r[c] for r in part] for c in range(5)]
+                yield pa.RecordBatch.from_pylist([dict(zip(RUN_SCHEMA.names, (k, *columns, shared, [len(r) for r in rests], b"".join(rests)), strict=True))], schema=RUN_SCHEMA)
                 cut = to
 
+    def classes(rows: list[dict]) -> Iterator[tuple]:
+        """Merged runs: (d0, d1, head, several, key, prefix shared with the class before)."""
+        runs = []
+        for row in rows:
+            ends = np.cumsum([0, *row["sizes"]]).tolist()
+            runs.append((row["shared"], [row["rests"][a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
+        group, last, before = {}, None, 0
+        for key, run, i, shared in LoserTree(runs):
+            if key != last:
+                for c, (head, _, several) in group.items():
+                    yield *c, head, several, last, before
+                    before = len(last)
+                group, last, before = {}, key, shared
+            row = rows[run]
+            joined(group, row["d0"][i], row["d1"][i], row["heads"][i], row["places"][i], row["several"][i])
+        for c, (head, _, several) in group.items():
+            yield *c, head, several, last, before
+            before = len(last)
+
+    def compare(a: tuple, b: tuple, shared: int) -> tuple[tuple, tuple]:
+        """What neighbours a and b say about each other: (bound, right, left) for a and for b."""
+        heads = min(shared, a[2], b[2])
+        tails = shared_prefix(a[4][a[2] :], b[4][b[2] :])
+        sides = (heads, tails) if right_first else (tails, heads)
+        return (min(shared, a[2]), *sides), (min(shared, b[2]), *sides)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_range: dict[int, list[dict]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 by_range.setdefault(row["range"], []).append(row)
+        nobody = (None, None, None)
         for k, rows in sorted(by_range.items()):
-            runs = []
-            for row in rows:
-                ends = np.cumsum([0, *row["sizes"]]).tolist()
-                runs.append((row["shared"], [row["rests"][a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
             out: list[tuple] = []
-            first = last = None
-            for key, run, i, shared in LoserTree(runs):
-                row = rows[run]
-                now = (row["d0"][i], row["d1"][i], row["heads"][i], key)
-                if last is None:
-                    first = now
-                else:
-                    out += compare(last, now, shared)
-                last = now
-                if len(out) > 20_000:
-                    yield to_batch(out)
+            held, back, edge = None, nobody, 1
+            for now in classes(rows):
+                if held is not None:
+                    ahead, seen = compare(held, now, now[5])
+                    out.append((*held[:4], held[4] if right_first or edge else None, k, edge, *back, *ahead))
+                    back, edge = seen, None
+                held = now
+                if len(out) > 10_000:
+                    yield to_batch(out, SORTED)
                     out = []
-            for edge, at in ((first, 0), (last, 1)):
-                out.append((edge[0], edge[1], None, None, None, k, at, edge[2], edge[3]))
-            yield to_batch(out)
+            out.append((*held[:5], k, 2 if edge is None else 3, *back, *nobody))
+            yield to_batch(out, SORTED)
 
-    def compare(a: tuple, b: tuple, shared: int) -> list[tuple]:
-        bound_a, heads, tails = agreement(a[3], a[2], b[3], b[2], shared)
-        sides = (heads, tails) if right_first else (tails, heads)
-        return [(a[0], a[1], bound_a, *sides, None, None, None, None), (b[0], b[1], min(shared, b[2]), *sides, None, None, None, None)]
-
-    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NEIGHBOUR_SCHEMA, strict=True)], schema=NEIGHBOUR_SCHEMA)
-
-    runs = shipped(keyed).mapInArrow(make_runs, "range int, d0 array<long>, d1 array<long>, heads array<int>, shared array<int>, sizes array<int>, rests binary")
-    merged = written(runs.repartitionById(len(splitters) + 1, F.col("range")).mapInArrow(merge, "d0 long, d1 long, bound int, right_agrees int, left_agrees int, range int, at int, head int, key binary"), "neighbours")
-    inner = merged.filter("bound IS NOT NULL").select("d0", "d1", "bound", "right_agrees", "left_agrees")
-    if not splitters:
-        return inner
-    # the last class of a range and the first of the next nonempty one are neighbours too
-    used = sorted(r["range"] for r in merged.filter("at = 0").select("range").collect())
-    following = spark.createDataFrame(list(zip(used[:-1], used[1:], strict=True)), "range int, next int") if len(used) > 1 else None
-    if following is None:
-        return inner
-    edge = merged.filter("at IS NOT NULL")
-    lasts = edge.filter("at = 1").select("range", F.col("d0").alias("a0"), F.col("d1").alias("a1"), F.col("head").alias("ah"), F.col("key").alias("ak"))
-    firsts = edge.filter("at = 0").select(F.col("range").alias("next"), F.col("d0").alias("b0"), F.col("d1").alias("b1"), F.col("head").alias("bh"), F.col("key").alias("bk"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs = shipped(keyed).mapInArrow(make_runs, RUN)
+    found = written(runs.repartitionById(len(splitters) + 1, F.col("range")).mapInArrow(merge, SORTED_DDL), "sorted")
+    if splitters:
+        found = found.unionByName(across_ranges(found, compare), allowMissingColumns=True)
+    return found
+
+
+def across_ranges(found: DataFrame, compare) -> DataFrame:
+    """The last class of a range and the first of the next one are neighbours too: rows of d0, d1 and one side."""
+    used = sorted(r["range"] for r in found.filter("edge IN (1, 3)").select("range").collect())  # a number per range
+    following = found.sparkSession.createDataFrame([(a, b) for a, b in zip(used[:-1], used[1:], strict=True)], "range int, next int")
+    side = lambda edge, k: found.filter(F.col("edge").isin(edge, 3)).select(F.col("range").alias("range" if k == "a" else "next"), *[F.col(c).alias(f"{k}_{c}") for c in ("d0", "d1", "head", "key")])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for a0, a1, ah, ak, b0, b1, bh, bk in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out += compare((a0, a1, ah, ak), (b0, b1, bh, bk), shared_prefix(ak, bk))
+                ahead, seen = compare((a0, a1, ah, None, ak), (b0, b1, bh, None, bk), shared_prefix(ak, bk))
+                out += [(a0, a1, *ahead), (b0, b1, *seen)]
             if out:
-                yield to_batch(out).select([0, 1, 2, 3, 4])
+                yield to_batch(out, pa.schema([SORTED.field(n) for n in ("d0", "d1", "next_bound", "next_right", "next_left")]))
+
+    pairs = side(2, "a").join(following, "range").join(side(1, "b"), "next")
+    pairs = pairs.select(*[f"{k}_{c}" for k in "ab" for c in ("d0", "d1", "head", "key")])
+    return pairs.mapInArrow(meet, "d0 long, d1 long, next_bound int, next_right int, next_left int")
 
-    pairs = lasts.join(following, "range").join(firsts, "next").select("a0", "a1", "ah", "ak", "b0", "b1", "bh", "bk")
-    return inner.unionByName(pairs.mapInArrow(across, "d0 long, d1 long, bound int, right_agrees int, left_agrees int"))
 
+def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-RUN_SCHEMA = pa.schema([("range", pa.int32()), ("d0", pa.list_(pa.int64())), ("d1", pa.list_(pa.int64())), ("heads", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("rests", pa.binary())])
-NEIGHBOUR_SCHEMA = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("bound", pa.int32()), ("right_agrees", pa.int32()), ("left_agrees", pa.int32()), ("range", pa.int32()), ("at", pa.int32()), ("head", pa.int32()), ("key", pa.binary())])
+
+RUN = "range int, d0 array<long>, d1 array<long>, heads array<int>, places array<long>, several array<boolean>, shared array<int>, sizes array<int>, rests binary"
+RUN_SCHEMA = pa.schema([("range", pa.int32()), ("d0", pa.list_(pa.int64())), ("d1", pa.list_(pa.int64())), ("heads", pa.list_(pa.int32())), ("places", pa.list_(pa.int64())), ("several", pa.list_(pa.bool_())), ("shared", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("rests", pa.binary())])
+SORTED_DDL = "d0 long, d1 long, head int, several boolean, key binary, range int, edge int, back_bound int, back_right int, back_left int, next_bound int, next_right int, next_left int"
+SORTED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("head", pa.int32()), ("several", pa.bool_()), ("key", pa.binary()), *[(n, pa.int32()) for n in ("range", "edge", "back_bound", "back_right", "back_left", "next_bound", "next_right", "next_left")]])
 
 
 def digest(data: bytes) -> tuple[int, int]:
@@ -267,34 +298,39 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = shipped(keyed.filter(F.octet_length("text") >= width)).mapInArrow(find, "doc_id long, t0 long, t1 long, place long, run long")
     found = written(found.groupBy("run", "t0", "t1", "place").agg(F.min("doc_id").alias("doc_id")), "anchors")
     shared = written(found.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"), "runs")
-    wanted = found.join(shared, "run").groupBy("t0", "t1", "doc_id").agg(F.collect_list(F.struct("place", "run")).alias("places"))
+    wanted = found.join(shared, "run").groupBy("t0", "t1", "doc_id").agg(F.collect_list("place").alias("places"))
     wanted = written(wanted.withColumnsRenamed({"t0": "w0", "t1": "w1", "doc_id": "w"}), "wanted")
     both = keyed.join(wanted, (F.col("t0") == F.col("w0")) & (F.col("t1") == F.col("w1")) & F.col("doc_id").eqNullSafe(F.col("w")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t0", "t1", "place", "run", "d0", "d1", "right", "left"]
+        names = ["t0", "t1", "place", "d0", "d1", "right", "left"]
         for batch in batches:
             for at in range(batch.num_rows):
                 t0, t1, text, places = (batch.column(k)[at].as_py() for k in range(4))
                 text, out = text.encode(), []
-                for p in places:
-                    place = p["place"]
+                for place in places:
                     right, left = text[place : place + width], text[max(0, place - reach) : place][::-1]
-                    out.append((t0, t1, place, p["run"], *digest(right + len(left).to_bytes(4, "little") + left), right, left))
+                    out.append((t0, t1, place, *digest(right + len(left).to_bytes(4, "little") + left), right, left))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n in ("right", "left") else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
-    around = written(shipped(both.select("t0", "t1", "text", "places")).mapInArrow(contexts, "t0 long, t1 long, place long, run long, d0 long, d1 long, right binary, left binary"), "contexts")
-    members = around.select("d0", "d1", "run", "t0", "t1", "place").distinct()
-    classes = written(members.groupBy("d0", "d1", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t0", "t1", "place")).alias("first")), "classes")
-    stands = classes.select("d0", "d1", "n", "first.t0", "first.t1", "first.place")
-    reps = written(around.join(stands, ["d0", "d1", "t0", "t1", "place"]).dropDuplicates(["d0", "d1"]).select("d0", "d1", "run", "n", "right", "left"), "classes-contexts")
-    n_ranges = max(1, -(-reps.count() // RANGE_CLASSES))
-    sides = [neighbours(reps, right_first, n_ranges) for right_first in (True, False)]
-    judged = sides[0].withColumn("side", F.lit(0)).unionByName(sides[1].withColumn("side", F.lit(1)))
-    own = reps.filter("n > 1").select("d0", "d1", F.length("right").alias("right_agrees"), F.length("left").alias("left_agrees"))
-    judged = judged.unionByName(own.select("d0", "d1", F.col("right_agrees").alias("bound"), "right_agrees", "left_agrees", F.lit(0).alias("side")))
-    judged = judged.unionByName(own.select("d0", "d1", F.col("left_agrees").alias("bound"), "right_agrees", "left_agrees", F.lit(1).alias("side")))
-    judged = judged.groupBy("d0", "d1").agg(F.max(F.when(F.col("side") == 0, F.col("bound"))).alias("right_most"), F.max(F.when(F.col("side") == 1, F.col("bound"))).alias("left_most"), F.collect_set(F.struct("right_agrees", "left_agrees")).alias("agree"))
+    around = written(shipped(both.select("t0", "t1", "text", "places")).mapInArrow(contexts, "t0 long, t1 long, place long, d0 long, d1 long, right binary, left binary"), "contexts")
+    entries = around.select("d0", "d1", "right", "left", F.xxhash64("t0", "t1", "place").alias("place"), F.lit(False).alias("several"))
+    by_right = suffix_sort(entries, True, max(1, -(-around.count() // RANGE_CLASSES)))
+    whole = by_right.filter(F.col("key").isNotNull())
+    reps = whole.select("d0", "d1", F.substring("key", F.lit(1), F.col("head")).alias("right"), F.substring("key", F.col("head") + 1, F.length("key")).alias("left"), F.lit(0).cast("long").alias("place"), "several")
+    by_left = suffix_sort(reps, False, max(1, -(-reps.count() // RANGE_CLASSES)))
+    pair = lambda k: F.struct(F.col(f"{k}_right").alias("right_agrees"), F.col(f"{k}_left").alias("left_agrees"))
+    own = F.when(F.col("several"), F.array(F.struct(F.length("right").alias("right_agrees"), F.length("left").alias("left_agrees")))).otherwise(F.array().cast("array<struct<right_agrees:int,left_agrees:int>>"))
+    bound = F.greatest("back_bound", "next_bound")
+    none = F.lit(None).cast("int")
+    said = [
+        by_right.select("d0", "d1", bound.alias("right_bound"), none.alias("left_bound"), F.array(pair("back"), pair("next")).alias("agree")),
+        by_left.select("d0", "d1", none.alias("right_bound"), bound.alias("left_bound"), F.array(pair("back"), pair("next")).alias("agree")),
+        reps.filter("several").select("d0", "d1", F.length("right").alias("right_bound"), F.length("left").alias("left_bound"), own.alias("agree")),
+    ]
+    judged = said[0].unionByName(said[1]).unionByName(said[2]).groupBy("d0", "d1")
+    agree = F.filter(F.array_distinct(F.flatten(F.collect_list("agree"))), lambda x: x["right_agrees"].isNotNull())
+    judged = judged.agg(F.max("right_bound").alias("right_most"), F.max("left_bound").alias("left_most"), agree.alias("agree"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,31 +354,71 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DECIDED, strict=True)], schema=DECIDED)
 
     decided = written(shipped(judged).mapInArrow(decide, "d0 long, d1 long, low int, high int, ranges array<struct<low:int,high:int>>, open array<int>"), "decided")
-    facts = classes.select("d0", "d1", "run").join(decided, ["d0", "d1"])
-    asked = facts.filter(F.size("open") > 0).select("run", F.explode("open").alias("j")).distinct().groupBy("run").agg(F.collect_set("j").alias("js"))
-    asked = written(asked, "open")
     ranges = decided.select("d0", "d1", F.explode("ranges").alias("r")).select("d0", "d1", "r.low", "r.high")
-    if not asked.isEmpty():
-        facing = reps.join(asked, "run").join(decided.select("d0", "d1", "low", "high"), ["d0", "d1"])
-
-        def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for d0, d1, right, left, js, low, high in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    for j in js:
-                        if low <= j <= high and j <= len(left) and width - j <= len(right):
-                            rows.append((d0, d1, j, *digest(left[:j][::-1] + right[: width - j])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["d0", "d1", "j", "s0", "s1"])
-
-        cut = written(shipped(facing.select("d0", "d1", "right", "left", "js", "low", "high")).mapInArrow(strings, "d0 long, d1 long, j long, s0 long, s1 long"), "strings")
-        twice = written(cut.groupBy("s0", "s1", "j").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s0", "s1", "j"), "twice")
-        more = cut.join(twice, ["s0", "s1", "j"]).select("d0", "d1", F.col("j").cast("int").alias("low"), F.col("j").cast("int").alias("high"))
-        ranges = ranges.unionByName(more)
+    if not decided.filter(F.size("open") > 0).isEmpty():
+        ranges = ranges.unionByName(settle(decided, reps, width, grain))
     ranges = written(ranges.groupBy("d0", "d1").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
     return around.select("t0", "t1", "place", "d0", "d1").join(ranges, ["d0", "d1"]).select("t0", "t1", "place", "ranges")
 
 
+def settle(decided: DataFrame, reps: DataFrame, width: int, grain: int) -> DataFrame:
+    """The open j of classes for which the string repeats: d0, d1, low, high (equal).
+
+    Whoever repeats a string that starts j bytes before its anchor agrees with it from the start of j's band to the end of
+    what all j of the band have in common. So classes are first met by a digest of that stretch, and only those that meet
+    an open class write digests of the strings themselves."""
+    band = max(1, width // 10)
+
+    def stretch(right: bytes, left: bytes, b: int) -> tuple[int, int] | None:
+        before, behind = b * band, max(0, width - b * band - band + 1)
+        return digest(left[:before][::-1] + right[:behind]) if before <= len(left) and behind <= len(right) else None
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for run, js, right, left in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for b in sorted({j // band for j in js}):
+                    found = stretch(right, left, b)
+                    if found:
+                        rows += [(run, b, *found, j) for j in js if j // band == b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["run", "band", "k0", "k1", "j"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d0, d1, right, left, bands in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows += [(d0, d1, b, *found) for b in bands if (found := stretch(right, left, b))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["d0", "d1", "band", "k0", "k1"])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d0, d1, right, left, js, low, high in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for j in js:
+                    if low <= j <= high and j <= len(left) and width - j <= len(right):
+                        rows.append((d0, d1, j, *digest(left[:j][::-1] + right[: width - j])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["d0", "d1", "j", "s0", "s1"])
+
+    facts = written(reps.select("d0", "d1", F.xxhash64(F.substring("right", 1, grain)).alias("run")).join(decided.select("d0", "d1", "low", "high", "open"), ["d0", "d1"]), "facts")
+    bands = facts.select("run", F.explode("open").alias("j")).select("run", F.floor(F.col("j") / band).alias("band")).groupBy("run").agg(F.collect_set("band").alias("bands"))
+    reached = F.filter("bands", lambda b: ((b + 1) * band > F.col("low")) & (b * band <= F.col("high")))
+    wanted = facts.join(written(bands, "bands"), "run").withColumn("bands", reached).filter(F.size("bands") > 0)
+    wanted = written(wanted, "wanted")
+    few = wanted.count() <= MAX_BROADCAST_CLASSES  # 60 bytes each, about
+    facing = written(reps.select("d0", "d1", "right", "left").join(F.broadcast(wanted) if few else wanted, ["d0", "d1"]), "facing")
+    asked = written(shipped(facing.filter(F.size("open") > 0).select("run", "open", "right", "left")).mapInArrow(ask, "run long, band long, k0 long, k1 long, j long").distinct(), "asked")
+    met = shipped(facing.select("d0", "d1", "right", "left", "bands")).mapInArrow(meet, "d0 long, d1 long, band long, k0 long, k1 long")
+    js = written(asked.groupBy("band", "k0", "k1").agg(F.collect_set("j").alias("js")), "js")
+    met = met.join(js, ["band", "k0", "k1"]).groupBy("d0", "d1").agg(F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"))
+    full = facing.join(written(met, "met"), ["d0", "d1"])
+    cut = written(shipped(full.select("d0", "d1", "right", "left", "js", "low", "high")).mapInArrow(strings, "d0 long, d1 long, j long, s0 long, s1 long"), "strings")
+    twice = written(cut.groupBy("s0", "s1", "j").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s0", "s1", "j"), "twice")
+    return cut.join(twice, ["s0", "s1", "j"]).select("d0", "d1", F.col("j").cast("int").alias("low"), F.col("j").cast("int").alias("high"))
+
+
 DECIDED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("ranges", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))), ("open", pa.list_(pa.int32()))])
 
 
@@ -352,22 +428,21 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("t0"), F.xxhash64(text, F.lit(2)).alias("t1")).select("doc_id", "t0", "t1", "text")
 
 
-def spans_of(n: int, starts: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
-    """Maximal removed runs [start, end) from ranges (inclusive) of the starts of repeated strings."""
-    out: list[list[int]] = []
-    for a, b in sorted(starts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + width)
-        else:
-            out.append([a, b + width])
-    return [(a, min(b, n)) for a, b in out]
+def spans_of(n: int, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal removed runs, from low, high, low, high, ...: ranges of the starts of repeated strings."""
+    low, high = starts[::2], starts[1::2]
+    order = np.argsort(low)
+    low, high = low[order], np.maximum.accumulate(high[order]) + width
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] > high[:-1]
+    return low[new], np.minimum(high[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)] if len(low) else high, n)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, spans ([start, end) of removed runs, in bytes) and kept (bytes)."""
     keyed = keyed_texts(docs)
-    copies = keyed.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t0", "t1", F.lit(True).alias("copied"), F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("starts"))
-    starts = repeated_starts(docs, width).select("t0", "t1", F.transform("ranges", lambda r: F.struct((F.col("place") - r["high"]).alias("low"), (F.col("place") - r["low"]).alias("high"))).alias("starts"))
+    copies = keyed.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t0", "t1", F.lit(True).alias("copied"), F.lit(None).cast("array<bigint>").alias("starts"))
+    starts = repeated_starts(docs, width).select("t0", "t1", F.flatten(F.transform("ranges", lambda r: F.array(F.col("place") - r["high"], F.col("place") - r["low"]))).alias("starts"))
     starts = starts.groupBy("t0", "t1").agg(F.flatten(F.collect_list("starts")).alias("starts")).select("t0", "t1", F.lit(False).alias("copied"), "starts")
     found = copies.unionByName(starts).groupBy("t0", "t1").agg(F.max("copied").alias("copied"), F.first("starts", ignorenulls=True).alias("starts"))
     found = written(found.withColumnsRenamed({"t0": "w0", "t1": "w1"}), "starts")
@@ -375,21 +450,23 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                out = []
-                for doc_id, text, copied, ranges in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns], strict=True):
-                    data = text.encode()
-                    if copied and len(data) >= width:
-                        spans = [(0, len(data))]
+            for rows, data, offsets in chunks(batch):
+                copied, lists = rows.column(2).to_pylist(), rows.column(3)
+                places, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                removed, spans, kept = [], [], []
+                for k in range(rows.num_rows):
+                    text = data[offsets[k] : offsets[k + 1]]
+                    if copied[k] and len(text) >= width:
+                        firsts, ends = np.zeros(1, np.int64), np.array([len(text)])
                     else:
-                        spans = spans_of(len(data), [(r["low"], r["high"]) for r in ranges or []], width)
-                    ends = [0, *(x for s in spans for x in s), len(data)]
-                    kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if spans else data
-                    out.append((doc_id, len(data), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept))
-                columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                        firsts, ends = spans_of(len(text), values[places[k] : places[k + 1]], width)
+                    removed.append(int((ends - firsts).sum()))
+                    spans.append([{"start": a, "end": b} for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)])
+                    edges = [0, *np.stack([firsts, ends], 1).ravel().tolist(), len(text)] if len(firsts) else [0, len(text)]
+                    kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=names)
 
     return shipped(both.select("doc_id", "text", "copied", "starts")).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 

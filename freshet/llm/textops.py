@@ -7,17 +7,22 @@ runs of words are hashed from word hashes in the same way.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's allocator
+    _libc = None
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 BASES = [int(x) | 1 for x in _rng.integers(0, 2**64, 2, dtype=np.uint64)]
@@ -70,6 +75,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system: workers share an executor's memory with its JVM and with one another."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with at most `most` bytes of text (or one row): the rows, their bytes and offsets."""
     data, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -79,6 +91,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         to = min(to, n)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    give_back()
 
 
 def pieces(is_gap: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ WIDTH = 400
 #: Classes that a range of the merge holds, about, and samples for each splitter.
 RANGE_CLASSES, SAMPLES = 40_000, 8
 MAX_BROADCAST_CLASSES = 200_000
+#: Neighbours on either side that may settle what the next ones leave open.
+LOOK = 8
 
 
 def grain_of(width: int) -> int:
@@ -145,30 +148,31 @@ class LoserTree:
                 node //= 2
 
 
-def suffix_sort(entries: DataFrame, right_first: bool, n_ranges: int) -> DataFrame:
-    """entries: d0, d1 (class), right, left, place (a digest of where it stands), several -> a row per class in suffix order
-    over ranges (SORTED): whether it stands in several places, its key (first context, then the other; only kept for the
-    first sort and for edges of ranges), and for the class before and the one behind: a bound (no class beyond agrees on
-    more of the first context), and what they agree on to the right and to the left.
+def suffix_sort(entries: DataFrame, right_first: bool, n_ranges: int, width: int, look: int) -> DataFrame:
+    """entries: d0, d1 (class), right, left, place (a digest of where it stands), several, low (no j below it can repeat) ->
+    a row per class in suffix order over ranges (SORTED): whether it stands in several places, its key (first context,
+    then the other; only kept for the first sort and for edges of ranges), a bound (no class agrees on more of the first
+    context), and what neighbours agree on to the right and to the left: the next ones on either side, and of up to
+    `look` on either side those that settle further j.
 
     Entries of one class are merged within a task's run before the exchange, and within a range behind it."""
     spark = entries.sparkSession
     first, second = ("right", "left") if right_first else ("left", "right")
-    keyed = entries.select("d0", "d1", F.length(first).cast("int").alias("head"), "place", "several", F.concat(first, second).alias("key"))
+    keyed = entries.select("d0", "d1", F.length(first).cast("int").alias("head"), "place", "several", "low", F.concat(first, second).alias("key"))
     splitters: list[bytes] = []
     if n_ranges > 1:
         share = min(1.0, SAMPLES / RANGE_CLASSES)
         picked = sorted(set(keyed.filter(F.pmod("d1", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key").toArrow()["key"].to_pylist()))
         splitters = sorted({picked[len(picked) * k // n_ranges] for k in range(1, n_ranges)}) if picked else []
 
-    def joined(group: dict, d0: int, d1: int, head: int, place: int, several: bool) -> None:
+    def joined(group: dict, d0: int, d1: int, head: int, place: int, several: bool, low: int) -> None:
         """Adds an entry to the classes of one key."""
-        known = group.setdefault((d0, d1), [head, place, several])
+        known = group.setdefault((d0, d1), [head, place, several, low])
         known[2] = known[2] or several or known[1] != place
 
     def make_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d0, d1, heads, places, several, keys = (c.to_pylist() for c in batch.columns)
+            d0, d1, heads, places, several, lows, keys = (c.to_pylist() for c in batch.columns)
             order = sorted(range(len(keys)), key=keys.__getitem__)
             rows: list[tuple] = []
             at = 0
@@ -176,23 +180,23 @@ def suffix_sort(entries: DataFrame, right_first: bool, n_ranges: int) -> DataFra
                 key, group = keys[order[at]], {}
                 while at < len(order) and keys[order[at]] == key:
                     i = order[at]
-                    joined(group, d0[i], d1[i], heads[i], places[i], several[i])
+                    joined(group, d0[i], d1[i], heads[i], places[i], several[i], lows[i])
                     at += 1
                 rows += [(*c, *facts, key) for c, facts in group.items()]
             cut = 0
             while cut < len(rows):
-                k = bisect_right(splitters, rows[cut][5])
+                k = bisect_right(splitters, rows[cut][-1])
                 to = cut
-                while to < len(rows) and (k == len(splitters) or rows[to][5] < splitters[k]):
+                while to < len(rows) and (k == len(splitters) or rows[to][-1] < splitters[k]):
                     to += 1
                 part = rows[cut:to]
-                shared, rests = front_code([r[5] for r in part])
-                columns = [[r[c] for r in part] for c in range(5)]
+                shared, rests = front_code([r[-1] for r in part])
+                columns = [[r[c] for r in part] for c in range(6)]
                 yield pa.RecordBatch.from_pylist([dict(zip(RUN_SCHEMA.names, (k, *columns, shared, [len(r) for r in rests], b"".join(rests)), strict=True))], schema=RUN_SCHEMA)
                 cut = to
 
-    def classes(rows: list[dict]) -> Iterator[tuple]:
-        """Merged runs: (d0, d1, head, several, key, prefix shared with the class before)."""
+    def classes(rows: list[dict]) -> Iterator[Neighbour]:
+        """The classes of merged runs, in order."""
         runs = []
         for row in rows:
             ends = np.cumsum([0, *row["sizes"]]).tolist()
@@ -200,53 +204,94 @@ def suffix_sort(entries: DataFrame, right_first: bool, n_ranges: int) -> DataFra
         group, last, before = {}, None, 0
         for key, run, i, shared in LoserTree(runs):
             if key != last:
-                for c, (head, _, several) in group.items():
-                    yield *c, head, several, last, before
+                for c, (head, _, several, low) in group.items():
+                    yield Neighbour(*c, head, several, low, last, before)
                     before = len(last)
                 group, last, before = {}, key, shared
             row = rows[run]
-            joined(group, row["d0"][i], row["d1"][i], row["heads"][i], row["places"][i], row["several"][i])
-        for c, (head, _, several) in group.items():
-            yield *c, head, several, last, before
+            joined(group, row["d0"][i], row["d1"][i], row["heads"][i], row["places"][i], row["several"][i], row["lows"][i])
+        for c, (head, _, several, low) in group.items():
+            yield Neighbour(*c, head, several, low, last, before)
             before = len(last)
 
-    def compare(a: tuple, b: tuple, shared: int) -> tuple[tuple, tuple]:
-        """What neighbours a and b say about each other: (bound, right, left) for a and for b."""
-        heads = min(shared, a[2], b[2])
-        tails = shared_prefix(a[4][a[2] :], b[4][b[2] :])
-        sides = (heads, tails) if right_first else (tails, heads)
-        return (min(shared, a[2]), *sides), (min(shared, b[2]), *sides)
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_range: dict[int, list[dict]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 by_range.setdefault(row["range"], []).append(row)
-        nobody = (None, None, None)
         for k, rows in sorted(by_range.items()):
             out: list[tuple] = []
-            held, back, edge = None, nobody, 1
+            recent: deque[Neighbour] = deque()
+            edge: int | None = 1
+
+            def leave(x: Neighbour, edge: int | None) -> tuple:
+                return (x.d0, x.d1, x.head, x.several, x.key if right_first or edge else None, k, edge, x.bound, x.rights, x.lefts)  # noqa: B023
+
             for now in classes(rows):
-                if held is not None:
-                    ahead, seen = compare(held, now, now[5])
-                    out.append((*held[:4], held[4] if right_first or edge else None, k, edge, *back, *ahead))
-                    back, edge = seen, None
-                held = now
+                shared = now.shared
+                for nth, other in enumerate(reversed(recent)):
+                    if nth and other.settled(width) and now.settled(width):
+                        shared = min(shared, other.shared)
+                        continue
+                    if nth and min(shared, now.head) < now.low and min(shared, other.head) < other.low:
+                        break
+                    other.meet(now, shared, right_first, width, nth == 0)
+                    shared = min(shared, other.shared)
+                recent.append(now)
+                if len(recent) > look:
+                    out.append(leave(recent.popleft(), edge))
+                    edge = None
                 if len(out) > 10_000:
                     yield to_batch(out, SORTED)
                     out = []
-            out.append((*held[:5], k, 2 if edge is None else 3, *back, *nobody))
+            while recent:
+                x = recent.popleft()
+                out.append(leave(x, edge if recent else 2 if edge is None else 3))
+                edge = None
             yield to_batch(out, SORTED)
 
     runs = shipped(keyed).mapInArrow(make_runs, RUN)
     found = written(runs.repartitionById(len(splitters) + 1, F.col("range")).mapInArrow(merge, SORTED_DDL), "sorted")
     if splitters:
-        found = found.unionByName(across_ranges(found, compare), allowMissingColumns=True)
+        found = found.unionByName(across_ranges(found, right_first, width), allowMissingColumns=True)
     return found
 
 
-def across_ranges(found: DataFrame, compare) -> DataFrame:
-    """The last class of a range and the first of the next one are neighbours too: rows of d0, d1 and one side."""
+class Neighbour:
+    """A class in suffix order, with what it has learned from others."""
+
+    __slots__ = ("d0", "d1", "head", "several", "low", "key", "shared", "bound", "rights", "lefts", "done")
+
+    def __init__(self, d0: int, d1: int, head: int, several: bool, low: int, key: bytes, shared: int):
+        self.d0, self.d1, self.head, self.several, self.low, self.key, self.shared = d0, d1, head, several, low, key, shared
+        self.bound, self.rights, self.lefts, self.done = None, [], [], []
+
+    def settled(self, width: int) -> bool:
+        """Is every j from low to the bound (of a sort by left contexts) known to repeat?"""
+        return self.several or any(a <= self.low and b >= (self.bound or 0) for a, b in self.done)
+
+    def learn(self, bound: int, right: int, left: int, width: int, keep: bool) -> None:
+        self.bound = max(bound, self.bound or 0)
+        a, b = max(0, width - right), left
+        if a <= b and not any(x <= a and b <= y for x, y in self.done):
+            keep = True
+            near = [r for r in self.done if r[0] <= b + 1 and a <= r[1] + 1]
+            self.done = [r for r in self.done if r not in near] + [(min([a, *(r[0] for r in near)]), max([b, *(r[1] for r in near)]))]
+        if keep:
+            self.rights.append(right)
+            self.lefts.append(left)
+
+    def meet(self, other: Neighbour, shared: int, right_first: bool, width: int, keep: bool) -> None:
+        """Both learn what they agree on; their keys share a prefix of the given length."""
+        heads = min(shared, self.head, other.head)
+        tails = shared_prefix(self.key[self.head :], other.key[other.head :])
+        right, left = (heads, tails) if right_first else (tails, heads)
+        self.learn(min(shared, self.head), right, left, width, keep)
+        other.learn(min(shared, other.head), right, left, width, keep)
+
+
+def across_ranges(found: DataFrame, right_first: bool, width: int) -> DataFrame:
+    """The last class of a range and the first of the next one are neighbours too: rows of d0, d1 and what they agree on."""
     used = sorted(r["range"] for r in found.filter("edge IN (1, 3)").select("range").collect())  # a number per range
     following = found.sparkSession.createDataFrame([(a, b) for a, b in zip(used[:-1], used[1:], strict=True)], "range int, next int")
     side = lambda edge, k: found.filter(F.col("edge").isin(edge, 3)).select(F.col("range").alias("range" if k == "a" else "next"), *[F.col(c).alias(f"{k}_{c}") for c in ("d0", "d1", "head", "key")])
@@ -255,24 +300,25 @@ def across_ranges(found: DataFrame, compare) -> DataFrame:
         for batch in batches:
             out = []
             for a0, a1, ah, ak, b0, b1, bh, bk in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ahead, seen = compare((a0, a1, ah, None, ak), (b0, b1, bh, None, bk), shared_prefix(ak, bk))
-                out += [(a0, a1, *ahead), (b0, b1, *seen)]
+                a, b = Neighbour(a0, a1, ah, False, 0, ak, 0), Neighbour(b0, b1, bh, False, 0, bk, 0)
+                a.meet(b, shared_prefix(ak, bk), right_first, width, True)
+                out += [(x.d0, x.d1, x.bound, x.rights, x.lefts) for x in (a, b)]
             if out:
-                yield to_batch(out, pa.schema([SORTED.field(n) for n in ("d0", "d1", "next_bound", "next_right", "next_left")]))
+                yield to_batch(out, pa.schema([SORTED.field(n) for n in ("d0", "d1", "bound", "rights", "lefts")]))
 
     pairs = side(2, "a").join(following, "range").join(side(1, "b"), "next")
     pairs = pairs.select(*[f"{k}_{c}" for k in "ab" for c in ("d0", "d1", "head", "key")])
-    return pairs.mapInArrow(meet, "d0 long, d1 long, next_bound int, next_right int, next_left int")
+    return pairs.mapInArrow(meet, "d0 long, d1 long, bound int, rights array<int>, lefts array<int>")
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-RUN = "range int, d0 array<long>, d1 array<long>, heads array<int>, places array<long>, several array<boolean>, shared array<int>, sizes array<int>, rests binary"
-RUN_SCHEMA = pa.schema([("range", pa.int32()), ("d0", pa.list_(pa.int64())), ("d1", pa.list_(pa.int64())), ("heads", pa.list_(pa.int32())), ("places", pa.list_(pa.int64())), ("several", pa.list_(pa.bool_())), ("shared", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("rests", pa.binary())])
-SORTED_DDL = "d0 long, d1 long, head int, several boolean, key binary, range int, edge int, back_bound int, back_right int, back_left int, next_bound int, next_right int, next_left int"
-SORTED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("head", pa.int32()), ("several", pa.bool_()), ("key", pa.binary()), *[(n, pa.int32()) for n in ("range", "edge", "back_bound", "back_right", "back_left", "next_bound", "next_right", "next_left")]])
+RUN = "range int, d0 array<long>, d1 array<long>, heads array<int>, places array<long>, several array<boolean>, lows array<int>, shared array<int>, sizes array<int>, rests binary"
+RUN_SCHEMA = pa.schema([("range", pa.int32()), ("d0", pa.list_(pa.int64())), ("d1", pa.list_(pa.int64())), ("heads", pa.list_(pa.int32())), ("places", pa.list_(pa.int64())), ("several", pa.list_(pa.bool_())), ("lows", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("rests", pa.binary())])
+SORTED_DDL = "d0 long, d1 long, head int, several boolean, key binary, range int, edge int, bound int, rights array<int>, lefts array<int>"
+SORTED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("head", pa.int32()), ("several", pa.bool_()), ("key", pa.binary()), ("range", pa.int32()), ("edge", pa.int32()), ("bound", pa.int32()), ("rights", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int32()))])
 
 
 def digest(data: bytes) -> tuple[int, int]:
@@ -314,22 +360,21 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n in ("right", "left") else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
     around = written(shipped(both.select("t0", "t1", "text", "places")).mapInArrow(contexts, "t0 long, t1 long, place long, d0 long, d1 long, right binary, left binary"), "contexts")
-    entries = around.select("d0", "d1", "right", "left", F.xxhash64("t0", "t1", "place").alias("place"), F.lit(False).alias("several"))
-    by_right = suffix_sort(entries, True, max(1, -(-around.count() // RANGE_CLASSES)))
+    entries = around.select("d0", "d1", "right", "left", F.xxhash64("t0", "t1", "place").alias("place"), F.lit(False).alias("several"), F.lit(0).alias("low"))
+    by_right = suffix_sort(entries, True, max(1, -(-around.count() // RANGE_CLASSES)), width, 1)
     whole = by_right.filter(F.col("key").isNotNull())
-    reps = whole.select("d0", "d1", F.substring("key", F.lit(1), F.col("head")).alias("right"), F.substring("key", F.col("head") + 1, F.length("key")).alias("left"), F.lit(0).cast("long").alias("place"), "several")
-    by_left = suffix_sort(reps, False, max(1, -(-reps.count() // RANGE_CLASSES)))
-    pair = lambda k: F.struct(F.col(f"{k}_right").alias("right_agrees"), F.col(f"{k}_left").alias("left_agrees"))
+    reps = whole.select("d0", "d1", F.substring("key", F.lit(1), F.col("head")).alias("right"), F.substring("key", F.col("head") + 1, F.length("key")).alias("left"), F.lit(0).cast("long").alias("place"), "several", F.greatest(F.lit(0), width - F.coalesce("bound", F.lit(0))).alias("low"))
+    by_left = suffix_sort(reps, False, max(1, -(-reps.count() // RANGE_CLASSES)), width, LOOK)
+    pairs = F.coalesce(F.transform(F.arrays_zip("rights", "lefts"), lambda x: F.struct(x["rights"].alias("right_agrees"), x["lefts"].alias("left_agrees"))), F.array().cast("array<struct<right_agrees:int,left_agrees:int>>"))
     own = F.when(F.col("several"), F.array(F.struct(F.length("right").alias("right_agrees"), F.length("left").alias("left_agrees")))).otherwise(F.array().cast("array<struct<right_agrees:int,left_agrees:int>>"))
-    bound = F.greatest("back_bound", "next_bound")
     none = F.lit(None).cast("int")
     said = [
-        by_right.select("d0", "d1", bound.alias("right_bound"), none.alias("left_bound"), F.array(pair("back"), pair("next")).alias("agree")),
-        by_left.select("d0", "d1", none.alias("right_bound"), bound.alias("left_bound"), F.array(pair("back"), pair("next")).alias("agree")),
+        by_right.select("d0", "d1", F.col("bound").alias("right_bound"), none.alias("left_bound"), pairs.alias("agree")),
+        by_left.select("d0", "d1", none.alias("right_bound"), F.col("bound").alias("left_bound"), pairs.alias("agree")),
         reps.filter("several").select("d0", "d1", F.length("right").alias("right_bound"), F.length("left").alias("left_bound"), own.alias("agree")),
     ]
     judged = said[0].unionByName(said[1]).unionByName(said[2]).groupBy("d0", "d1")
-    agree = F.filter(F.array_distinct(F.flatten(F.collect_list("agree"))), lambda x: x["right_agrees"].isNotNull())
+    agree = F.array_distinct(F.flatten(F.collect_list("agree")))
     judged = judged.agg(F.max("right_bound").alias("right_most"), F.max("left_bound").alias("left_most"), agree.alias("agree"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +412,7 @@ def settle(decided: DataFrame, reps: DataFrame, width: int, grain: int) -> DataF
     Whoever repeats a string that starts j bytes before its anchor agrees with it from the start of j's band to the end of
     what all j of the band have in common. So classes are first met by a digest of that stretch, and only those that meet
     an open class write digests of the strings themselves."""
-    band = max(1, width // 10)
+    band = max(1, width // 20)
 
     def stretch(right: bytes, left: bytes, b: int) -> tuple[int, int] | None:
         before, behind = b * band, max(0, width - b * band - band + 1)
@@ -395,12 +440,12 @@ def settle(decided: DataFrame, reps: DataFrame, width: int, grain: int) -> DataF
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d0, d1, right, left, js, low, high in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for d0, d1, right, left, js, low, high, open_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for j in js:
                     if low <= j <= high and j <= len(left) and width - j <= len(right):
-                        rows.append((d0, d1, j, *digest(left[:j][::-1] + right[: width - j])))
+                        rows.append((d0, d1, j, *digest(left[:j][::-1] + right[: width - j]), int(j in open_)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["d0", "d1", "j", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["d0", "d1", "j", "s0", "s1", "asks"])
 
     facts = written(reps.select("d0", "d1", F.xxhash64(F.substring("right", 1, grain)).alias("run")).join(decided.select("d0", "d1", "low", "high", "open"), ["d0", "d1"]), "facts")
     bands = facts.select("run", F.explode("open").alias("j")).select("run", F.floor(F.col("j") / band).alias("band")).groupBy("run").agg(F.collect_set("band").alias("bands"))
@@ -414,9 +459,9 @@ def settle(decided: DataFrame, reps: DataFrame, width: int, grain: int) -> DataF
     js = written(asked.groupBy("band", "k0", "k1").agg(F.collect_set("j").alias("js")), "js")
     met = met.join(js, ["band", "k0", "k1"]).groupBy("d0", "d1").agg(F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"))
     full = facing.join(written(met, "met"), ["d0", "d1"])
-    cut = written(shipped(full.select("d0", "d1", "right", "left", "js", "low", "high")).mapInArrow(strings, "d0 long, d1 long, j long, s0 long, s1 long"), "strings")
-    twice = written(cut.groupBy("s0", "s1", "j").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s0", "s1", "j"), "twice")
-    return cut.join(twice, ["s0", "s1", "j"]).select("d0", "d1", F.col("j").cast("int").alias("low"), F.col("j").cast("int").alias("high"))
+    cut = written(shipped(full.select("d0", "d1", "right", "left", "js", "low", "high", "open")).mapInArrow(strings, "d0 long, d1 long, j long, s0 long, s1 long, asks long"), "strings")
+    twice = written(cut.groupBy("s0", "s1", "j").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")).filter("n > 1 AND asks = 1").select("s0", "s1", "j"), "twice")
+    return cut.filter("asks = 1").join(twice, ["s0", "s1", "j"]).select("d0", "d1", F.col("j").cast("int").alias("low"), F.col("j").cast("int").alias("high"))
 
 
 DECIDED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("ranges", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))), ("open", pa.list_(pa.int32()))])
@@ -443,7 +488,16 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keyed = keyed_texts(docs)
     copies = keyed.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t0", "t1", F.lit(True).alias("copied"), F.lit(None).cast("array<bigint>").alias("starts"))
     starts = repeated_starts(docs, width).select("t0", "t1", F.flatten(F.transform("ranges", lambda r: F.array(F.col("place") - r["high"], F.col("place") - r["low"]))).alias("starts"))
-    starts = starts.groupBy("t0", "t1").agg(F.flatten(F.collect_list("starts")).alias("starts")).select("t0", "t1", F.lit(False).alias("copied"), "starts")
+    starts = starts.groupBy("t0", "t1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            places, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            merged = [np.stack([a, b - width], 1).ravel() for a, b in (spans_of(1 << 62, values[x:y], width) for x, y in zip(places[:-1], places[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.list_(pa.int64()))], names=["t0", "t1", "starts"])
+
+    starts = shipped(starts).mapInArrow(merge, "t0 long, t1 long, starts array<long>").select("t0", "t1", F.lit(False).alias("copied"), "starts")
     found = copies.unionByName(starts).groupBy("t0", "t1").agg(F.max("copied").alias("copied"), F.first("starts", ignorenulls=True).alias("starts"))
     found = written(found.withColumnsRenamed({"t0": "w0", "t1": "w1"}), "starts")
     both = keyed.join(found, (F.col("t0") == F.col("w0")) & (F.col("t1") == F.col("w1")), "left")

@@ -36,14 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.storage import shipped, written
-from freshet.llm.textops import BYTE_VALUE, BYTES, chunks
+from freshet.llm.textops import BYTE_VALUE, BYTES, chunks, mix
 
 WIDTH = 400
 #: Classes that a range of the merge holds, about, and samples for each splitter.
 RANGE_CLASSES, SAMPLES = 40_000, 8
-MAX_BROADCAST_CLASSES = 200_000
 #: Neighbours on either side that may settle what the next ones leave open.
-LOOK = 8
+LOOK = 2
 
 
 def grain_of(width: int) -> int:
@@ -56,9 +55,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, grain: int) -> tu
     sizes = np.diff(offsets)
     if not (sizes >= width).any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    starts = np.arange(n - grain + 1)
-    hashes = BYTES.ranges(BYTES.prefix(BYTE_VALUE[data]), starts, starts + grain)
-    value = (hashes & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)
+    prefix = BYTES.prefix(BYTE_VALUE[data])
+    hashes = mix((prefix[grain:] - prefix[:-grain]) * BYTES.get(1, n - grain + 1))
+    value = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(n - grain + 1, dtype=np.uint64)
     padded = np.full(-(-len(value) // span) * span + span, np.uint64(2**64 - 1))
     padded[: len(value)] = value
     blocks = padded.reshape(-1, span)
@@ -451,9 +450,7 @@ def settle(decided: DataFrame, reps: DataFrame, width: int, grain: int) -> DataF
     bands = facts.select("run", F.explode("open").alias("j")).select("run", F.floor(F.col("j") / band).alias("band")).groupBy("run").agg(F.collect_set("band").alias("bands"))
     reached = F.filter("bands", lambda b: ((b + 1) * band > F.col("low")) & (b * band <= F.col("high")))
     wanted = facts.join(written(bands, "bands"), "run").withColumn("bands", reached).filter(F.size("bands") > 0)
-    wanted = written(wanted, "wanted")
-    few = wanted.count() <= MAX_BROADCAST_CLASSES  # 60 bytes each, about
-    facing = written(reps.select("d0", "d1", "right", "left").join(F.broadcast(wanted) if few else wanted, ["d0", "d1"]), "facing")
+    facing = written(reps.select("d0", "d1", "right", "left").join(wanted.hint("merge"), ["d0", "d1"]), "facing")
     asked = written(shipped(facing.filter(F.size("open") > 0).select("run", "open", "right", "left")).mapInArrow(ask, "run long, band long, k0 long, k1 long, j long").distinct(), "asked")
     met = shipped(facing.select("d0", "d1", "right", "left", "bands")).mapInArrow(meet, "d0 long, d1 long, band long, k0 long, k1 long")
     js = written(asked.groupBy("band", "k0", "k1").agg(F.collect_set("j").alias("js")), "js")
@@ -499,7 +496,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     starts = shipped(starts).mapInArrow(merge, "t0 long, t1 long, starts array<long>").select("t0", "t1", F.lit(False).alias("copied"), "starts")
     found = copies.unionByName(starts).groupBy("t0", "t1").agg(F.max("copied").alias("copied"), F.first("starts", ignorenulls=True).alias("starts"))
-    found = written(found.withColumnsRenamed({"t0": "w0", "t1": "w1"}), "starts")
+    found = written(found.withColumnsRenamed({"t0": "w0", "t1": "w1"}), "starts").hint("merge")  # texts are shuffled at any size
     both = keyed.join(found, (F.col("t0") == F.col("w0")) & (F.col("t1") == F.col("w1")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

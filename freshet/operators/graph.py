@@ -92,11 +92,23 @@ def slopes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def supersession(links: DataFrame) -> DataFrame:
-    """links: id, supersedes (NULL for a root). Every id with its root and depth, by a recursive query."""
-    links.createOrReplaceTempView("_supersession_links")
-    return links.sparkSession.sql("""
-        WITH RECURSIVE chain(id, root, depth) AS (
-          SELECT id, id, 0 FROM _supersession_links WHERE supersedes IS NULL
-          UNION ALL
-          SELECT l.id, c.root, c.depth + 1 FROM _supersession_links l JOIN chain c ON l.supersedes = c.id
-        ) SELECT id, root, depth FROM chain""")
+    """links: id, supersedes (NULL for a root). Every id with its root and depth, by pointer doubling: after k rounds a row
+    has found its root or points 2^k links up. An id under several links has a row for each of its paths; one that leads to
+    an id that isn't there, or into a cycle, has no root and no row."""
+    spark = links.sparkSession
+    # persisted plans would double each round, so without a folder the lineage is cut locally
+    shared = spark.sparkContext.getCheckpointDir() is not None
+    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    done = F.col("supersedes").isNull()
+    up = cut(links.select("id", F.coalesce("supersedes", "id").alias("root"), F.when(done, 0).otherwise(1).cast("long").alias("depth"), done.alias("done")))
+    most, reached, open_ = up.count(), 1, up.filter("NOT done")
+    while not open_.isEmpty() and reached <= most:
+        above = up.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        further = open_.join(above, F.col("root") == F.col("_id")).select("id", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        up, reached = cut(up.filter("done").unionByName(further)), 2 * reached
+        open_ = up.filter("NOT done")
+    found = up.filter("done")
+    # more links than there are: what is still open ran into a cycle
+    if not open_.join(found.select("id"), "id", "left_semi").isEmpty():
+        raise ValueError("an id has a root and a cycle above it")
+    return found.select("id", "root", F.col("depth").cast("int").alias("depth"))

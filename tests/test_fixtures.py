@@ -180,6 +180,21 @@ def test_graph(spark):
     assert G.unique_edges(edges.unionByName(edges.filter("from_node = 'a'")).withColumn("o", F.monotonically_increasing_id()), "o").count() == 6
 
 
+def test_supersession_follows_chains_beyond_the_recursion_limit(spark):
+    limit, deep = "spark.sql.cteRecursionLevelLimit", 70
+    links = [(i, i - 1 if i else None) for i in range(deep)] + [(5000, 60), (6000, 9999), (7000, 7001), (7001, 7000), (7002, 7001), (8000, 3), (8000, 5)]
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "10")
+    try:
+        got = sorted(tuple(r) for r in G.supersession(spark.createDataFrame(links, "id long, supersedes long")).collect())
+    finally:
+        spark.conf.set(limit, before)
+    assert got == [*((i, 0, i) for i in range(deep)), (5000, 0, 61), (8000, 0, 4), (8000, 0, 6)]
+    assert G.supersession(spark.createDataFrame([], "id long, supersedes long")).count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        G.supersession(spark.createDataFrame([(1, None), (1, 2), (2, 1)], "id long, supersedes long"))
+
+
 def test_scenario_rules(spark):
     nodes = spark.createDataFrame([("1C",), ("2C",)], "node_id string")
     good = [("1C", "0:00", "0.6"), ("1C", "0:03", "0.9"), ("2C", "0:00", "0.8"), ("2C", "0:03", "1.2")]

@@ -5,6 +5,11 @@ where it was put into the middle of a line. A unit's normal form lower-cases A-Z
 white space. Units of at least `min_words` words are grouped by digest over all documents; the occurrence in the
 smallest (doc_id, unit) stays and all others go. Offsets are of code points in the original text.
 
+A unit under `min_words` words is never compared by itself, so short sentences stay wherever they repeat. With `whole`
+they are compared along with their neighbours: from each sentence on, and up to each sentence, the shortest run within its
+line that has `min_words` words is a window (a long sentence is its own), windows are grouped as units are, and a sentence
+goes if a window around it goes. All that goes has an earlier copy that stays. Lines under `min_words` words stay.
+
 The digests are pre-aggregated before their shuffle (a line that a third of all documents hold is one row a task), and
 only repeated digests are joined back, by a join of two exchanges that adaptive execution splits where a digest is hot.
 
@@ -16,6 +21,7 @@ doc_id ranks first; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,15 +53,50 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return found
 
 
-def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per unit of at least min_words words: doc_id, doc_key, unit_no, start, end and a digest of 128 bits."""
+def windows(text: str | None, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs of units with at least `least` words that start or end at each unit of a line."""
+    found, line, upto = set(), [], [0]
+
+    def close() -> None:
+        for k, total in enumerate(upto[:-1]):
+            to = bisect_left(upto, total + least)
+            if to < len(upto):
+                found.add((line[k][0], line[to - 1][1]))
+        for k, total in enumerate(upto[1:]):
+            if total >= least:
+                found.add((line[bisect_right(upto, total - least) - 1][0], line[k][1]))
+
+    for start, end in units(text):
+        if line and "\n" in text[line[-1][1] : start]:
+            close()
+            line, upto = [], [0]
+        line.append((start, end))
+        upto.append(upto[-1] + normal(text[start:end]).count(" ") + 1)
+    close()
+    return sorted(found)
+
+
+def covered(text: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The units of the text that lie inside one of the spans, which are sorted."""
+    out, at, reach = [], 0, 0
+    for start, end in units(text) if spans else []:
+        while at < len(spans) and spans[at][0] <= start:
+            reach, at = max(reach, spans[at][1]), at + 1
+        if end <= reach:
+            out.append((start, end))
+    return out
+
+
+def unit_table(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """A row per unit (with whole: window) of at least min_words words: doc_id, doc_key, unit_no, start, end and a digest of
+    128 bits."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch["doc_id"], batch["doc_key"], batch["text"], strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
-                for n, (start, end) in enumerate(units(text)):
+                for n, (start, end) in enumerate(windows(text, min_words) if whole else units(text)):
                     form = normal(text[start:end])
                     if form.count(" ") + 1 >= min_words:
                         rows.append((doc_id, key, n, start, end, xxhash.xxh3_128_digest(form)))
@@ -65,9 +106,9 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return shipped(keyed).mapInPandas(cut, "doc_id long, doc_key long, unit_no int, start int, end int, digest binary")
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The units that go: all occurrences of a digest but the first."""
-    cut = written(unit_table(docs, min_words), "units")
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """The units (with whole: windows) that go: all occurrences of a digest but the first."""
+    cut = written(unit_table(docs, min_words, whole), "units")
     firsts = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "doc_key", "unit_no")).alias("first"))
     firsts = written(firsts.filter("n > 1").drop("n"), "repeated")
     here = F.struct("doc_id", "doc_key", "unit_no")
@@ -83,18 +124,19 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """doc_id, text (what is kept), n_units, n_removed_units, n_removed (code points inside removed units) and removed:
     the [start, end) of every removed unit in the original text."""
-    spans = repeated_units(docs, min_words).groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
-    both = whole.join(spans.withColumnsRenamed({"doc_id": "d", "doc_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k")), "left")
+    spans = repeated_units(docs, min_words, whole).groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
+    both = texts.join(spans.withColumnsRenamed({"doc_id": "d", "doc_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k")), "left")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, text, removed in zip(batch["doc_id"], batch["text"], batch["removed"], strict=True):
                 cut = [] if removed is None else [(int(x["start"]), int(x["end"])) for x in removed]
+                cut = covered(text, cut) if whole else cut
                 n = len(units(text))
                 out.append((None if pd.isna(doc_id) else int(doc_id), remove_spans(text, cut) if cut else text, n, len(cut), sum(b - a for a, b in cut), [{"start": a, "end": b} for a, b in cut]))
             yield pd.DataFrame(out, columns=["doc_id", "text", "n_units", "n_removed_units", "n_removed", "removed"]).astype({"doc_id": "Int64"})
@@ -103,11 +145,18 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shown(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op7_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True))
+
+
+def shown(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed_units", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.to_json("removed").alias("removed"))
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup}
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op7_line_dedup_whole": op7_line_dedup_whole}
 ORACLES = {
     "op7_line_dedup": r"""
 WITH cut AS (
@@ -131,5 +180,41 @@ WITH cut AS (
 SELECT d.doc_id, CAST(coalesce(s.n_units, 0) AS INTEGER) AS n_units, CAST(coalesce(s.n_removed_units, 0) AS INTEGER) AS n_removed_units, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(s.removed, '[]') AS removed
 FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+    "op7_line_dedup_whole": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+), numbered AS (
+  SELECT doc_id, l, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k
+  FROM (SELECT doc_id, l, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS ps FROM lines)
+), placed AS (
+  SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY l, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    translate(trim(regexp_replace(piece, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form
+  FROM numbered
+), said AS (
+  SELECT *, len(string_split(form, ' ')) AS n, sum(len(string_split(form, ' '))) OVER (PARTITION BY doc_id, l ORDER BY k) AS upto FROM placed WHERE form <> ''
+), fits AS (
+  SELECT a.doc_id, a.l, a.k AS i, b.k AS j FROM said a JOIN said b ON a.doc_id = b.doc_id AND a.l = b.l AND a.k <= b.k AND b.upto - a.upto + a.n >= 5
+), windows AS (
+  SELECT doc_id, l, i, min(j) AS j FROM fits GROUP BY doc_id, l, i UNION SELECT doc_id, l, max(i), j FROM fits GROUP BY doc_id, l, j
+), spelled AS (
+  SELECT w.doc_id, w.l, w.i, w.j, string_agg(s.form, ' ' ORDER BY s.k) AS form FROM windows w JOIN said s ON s.doc_id = w.doc_id AND s.l = w.l AND s.k BETWEEN w.i AND w.j GROUP BY ALL
+), nth AS (
+  SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, l, i) AS nth FROM spelled
+), lost AS (
+  SELECT DISTINCT s.doc_id, s.l, s.k FROM nth w JOIN said s ON s.doc_id = w.doc_id AND s.l = w.l AND s.k BETWEEN w.i AND w.j WHERE w.nth > 1
+), ranked AS (
+  SELECT s.*, o.k IS NOT NULL AS gone FROM said s LEFT JOIN lost o ON o.doc_id = s.doc_id AND o.l = s.l AND o.k = s.k
+), spans AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed_units, sum(length(piece)) FILTER (gone) AS n_removed,
+    '[' || coalesce(string_agg('{"start":' || CAST(start AS BIGINT) || ',"end":' || CAST(start + length(piece) AS BIGINT) || '}', ',' ORDER BY l, k) FILTER (gone), '') || ']' AS removed
+  FROM ranked GROUP BY doc_id
+), kept AS (
+  SELECT p.doc_id, string_agg(substr(d.text, CAST(p.start + 1 AS BIGINT), CAST(length(p.piece) + 1 AS BIGINT)), '' ORDER BY p.l, p.k) AS text
+  FROM placed p JOIN documents d USING (doc_id) LEFT JOIN lost o ON o.doc_id = p.doc_id AND o.l = p.l AND o.k = p.k WHERE o.k IS NULL GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(s.n_units, 0) AS INTEGER) AS n_units, CAST(coalesce(s.n_removed_units, 0) AS INTEGER) AS n_removed_units, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(s.removed, '[]') AS removed
+FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
 }

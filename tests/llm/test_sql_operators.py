@@ -71,6 +71,18 @@ def test_units_keep_offsets():
     assert line_dedup.remove_spans(text, [(0, 10)]) == text[11:]
 
 
+def test_line_dedup_compares_short_sentences_along_with_neighbours(spark, odd, nothing):
+    line, passage = "Yes. We do. Call us now. Thanks!", "It rains here. So what? The roof of the old mill leaks."
+    texts = [line, "Hello there.\n" + line, f"Odd start. {passage} An end.", f"Well. {passage} Other words.", "Ha. No.\nHa. No.", "Ho. " * 8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(r["n_removed"] > 40 for r in line_dedup.dedup(docs).collect())
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, whole=True).collect()}
+    assert got[0] == line and got[1] == "Hello there.\n" and got[2] == texts[2] and got[4] == texts[4]
+    assert got[3] == "Well. Other words." and got[5].startswith("Ho. ")
+    assert line_dedup.windows("A b. C d e f g. H.", 5) == [(0, 15), (5, 15), (5, 18)]
+    assert line_dedup.dedup(odd, whole=True).count() == odd.count() and line_dedup.dedup(nothing, whole=True).count() == 0
+
+
 def test_repetition(odd, nothing):
     got = {r["doc_id"]: r for r in repetition.repetition(odd.filter("doc_id <> 7")).collect()}
     assert (got[0]["n_words"], got[0]["base_failed"], got[0]["kept"]) == (0, True, False)

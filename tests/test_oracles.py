@@ -48,6 +48,11 @@ def test_query(spark, data, tables, name):
     same(spark, data, tables, registry.QUERIES[name], registry.ORACLES[name])
 
 
+def test_scaled_series_of_all_suppliers(spark, data):
+    got = registry.QUERIES["t11_scale_series_all"](spark, data).select("node_id").distinct().count()
+    assert got == spark.read.parquet(f"{data}/supplier.parquet").filter("s_suppkey IS NOT NULL").count()
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 

@@ -465,9 +465,10 @@ DECIDED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("low", pa.int32())
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key of 128 bits for it."""
+    """doc_id, text (null: empty) and a key of 128 bits for it. Each column's hash seeds the next, so the literal goes first:
+    behind the text, both halves would be functions of one hash of 64 bits."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("t0"), F.xxhash64(text, F.lit(2)).alias("t1")).select("doc_id", "t0", "t1", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("t0"), F.xxhash64(F.lit(2), text).alias("t1")).select("doc_id", "t0", "t1", "text")
 
 
 def spans_of(n: int, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

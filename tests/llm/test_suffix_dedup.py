@@ -56,3 +56,8 @@ def test_query(spark, data, documents):
     got = sorted(tuple(r) for r in suffix_dedup.op4_suffix_dedup(spark, data).collect())
     want = [(r[0], *b) for r, b in zip(rows, suffix_dedup.brute_force([r[1] for r in rows], 400), strict=True)]
     assert got == sorted(want)
+
+
+def test_halves_of_a_key_hash_the_text_from_seeds_of_their_own(spark):
+    got = suffix_dedup.keyed_texts(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
+    assert got.filter("t0 = xxhash64(1, text) AND t1 = xxhash64(2, text)").count() == 1

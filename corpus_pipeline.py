@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: language, near copies, benchmark leaks, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All stages but the last return the columns of documents.
+stage's docs. All stages but the last return the columns of documents. The token files are in ascending doc_id order by
+op5's contract, so copies of a document lie side by side; the training order lives only in the mixing stage's table.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, in training order."""
+    """Rows as often as the mix takes them, in training order (of this stage's table only)."""
     return curriculum.stream(docs.select(*COLUMNS))
 
 

@@ -9,10 +9,11 @@ about (WIDTH - grain) / 2 bytes apart.
 2. For the rest, the right context (WIDTH bytes from the anchor on) and the left one (WIDTH - grain bytes before it, read
    backwards). Anchors with equal contexts are one class, so a passage in a third of all texts is sorted once.
 3. The suffixes right + left are sorted, and so are left + right: each task sorts its part and cuts it into runs at
-   sampled splitters; runs are front-coded (a prefix's length, then the rest) for the exchange; each range merges its runs
-   with a loser tree whose nodes keep the prefix that a loser shares with the winner that beat it. Of two heads, the one
-   that shares more with the last output is less, without a look at either; only equal lengths compare bytes, from there.
-   A head's own length comes from its front code. The merge's prefixes are those of neighbours in suffix order.
+   splitters from a sample of bounded size (at two levels where one doesn't make ranges small enough); runs are
+   front-coded (a prefix's length, then the rest) for the exchange; each range merges its runs with a loser tree whose
+   nodes keep the prefix that a loser shares with the winner that beat it. Of two heads, the one that shares more with the
+   last output is less, without a look at either; only equal lengths compare bytes, from there. A head's own length comes
+   from its front code. The merge's prefixes are those of neighbours in suffix order.
 4. A neighbour that agrees on R bytes to the right and L to the left repeats the strings that start j bytes before the
    anchor, WIDTH - R <= j <= L. No anchor can repeat a string outside of WIDTH - max R <= j <= max L. Where these bounds
    leave a j open (contexts that several others share in part), the strings themselves are grouped by digest (`settle`).
@@ -25,9 +26,11 @@ doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ from freshet.llm.textops import BYTE_VALUE, BYTES, chunks, mix
 WIDTH = 400
 #: Classes that a range of the merge holds, about, and samples for each splitter.
 RANGE_CLASSES, SAMPLES = 40_000, 8
+#: Ranges whose splitters go through the driver; beyond, each of as many parts is cut again, over SALTS tasks.
+MOST_SPLITTERS, SALTS = 4096, 16
+#: Bytes of contexts that a task sorts into one run.
+RUN_BYTES = 8 << 20
 #: Neighbours on either side that may settle what the next ones leave open.
 LOOK = 2
 
@@ -147,86 +154,162 @@ class LoserTree:
                 node //= 2
 
 
-def suffix_sort(entries: DataFrame, right_first: bool, n_ranges: int, width: int, look: int) -> DataFrame:
-    """entries: d0, d1 (class), right, left, place (a digest of where it stands), several, low (no j below it can repeat) ->
-    a row per class in suffix order over ranges (SORTED): whether it stands in several places, its key (first context,
-    then the other; only kept for the first sort and for edges of ranges), a bound (no class agrees on more of the first
-    context), and what neighbours agree on to the right and to the left: the next ones on either side, and of up to
-    `look` on either side those that settle further j.
+def distinct_keys(keyed: DataFrame, share: float) -> DataFrame:
+    """The keys of about a share of all classes, each once: a class that many entries have is no more than another."""
+    return keyed.filter(F.pmod("d1", F.lit(1 << 40)) < int(share * (1 << 40)) + 1).groupBy("d0", "d1").agg(F.first("key").alias("key"))
 
-    Entries of one class are merged within a task's run before the exchange, and within a range behind it."""
-    spark = entries.sparkSession
-    first, second = ("right", "left") if right_first else ("left", "right")
-    keyed = entries.select("d0", "d1", F.length(first).cast("int").alias("head"), "place", "several", "low", F.concat(first, second).alias("key"))
-    splitters: list[bytes] = []
-    if n_ranges > 1:
-        share = min(1.0, SAMPLES / RANGE_CLASSES)
-        picked = sorted(set(keyed.filter(F.pmod("d1", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key").toArrow()["key"].to_pylist()))
-        splitters = sorted({picked[len(picked) * k // n_ranges] for k in range(1, n_ranges)}) if picked else []
 
-    def joined(group: dict, d0: int, d1: int, head: int, place: int, several: bool, low: int) -> None:
-        """Adds an entry to the classes of one key."""
-        known = group.setdefault((d0, d1), [head, place, several, low])
-        known[2] = known[2] or several or known[1] != place
+def coarse_splitters(keyed: DataFrame, total: int, n: int) -> list[bytes]:
+    """At most n - 1 keys that cut the classes into parts of about equal size, from a sample of about SAMPLES * n keys: both
+    are bounded by MOST_SPLITTERS, whatever the size of the input."""
+    if n < 2:
+        return []
+    picked = sorted(set(distinct_keys(keyed, min(1.0, SAMPLES * n / max(1, total))).select("key").toArrow()["key"].to_pylist()))
+    return sorted({picked[len(picked) * k // n] for k in range(1, n)}) if picked else []
 
-    def make_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fine_splitters(keyed: DataFrame, coarse: list[bytes], share: float) -> DataFrame:
+    """part, splitters: for each part that the coarse splitters make, the keys that cut it into ranges. A table of its own,
+    as its size grows with the input."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d0, d1, heads, places, several, lows, keys = (c.to_pylist() for c in batch.columns)
-            order = sorted(range(len(keys)), key=keys.__getitem__)
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(coarse, k) for k in batch.column(0).to_pylist()], pa.int32()), batch.column(0)], names=["part", "key"])
+
+    placed = shipped(distinct_keys(keyed, share).select("key")).mapInArrow(place, "part int, key binary")
+    ordered = placed.groupBy("part").agg(F.array_sort(F.collect_set("key")).alias("ordered"))
+    nth = F.expr(f"transform(filter(sequence(0, size(ordered) - 1), k -> k > 0 AND k % {SAMPLES} = 0), k -> ordered[k])")
+    return ordered.select("part", nth.alias("splitters"))
+
+
+def cut_run(rows: list[tuple], splitters: list[bytes]) -> Iterator[tuple[int, dict]]:
+    """A sorted run of (d0, d1, head, place, several, low, key), cut at the splitters: the number of each range that it
+    reaches, and its rows there, front-coded."""
+    cut = 0
+    while cut < len(rows):
+        k = bisect_right(splitters, rows[cut][-1])
+        to = bisect_left(rows, splitters[k], cut, key=lambda r: r[-1]) if k < len(splitters) else len(rows)
+        part = rows[cut:to]
+        shared, rests = front_code([r[-1] for r in part])
+        columns = [[r[c] for r in part] for c in range(6)]
+        yield k, dict(zip(RUN_SCHEMA.names[2:], (*columns, shared, [len(r) for r in rests], b"".join(rests)), strict=True))
+        cut = to
+
+
+def run_keys(row: dict) -> list[bytes]:
+    keys, last, at = [], b"", 0
+    for n, size in zip(row["shared"], row["sizes"], strict=True):
+        last = last[:n] + row["rests"][at : at + size]
+        keys.append(last)
+        at += size
+    return keys
+
+
+def add_entry(group: dict, d0: int, d1: int, head: int, place: int, several: bool, low: int) -> None:
+    """Adds an entry to the classes of one key."""
+    known = group.setdefault((d0, d1), [head, place, several, low])
+    known[2] = known[2] or several or known[1] != place
+
+
+def ranged_runs(keyed: DataFrame, total: int, n_ranges: int) -> tuple[DataFrame, int]:
+    """Sorted, front-coded runs of the entries, cut into ranges of about RANGE_CLASSES classes, and the number of parts: the
+    ranges of a part follow one another, and so do parts.
+
+    Up to MOST_SPLITTERS ranges, each is a part. Beyond, runs go to the parts first and are cut there at splitters that
+    travel as rows of that exchange, so no task gets those of other parts and none go through the driver."""
+    coarse = coarse_splitters(keyed, total, min(n_ranges, MOST_SPLITTERS))
+
+    def make_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in range(7)]
+        held = 0
+
+        def run() -> Iterator[pa.RecordBatch]:
+            keys = columns[-1]
             rows: list[tuple] = []
-            at = 0
-            while at < len(order):
-                key, group = keys[order[at]], {}
-                while at < len(order) and keys[order[at]] == key:
-                    i = order[at]
-                    joined(group, d0[i], d1[i], heads[i], places[i], several[i], lows[i])
-                    at += 1
+            for key, same in groupby(sorted(range(len(keys)), key=keys.__getitem__), keys.__getitem__):
+                group: dict = {}
+                for i in same:
+                    add_entry(group, *[c[i] for c in columns[:6]])
                 rows += [(*c, *facts, key) for c, facts in group.items()]
-            cut = 0
-            while cut < len(rows):
-                k = bisect_right(splitters, rows[cut][-1])
-                to = cut
-                while to < len(rows) and (k == len(splitters) or rows[to][-1] < splitters[k]):
-                    to += 1
-                part = rows[cut:to]
-                shared, rests = front_code([r[-1] for r in part])
-                columns = [[r[c] for r in part] for c in range(6)]
-                yield pa.RecordBatch.from_pylist([dict(zip(RUN_SCHEMA.names, (k, *columns, shared, [len(r) for r in rests], b"".join(rests)), strict=True))], schema=RUN_SCHEMA)
-                cut = to
-
-    def classes(rows: list[dict]) -> Iterator[Neighbour]:
-        """The classes of merged runs, in order."""
-        runs = []
-        for row in rows:
-            ends = np.cumsum([0, *row["sizes"]]).tolist()
-            runs.append((row["shared"], [row["rests"][a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
-        group, last, before = {}, None, 0
-        for key, run, i, shared in LoserTree(runs):
-            if key != last:
-                for c, (head, _, several, low) in group.items():
-                    yield Neighbour(*c, head, several, low, last, before)
-                    before = len(last)
-                group, last, before = {}, key, shared
-            row = rows[run]
-            joined(group, row["d0"][i], row["d1"][i], row["heads"][i], row["places"][i], row["several"][i], row["lows"][i])
-        for c, (head, _, several, low) in group.items():
-            yield Neighbour(*c, head, several, low, last, before)
-            before = len(last)
+            for k, facts in cut_run(rows, coarse):
+                yield pa.RecordBatch.from_pylist([{"part": k, "range": 0} | facts], schema=RUN_SCHEMA)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_range: dict[int, list[dict]] = {}
+        for batch in batches:
+            for column, more in zip(columns, batch.columns, strict=True):
+                column += more.to_pylist()
+            held += batch.column(6).nbytes
+            if held >= RUN_BYTES:
+                yield from run()
+                columns, held = [[] for _ in range(7)], 0
+        yield from run()
+
+    runs = shipped(keyed).mapInArrow(make_runs, RUN)
+    parts = len(coarse) + 1
+    if n_ranges <= MOST_SPLITTERS:
+        return runs, parts
+
+    def cut_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitters: list[bytes] = []
         for batch in batches:
             for row in batch.to_pylist():
-                by_range.setdefault(row["range"], []).append(row)
-        for k, rows in sorted(by_range.items()):
+                if row["splitters"] is not None:
+                    splitters = row["splitters"]
+                    continue
+                rows = list(zip(*[row[c] for c in RUN_SCHEMA.names[2:8]], run_keys(row), strict=True))
+                for k, facts in cut_run(rows, splitters):
+                    at = row["part"] * SALTS + k * SALTS // (len(splitters) + 1)
+                    yield pa.RecordBatch.from_pylist([{"part": at, "range": k} | facts], schema=RUN_SCHEMA)
+
+    fine = fine_splitters(keyed, coarse, min(1.0, SAMPLES * n_ranges / max(1, total)))
+    fine = fine.select("part", "splitters", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("rests"), F.lit(SALTS)).cast("int"))
+    both = salted.unionByName(fine, allowMissingColumns=True).withColumn("first", F.col("splitters").isNull())
+    both = both.repartitionById(parts * SALTS, F.col("part") * SALTS + F.col("salt")).sortWithinPartitions("first").select(*RUN_SCHEMA.names, "splitters")
+    return both.mapInArrow(cut_finer, RUN), parts * SALTS
+
+
+def suffix_sort(entries: DataFrame, right_first: bool, total: int, width: int, look: int) -> DataFrame:
+    """entries (`total` of them): d0, d1 (class), right, left, place (a digest of where it stands), several, low (no j below
+    it can repeat) -> a row per class in suffix order over parts (SORTED): whether it stands in several places, its key
+    (first context, then the other; only kept for the first sort and for edges of parts), a bound (no class agrees on more
+    of the first context), and what neighbours agree on to the right and to the left: the next ones on either side, and of
+    up to `look` on either side those that settle further j.
+
+    Entries of one class are merged within a task's run before the exchange, and within a range behind it. A task holds
+    the runs of one range at a time."""
+    first, second = ("right", "left") if right_first else ("left", "right")
+    keyed = entries.select("d0", "d1", F.length(first).cast("int").alias("head"), "place", "several", "low", F.concat(first, second).alias("key"))
+    runs, parts = ranged_runs(keyed, total, max(1, -(-total // RANGE_CLASSES)))
+
+    def merged(rows: Iterator[dict]) -> Iterator[Neighbour]:
+        """The classes of a part, in order; each knows what its key shares with the one before."""
+        before = b""
+        for _, of_range in groupby(rows, itemgetter("range")):
+            held, coded = list(of_range), []
+            for row in held:
+                ends = np.cumsum([0, *row["sizes"]]).tolist()
+                coded.append((row["shared"], [row["rests"][a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
+            for nth, (key, same) in enumerate(groupby(LoserTree(coded), itemgetter(0))):
+                group: dict = {}
+                agrees = None if nth else shared_prefix(before, key)
+                for _, run, i, shared in same:
+                    agrees = shared if agrees is None else agrees
+                    add_entry(group, *[held[run][c][i] for c in RUN_SCHEMA.names[2:8]])
+                for (d0, d1), (head, _, several, low) in group.items():
+                    yield Neighbour(d0, d1, head, several, low, key, agrees)
+                    agrees = len(key)
+                before = key
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby((row for batch in batches for row in batch.to_pylist()), itemgetter("part")):
             out: list[tuple] = []
             recent: deque[Neighbour] = deque()
             edge: int | None = 1
 
             def leave(x: Neighbour, edge: int | None) -> tuple:
-                return (x.d0, x.d1, x.head, x.several, x.key if right_first or edge else None, k, edge, x.bound, x.rights, x.lefts)  # noqa: B023
+                return (x.d0, x.d1, x.head, x.several, x.key if right_first or edge else None, part, edge, x.bound, x.rights, x.lefts)  # noqa: B023
 
-            for now in classes(rows):
+            for now in merged(rows):
                 shared = now.shared
                 for nth, other in enumerate(reversed(recent)):
                     if nth and other.settled(width) and now.settled(width):
@@ -247,13 +330,12 @@ def suffix_sort(entries: DataFrame, right_first: bool, n_ranges: int, width: int
                 x = recent.popleft()
                 out.append(leave(x, edge if recent else 2 if edge is None else 3))
                 edge = None
-            yield to_batch(out, SORTED)
+            if out:
+                yield to_batch(out, SORTED)
 
-    runs = shipped(keyed).mapInArrow(make_runs, RUN)
-    found = written(runs.repartitionById(len(splitters) + 1, F.col("range")).mapInArrow(merge, SORTED_DDL), "sorted")
-    if splitters:
-        found = found.unionByName(across_ranges(found, right_first, width), allowMissingColumns=True)
-    return found
+    placed = runs.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "range")
+    found = written(placed.mapInArrow(merge, SORTED_DDL), "sorted")
+    return found.unionByName(across_parts(found, right_first, width), allowMissingColumns=True) if parts > 1 else found
 
 
 class Neighbour:
@@ -289,11 +371,11 @@ class Neighbour:
         other.learn(min(shared, other.head), right, left, width, keep)
 
 
-def across_ranges(found: DataFrame, right_first: bool, width: int) -> DataFrame:
-    """The last class of a range and the first of the next one are neighbours too: rows of d0, d1 and what they agree on."""
-    used = sorted(r["range"] for r in found.filter("edge IN (1, 3)").select("range").collect())  # a number per range
-    following = found.sparkSession.createDataFrame([(a, b) for a, b in zip(used[:-1], used[1:], strict=True)], "range int, next int")
-    side = lambda edge, k: found.filter(F.col("edge").isin(edge, 3)).select(F.col("range").alias("range" if k == "a" else "next"), *[F.col(c).alias(f"{k}_{c}") for c in ("d0", "d1", "head", "key")])
+def across_parts(found: DataFrame, right_first: bool, width: int) -> DataFrame:
+    """The last class of a part and the first of the next one are neighbours too: rows of d0, d1 and what they agree on."""
+    used = sorted(r["part"] for r in found.filter("edge IN (1, 3)").select("part").collect())  # a number per part: MOST_SPLITTERS * SALTS at most
+    following = found.sparkSession.createDataFrame([(a, b) for a, b in zip(used[:-1], used[1:], strict=True)], "part int, next int")
+    side = lambda edge, k: found.filter(F.col("edge").isin(edge, 3)).select(F.col("part").alias("part" if k == "a" else "next"), *[F.col(c).alias(f"{k}_{c}") for c in ("d0", "d1", "head", "key")])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +387,7 @@ def across_ranges(found: DataFrame, right_first: bool, width: int) -> DataFrame:
             if out:
                 yield to_batch(out, pa.schema([SORTED.field(n) for n in ("d0", "d1", "bound", "rights", "lefts")]))
 
-    pairs = side(2, "a").join(following, "range").join(side(1, "b"), "next")
+    pairs = side(2, "a").join(following, "part").join(side(1, "b"), "next")
     pairs = pairs.select(*[f"{k}_{c}" for k in "ab" for c in ("d0", "d1", "head", "key")])
     return pairs.mapInArrow(meet, "d0 long, d1 long, bound int, rights array<int>, lefts array<int>")
 
@@ -314,10 +396,10 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-RUN = "range int, d0 array<long>, d1 array<long>, heads array<int>, places array<long>, several array<boolean>, lows array<int>, shared array<int>, sizes array<int>, rests binary"
-RUN_SCHEMA = pa.schema([("range", pa.int32()), ("d0", pa.list_(pa.int64())), ("d1", pa.list_(pa.int64())), ("heads", pa.list_(pa.int32())), ("places", pa.list_(pa.int64())), ("several", pa.list_(pa.bool_())), ("lows", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("rests", pa.binary())])
-SORTED_DDL = "d0 long, d1 long, head int, several boolean, key binary, range int, edge int, bound int, rights array<int>, lefts array<int>"
-SORTED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("head", pa.int32()), ("several", pa.bool_()), ("key", pa.binary()), ("range", pa.int32()), ("edge", pa.int32()), ("bound", pa.int32()), ("rights", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int32()))])
+RUN = "part int, range int, d0 array<long>, d1 array<long>, heads array<int>, places array<long>, several array<boolean>, lows array<int>, shared array<int>, sizes array<int>, rests binary"
+RUN_SCHEMA = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("d0", pa.list_(pa.int64())), ("d1", pa.list_(pa.int64())), ("heads", pa.list_(pa.int32())), ("places", pa.list_(pa.int64())), ("several", pa.list_(pa.bool_())), ("lows", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("rests", pa.binary())])
+SORTED_DDL = "d0 long, d1 long, head int, several boolean, key binary, part int, edge int, bound int, rights array<int>, lefts array<int>"
+SORTED = pa.schema([("d0", pa.int64()), ("d1", pa.int64()), ("head", pa.int32()), ("several", pa.bool_()), ("key", pa.binary()), ("part", pa.int32()), ("edge", pa.int32()), ("bound", pa.int32()), ("rights", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int32()))])
 
 
 def digest(data: bytes) -> tuple[int, int]:
@@ -360,10 +442,10 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     around = written(shipped(both.select("t0", "t1", "text", "places")).mapInArrow(contexts, "t0 long, t1 long, place long, d0 long, d1 long, right binary, left binary"), "contexts")
     entries = around.select("d0", "d1", "right", "left", F.xxhash64("t0", "t1", "place").alias("place"), F.lit(False).alias("several"), F.lit(0).alias("low"))
-    by_right = suffix_sort(entries, True, max(1, -(-around.count() // RANGE_CLASSES)), width, 1)
+    by_right = suffix_sort(entries, True, around.count(), width, 1)
     whole = by_right.filter(F.col("key").isNotNull())
     reps = whole.select("d0", "d1", F.substring("key", F.lit(1), F.col("head")).alias("right"), F.substring("key", F.col("head") + 1, F.length("key")).alias("left"), F.lit(0).cast("long").alias("place"), "several", F.greatest(F.lit(0), width - F.coalesce("bound", F.lit(0))).alias("low"))
-    by_left = suffix_sort(reps, False, max(1, -(-reps.count() // RANGE_CLASSES)), width, LOOK)
+    by_left = suffix_sort(reps, False, reps.count(), width, LOOK)
     pairs = F.coalesce(F.transform(F.arrays_zip("rights", "lefts"), lambda x: F.struct(x["rights"].alias("right_agrees"), x["lefts"].alias("left_agrees"))), F.array().cast("array<struct<right_agrees:int,left_agrees:int>>"))
     own = F.when(F.col("several"), F.array(F.struct(F.length("right").alias("right_agrees"), F.length("left").alias("left_agrees")))).otherwise(F.array().cast("array<struct<right_agrees:int,left_agrees:int>>"))
     none = F.lit(None).cast("int")

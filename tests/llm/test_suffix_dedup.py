@@ -23,9 +23,12 @@ def test_loser_tree():
         assert all(b[3] == suffix_dedup.shared_prefix(a[0], b[0]) for a, b in zip(got, got[1:]))
 
 
-@pytest.mark.parametrize("width", [20, 40])
-def test_mixed_passages(spark, monkeypatch, width):
+@pytest.mark.parametrize(("width", "splitters", "run_bytes"), [(20, 4096, 1 << 23), (40, 4096, 2000), (20, 3, 2000), (40, 2, 1 << 23)])
+def test_mixed_passages(spark, monkeypatch, width, splitters, run_bytes):
     monkeypatch.setattr(suffix_dedup, "RANGE_CLASSES", 100)
+    monkeypatch.setattr(suffix_dedup, "MOST_SPLITTERS", splitters)
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(suffix_dedup, "SALTS", 2)
     rng = random.Random(3)
     bases = ["".join(rng.choice("abcd ") for _ in range(rng.randint(30, 250))) for _ in range(6)]
     rows = []
@@ -61,3 +64,11 @@ def test_query(spark, data, documents):
 def test_halves_of_a_key_hash_the_text_from_seeds_of_their_own(spark):
     got = suffix_dedup.keyed_texts(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
     assert got.filter("t0 = xxhash64(1, text) AND t1 = xxhash64(2, text)").count() == 1
+
+
+def test_driver_sample_is_bounded(spark, monkeypatch):
+    keyed = spark.range(60_000).selectExpr("xxhash64(id % 30000) AS d0", "xxhash64(id % 30000, 7) AS d1", "CAST(CAST(id % 30000 AS string) AS binary) AS key")
+    for n in (4, 64):
+        keys = suffix_dedup.distinct_keys(keyed, suffix_dedup.SAMPLES * n / 30_000).count()
+        assert 0.5 * suffix_dedup.SAMPLES * n < keys < 2 * suffix_dedup.SAMPLES * n
+        assert n // 2 < len(suffix_dedup.coarse_splitters(keyed, 30_000, n)) < n

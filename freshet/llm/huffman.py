@@ -4,8 +4,9 @@ Ids of all documents are counted, code lengths of at most LIMIT bits follow by p
 (by length, then id). A folder holds three Parquet tables:
 
 - `codebook`: id, length. Lengths alone fix the codes.
-- `blocks`: shard, block, first (ids of the shard before the block), doc_ids, n_ids (ids of each document, with its end),
-  payload and checkpoints. Shards are ranges of doc_id in ascending order, and blocks follow one another in a shard. Each
+- `blocks`: shard, block, first (ids of the shard before the block), size (its ids), doc_ids, n_ids (ids of each document,
+  with its end), payload and checkpoints. Shards are ranges of doc_id in ascending order (their bounds are sampled, and
+  searched where codes are made, so no plan grows with them), and blocks follow one another in a shard. Each
   document starts at a byte; every CHECKPOINT ids a 16-bit number gives how many bits they take, so all stretches of a
   block are decoded side by side, each by looking LIMIT bits up in one table, and blocks don't depend on one another.
 - `shards`: shard, start (ids of all shards before), n_ids.
@@ -14,18 +15,19 @@ Ids are encoded once and written before they are counted, so no text is encoded
 documents are dealt to shards, so the shuffle moves compressed bits.
 
 Defined cases: a null text counts as empty, so it has the end id alone; rows that share doc_id follow one another, in the
-order of their codes; a null doc_id comes first; an empty table gives empty files; other columns are not read.
+order of their checksums; a null doc_id comes first; an empty table gives empty files; other columns are not read.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.storage import shared_dir, shipped, written
@@ -37,6 +39,8 @@ LIMIT = 18
 CHECKPOINT = 64
 #: Ids of a block, at least one document; ids of a shard, about.
 BLOCK_IDS, SHARD_IDS = 1 << 16, 4_000_000
+#: Shards at most (beyond, they get larger; blocks don't), and sampled rows for each bound.
+MOST_SHARDS, SAMPLES = 16_384, 32
 ROWS_AT_ONCE = 256
 
 
@@ -151,7 +155,7 @@ def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """A row per row of docs: doc_id and ids (packed, with the end)."""
+    """A row per row of docs: doc_id, n_ids, ids (packed, with the end) and a tie-breaker, their checksum."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -160,10 +164,13 @@ def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 ids, counts = own.encode(data, offsets)
                 out = np.full(len(ids) + len(counts), end_id, own.dtype)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((counts + 1).astype(np.int32)), binaries(out.view(np.uint8), np.r_[0, np.cumsum(counts + 1)] * out.itemsize)], names=["doc_id", "n_ids", "ids"])
+                ends = np.r_[0, np.cumsum(counts + 1)] * out.itemsize
+                data = memoryview(out.view(np.uint8))
+                ties = [zlib.crc32(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((counts + 1).astype(np.int32)), binaries(out.view(np.uint8), ends), pa.array(ties, pa.int64())], names=["doc_id", "n_ids", "ids", "tie"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return shipped(slim).mapInArrow(work, "doc_id long, n_ids int, ids binary")
+    return shipped(slim).mapInArrow(work, "doc_id long, n_ids int, ids binary, tie long")
 
 
 def count_ids(encoded: DataFrame, dtype: str, size: int) -> np.ndarray:
@@ -182,10 +189,15 @@ def count_ids(encoded: DataFrame, dtype: str, size: int) -> np.ndarray:
     return counts
 
 
-def shard_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds lie at or below doc_id."""
-    at = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    return F.coalesce(F.size(F.filter(at, lambda b: b <= doc_id)), F.lit(0))
+def shard_bounds(encoded: DataFrame) -> list[tuple[int, int]]:
+    """The least (doc_id, tie) of each shard but the first, from a sample of about SAMPLES rows a shard; at most MOST_SHARDS."""
+    rows, ids = encoded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    n = min(MOST_SHARDS, -(-int(ids) // SHARD_IDS))
+    if n < 2:
+        return []
+    picked = encoded.filter("doc_id IS NOT NULL").select("doc_id", "tie").sample(min(1.0, SAMPLES * n / rows), seed=1).toArrow()
+    keys = sorted(zip(picked["doc_id"].to_pylist(), picked["tie"].to_pylist(), strict=True))
+    return sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
 
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> str:
@@ -201,9 +213,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": pa.array(used, pa.int64()), "length": pa.array(lengths[used], pa.int32())})).coalesce(1).write.parquet(f"{folder}/codebook")
 
-    n_shards = max(1, -(-int(encoded.agg(F.coalesce(F.sum("n_ids"), F.lit(0))).first()[0]) // SHARD_IDS))
-    cuts = [k / n_shards for k in range(1, n_shards)]
-    bounds = sorted({b for b in (encoded.agg(F.percentile_approx("doc_id", cuts, 10 * n_shards)).first()[0] or [])}) if cuts else []
+    bounds = shard_bounds(encoded)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +222,9 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
                 ids = text_bytes(rows.column(3))[0].view(dtype)
                 offsets = np.r_[0, np.cumsum(rows.column(2).to_numpy())]
                 packed, ends, marks, mark_ends = pack_bits(ids, offsets, codes, small)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), binaries(packed, ends), binaries(marks.view(np.uint8), 2 * mark_ends)], names=["shard", "doc_id", "n_ids", "payload", "checkpoints"])
+                keys = zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)
+                shards = pa.array([0 if key[0] is None else bisect_right(bounds, key) for key in keys], pa.int32())
+                yield pa.RecordBatch.from_arrays([shards, rows.column(0), rows.column(1), rows.column(2), binaries(packed, ends), binaries(marks.view(np.uint8), 2 * mark_ends)], names=["shard", "doc_id", "tie", "n_ids", "payload", "checkpoints"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first, held, ids = None, 0, 0, [], 0
@@ -220,8 +232,8 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         def out() -> pa.RecordBatch:
             doc_ids = pa.array([[r[0] for r in held]], pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), doc_ids, pa.array([np.array([r[1] for r in held], np.uint32).tobytes()]), pa.array([b"".join(r[2] for r in held)]), pa.array([b"".join(r[3] for r in held)])],
-                names=["shard", "block", "first", "doc_ids", "n_ids", "payload", "checkpoints"],
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([ids], pa.int64()), doc_ids, pa.array([np.array([r[1] for r in held], np.uint32).tobytes()]), pa.array([b"".join(r[2] for r in held)]), pa.array([b"".join(r[3] for r in held)])],
+                names=["shard", "block", "first", "size", "doc_ids", "n_ids", "payload", "checkpoints"],
             )
 
         for batch in batches:
@@ -236,12 +248,12 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         if held:
             yield out()
 
-    dealt = shipped(encoded.select(shard_of(F.col("doc_id"), bounds).alias("shard"), "doc_id", "n_ids", "ids")).mapInArrow(pack, "shard int, doc_id long, n_ids int, payload binary, checkpoints binary")
-    ordered = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "payload")
-    blocks = ordered.mapInArrow(gather, "shard int, block int, first long, doc_ids array<long>, n_ids binary, payload binary, checkpoints binary")
+    dealt = shipped(encoded.select("doc_id", "tie", "n_ids", "ids")).mapInArrow(pack, "shard int, doc_id long, tie long, n_ids int, payload binary, checkpoints binary")
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie", "payload").drop("tie")
+    blocks = ordered.mapInArrow(gather, "shard int, block int, first long, size long, doc_ids array<long>, n_ids binary, payload binary, checkpoints binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
 
-    sums = {r["shard"]: r["n"] for r in encoded.groupBy(shard_of(F.col("doc_id"), bounds).alias("shard")).agg(F.sum("n_ids").alias("n")).collect()}
+    sums = {r["shard"]: r["n"] for r in spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # MOST_SHARDS rows at most
     rows, start = [], 0
     for k in range(len(bounds) + 1):
         rows.append((k, start, sums.get(k, 0)))

@@ -109,3 +109,15 @@ def test_counts_of_odd_rows(odd, nothing, library):
     assert len(got) == odd.count()
     assert all(r["n_tokens"] == 0 for r in got if r["doc_id"] in (0, 1))
     assert token_counts.prefix_counts(nothing).count() == 0
+
+
+def test_many_shards(spark, library, monkeypatch):
+    monkeypatch.setattr(huffman, "SHARD_IDS", 1)
+    rows = [(i // 2, f"row {i} of many") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(huffman, "MOST_SHARDS", 300)
+    check_files(rows, huffman.round_trip(frame).collect(), library)
+    encoded = huffman.encode_texts(frame, tokens.default_path(), huffman.END_ID)
+    assert 200 < len(huffman.shard_bounds(encoded)) < 300
+    monkeypatch.setattr(huffman, "MOST_SHARDS", 5000)
+    assert len(huffman.shard_bounds(encoded)) > 2000

@@ -3,23 +3,27 @@
 Words are runs of letters and digits in lower case; shingles are five words, or all words of an item with fewer. A
 document window is looked at where a shingle of it is one of an item's: aligned to that shingle and as many words long as
 the item, so windows without a common shingle (similarity 0) are never made. Windows and items get fingerprints of 128
-bits. Multi-index blocks find all fingerprints within RADIUS of an item: 32 differing bits over 16 blocks of 8 bits leave
-a block with at most one, so each item is entered under the 9 values within one bit of each of its blocks, and windows
-look up their 16 exact values. What lies within the radius is verified: the weight of a shingle is its count, and the
-similarity is the sum of the lesser over the sum of the greater weights.
+bits. Multi-index blocks find all fingerprints within RADIUS of an item: up to 31 differing bits over 8 blocks of 16 bits
+leave a block with at most FLIPS = 3, so each item is entered under the 697 values within three bits of each of its
+blocks, and windows look up their 8 exact values: 8 * 697 / 2^16 = 0.085 of all pairs of unrelated fingerprints meet. What
+lies within the radius is verified: the weight of a shingle is its count, and the similarity is the sum of the lesser over
+the sum of the greater weights.
 
 At similarity 0.75 (equal sizes) a bit differs with probability 0.17, so 31 of 128 bits are 2.1 standard deviations above
 the mean: about 2 % of pairs that have exactly the least similarity lie outside, 0.2 % at 0.8, none that are equal.
 
-The item table is broadcast only if it has at most MAX_BROADCAST_SHINGLES shingles (24 bytes each); beyond that the same
-joins shuffle. Defined cases: null or wordless texts match nothing; rows that share doc_id are told apart by a digest of
-the text, and a document is contaminated if any row of its doc_id is; null item texts are skipped; empty tables give no
-match; columns other than doc_id, text, item_id are not read.
+Item tables are broadcast only if they have at most MAX_BROADCAST_ROWS rows (24 bytes each for shingles, 40 for index
+entries, which are counted apart); beyond that the same joins shuffle. The index grows with the benchmark, never with the
+corpus. Defined cases: null or wordless texts match nothing; rows that share doc_id are told apart by a digest of the
+text: `contaminated` flags a doc_id if any row of it matches, `clean` drops the rows whose own text does; null item texts
+are skipped; an item under five words matches whoever has all of its words in a row, so give no items of single common
+words; empty tables give no match; columns other than doc_id, text, item_id are not read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +32,14 @@ from freshet.llm.storage import written
 
 SHINGLE = 5
 THRESHOLD = 0.75
-BLOCKS = 16
-BLOCK_BITS = 8
-#: Twice the blocks, less one: two or more differing bits in every block make at least 32.
-RADIUS = 2 * BLOCKS - 1
-MAX_BROADCAST_SHINGLES = 1_000_000
+BLOCKS, BLOCK_BITS, FLIPS = 8, 16, 3
+#: FLIPS + 1 or more differing bits in every block make at least one more than this.
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: All values of a block with at most FLIPS bits set.
+MASKS = [sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), n)]
+MAX_BROADCAST_ROWS = 1_000_000
+#: Sums of 16 bits hold the votes of as many shingles.
+LANE = (1 << 16) - 1
 
 
 def word_hashes(text: Column) -> Column:
@@ -48,18 +55,23 @@ def shingles(hashes: Column, width: int) -> Column:
 
 
 def fingerprint(column: str) -> list[Column]:
-    """Two longs: the signs of 128 sums over the shingles, each counted as often as it occurs."""
+    """Two longs: the signs of 128 sums over the shingles, each counted as often as it occurs. Four bits, 16 apart, are
+    counted by one pass while their counts fit; longer lists take a pass for each bit."""
+    nothing, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    signs = lambda wins: F.aggregate(F.sequence(F.lit(0), F.lit(63)), nothing, lambda s, b: s.bitwiseOR(F.when(wins(b), F.call_function("shiftleft", one, b)).otherwise(nothing)))
 
     def half(hashes: Column) -> Column:
         n = F.size(hashes)
-        bit = lambda b: F.when(2 * F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, h: s + F.call_function("getbit", h, b)) > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(bit(b)))
+        lanes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.aggregate(hashes, nothing, lambda s, h: s + F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(0x0001000100010001))))
+        of = lambda sums, b: F.call_function("shiftrightunsigned", F.get(sums, b % 16), F.floor(b / 16).cast("int") * 16).bitwiseAND(F.lit(LANE))
+        packed = F.get(F.transform(F.array(lanes), lambda sums: signs(lambda b: 2 * of(sums, b) > n)), F.lit(0))
+        return F.when(n <= LANE, packed).otherwise(signs(lambda b: 2 * F.aggregate(hashes, nothing, lambda s, h: s + F.call_function("getbit", h, b)) > n))
 
     return [half(F.col(column)).alias("fp0"), half(F.transform(column, lambda h: F.xxhash64(h, F.lit(1)))).alias("fp1")]
 
 
 def blocks() -> Column:
-    """An array of the values of the 16 blocks."""
+    """An array of the values of the blocks."""
     return F.array(*[F.shiftright(fp, BLOCK_BITS * k).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int") for fp in ("fp0", "fp1") for k in range(64 // BLOCK_BITS)])
 
 
@@ -75,9 +87,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     spark = docs.sparkSession
     items = written(item_table(benchmark), "items")
     entries = items.select("item_id", "item_words", "width", F.posexplode("grams").alias("at", "gram"))
-    facts = items.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n"), F.collect_set("width").alias("widths")).first()
+    facts = items.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("items"), F.collect_set("width").alias("widths")).first()
     widths = sorted(facts["widths"]) or [SHINGLE]
-    small = F.broadcast if facts["n"] <= MAX_BROADCAST_SHINGLES else lambda df: df
+    small = lambda df, rows=facts["n"]: F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), word_hashes(F.col("text")).alias("h"))
     tagged = lambda k: F.transform(shingles(F.col("h"), k), lambda g, i: F.struct(F.lit(k).alias("width"), i.alias("pos"), g.alias("gram")))
@@ -98,12 +110,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     windows = seeds.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k"))).select("doc_id", "doc_key", "start", "item_words", "width", grams.alias("grams")).filter(F.size("grams") > 0)
     windows = written(windows.select("*", *fingerprint("grams")), "windows")
 
-    values = F.explode(F.flatten(F.transform(blocks(), lambda v, k: F.transform(F.array(F.lit(0), *[F.lit(1 << b) for b in range(BLOCK_BITS)]), lambda flip: F.struct(k.alias("block"), v.bitwiseXOR(flip).alias("value"))))))
+    values = F.explode(F.flatten(F.transform(blocks(), lambda v, k: F.transform(F.lit(MASKS), lambda flips: F.struct(k.alias("block"), v.bitwiseXOR(flips).alias("value"))))))
     probes = items.select("item_id", "item_words", F.size("grams").alias("item_grams"), *fingerprint("grams")).select("item_id", "item_words", "item_grams", "fp0", "fp1", values.alias("v"))
     probes = probes.select("item_id", "item_words", "item_grams", F.col("fp0").alias("i0"), F.col("fp1").alias("i1"), "v.block", "v.value")
     looked = windows.select("doc_id", "doc_key", "start", "item_words", "fp0", "fp1", F.size("grams").alias("window_grams"), F.posexplode(blocks()).alias("block", "value"))
     distance = F.bit_count(F.col("fp0").bitwiseXOR(F.col("i0"))) + F.bit_count(F.col("fp1").bitwiseXOR(F.col("i1")))
-    near = looked.join(small(probes) if facts["n"] * 9 <= MAX_BROADCAST_SHINGLES else probes, ["item_words", "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
+    near = looked.join(small(probes, facts["items"] * BLOCKS * len(MASKS)), ["item_words", "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
     pairs = near.select("doc_id", "doc_key", "start", "item_words", "item_id", "distance", "window_grams", "item_grams").distinct()
 
     counted = windows.select("doc_id", "doc_key", "start", "item_words", F.explode("grams").alias("gram")).groupBy("doc_id", "doc_key", "start", "item_words", "gram").agg(F.count(F.lit(1)).alias("c"))
@@ -124,9 +136,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id has no match."""
-    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of docs whose own text has no match."""
+    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked"), F.col("doc_key").alias("_key")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
 
 
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

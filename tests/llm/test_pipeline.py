@@ -8,7 +8,6 @@ from freshet.llm import curriculum, decontaminate, huffman, language, near_dedup
 
 
 def test_stages(spark, data, documents):
-    table = lambda sql, **frames: [duckdb.execute(sql).fetchall()][0]  # noqa: E731, ARG005
     docs = {r["doc_id"]: r for r in documents.collect()}
     net = language.fit(documents)
     found = {r["doc_id"]: r for r in language.predict(documents, net).collect()}
@@ -24,7 +23,6 @@ def test_stages(spark, data, documents):
         names = [d[0] for d in con.description]
         return [dict(zip(names, r, strict=True)) for r in con.fetchall()]
 
-    del table
     kept = {r["doc_id"] for r in rows(kept, near_dedup.ORACLES["op8_minhash_near_dedup"], "near") if r["kept"]}
     kept = {r["doc_id"] for r in rows(kept, decontaminate.ORACLES["op10_simhash_decontamination"], "leaks") if not r["contaminated"]}
     copies = {r["doc_id"]: r["copies"] for r in rows(kept, curriculum.ORACLES["op9_curriculum_mixing"], "mix")}

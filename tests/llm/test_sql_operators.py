@@ -1,5 +1,7 @@
 """Operators that SQL can express, on the smallest tables and on odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,8 +38,6 @@ def test_stream_follows_the_schedule(odd):
 
 def brute_line_dedup(rows, least):
     seen, out = {}, []
-    ranked = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    del ranked
     units = []
     for doc, text in {(r[0], r[1]) for r in rows}:
         for k, (a, b) in enumerate(line_dedup.units(text)):
@@ -127,3 +127,46 @@ def test_decontamination_is_native(odd, spark):
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     plan = decontaminate.contaminated(odd, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_index_meets_few_unrelated_pairs():
+    assert decontaminate.BLOCKS * len(decontaminate.MASKS) / 2**decontaminate.BLOCK_BITS < 0.1
+    assert decontaminate.RADIUS == 31 and decontaminate.BLOCKS * decontaminate.BLOCK_BITS == 128
+
+
+def test_fingerprints_by_lanes_are_majorities(spark, monkeypatch):
+    rows = [(i, [random.Random(i * 100 + k).getrandbits(64) - 2**63 for k in range(n)]) for i, n in enumerate([0, 1, 2, 5, 64, 301])]
+    frame = spark.createDataFrame(rows, "id long, grams array<long>")
+    fast = [tuple(r) for r in frame.select("id", *decontaminate.fingerprint("grams")).orderBy("id").collect()]
+    monkeypatch.setattr(decontaminate, "LANE", -1)
+    assert fast == [tuple(r) for r in frame.select("id", *decontaminate.fingerprint("grams")).orderBy("id").collect()]
+    for (_, grams), (_, fp0, _) in zip(rows, fast, strict=True):
+        assert fp0 % 2**64 == sum(1 << b for b in range(64) if 2 * sum((g >> b) & 1 for g in grams) > len(grams))
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_recall_at_the_threshold(spark, monkeypatch, most):
+    """Windows with one to four words replaced: similarities from 0.75 to 0.84. All lie above the threshold, so brute force
+    finds each; the index may miss what lies beyond its radius."""
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ROWS", most)
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(4000)]
+    items = [[rng.choice(words) for _ in range(60)] for _ in range(150)]
+    texts, similar = [], []
+    for k, item in enumerate(items):
+        edited, at, n = list(item), rng.randrange(5, 50), k % 4 + 1
+        edited[at : at + n] = [f"new{k}x{j}" for j in range(n)]
+        grams = [{tuple(w[i : i + 5]) for i in range(56)} for w in (item, edited)]
+        similar.append(len(grams[0] & grams[1]) / len(grams[0] | grams[1]))
+        texts.append(" ".join([*(rng.choice(words) for _ in range(rng.randrange(40))), *edited, *(rng.choice(words) for _ in range(30))]))
+    assert 0.75 <= min(similar) and max(similar) < 0.85
+    found = decontaminate.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert all(a == b for a, b in got) and len(got) >= 0.9 * len(items)
+
+
+def test_clean_tells_rows_of_one_doc_id_apart(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"so {item} it goes"), (1, "something else that is fine"), (None, item), (2, None)], "doc_id long, text string")
+    left = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == [("1", "something else that is fine"), ("2", "None")]

@@ -39,6 +39,8 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: Members up to which all pairs of different components within a band are compared; beyond, see `across_hub`.
 SMALL_BAND = 32
+#: Spokes that share one copy of their hub's text, about.
+SPOKES = 1024
 #: Chance at which a pair at the threshold may be pruned, for each look.
 MISS = 1e-6
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -134,16 +136,39 @@ def explode_bands(classes: DataFrame) -> DataFrame:
     return shipped(classes.select("id", "signature")).mapInArrow(work, "key long, id long")
 
 
-def set_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
-    """For rows (a, b, text_a, text_b): some rows, the index of one of them, and the shingle sets of its two texts."""
+def around_hubs(spokes: DataFrame, docs: DataFrame) -> DataFrame:
+    """spokes: hub, spoke -> rows of hub, part, kind, id and text, so partitioned and sorted that a part's hub (kind 0) comes
+    before up to about SPOKES of its spokes (kind 1). A hub's text travels once a part, not once a pair."""
+    counted = spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("spoke"), F.ceil(F.col("n") / SPOKES)).cast("int")
+    placed = written(spokes.join(counted, "hub").select("hub", "spoke", part.alias("part")), "placed-spokes")
+    route = lambda id_, kind: [F.col(id_).alias("id"), F.struct("hub", "part", F.lit(kind).alias("kind")).alias("r")]
+    routes = placed.select(*route("spoke", 1)).union(placed.select("hub", "part").distinct().select(*route("hub", 0)))
+    routes = routes.groupBy("id").agg(F.collect_list("r").alias("routes"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(routes, "id")
+    sent = texts.select(F.explode("routes").alias("r"), "id", "text").select("r.hub", "r.part", "r.kind", "id", "text")
+    return sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", F.when(F.col("kind") == 0, F.xxhash64("text")))
+
+
+def beside_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], int, np.ndarray]]:
+    """For rows of `around_hubs`: hub, the sets of its rows, and each spoke with its set."""
+    at, held = None, []
     for batch in batches:
-        for rows, data, offsets in chunks(batch, "text_a"):
-            at, (left, left_sets) = 0, shingle_sets(data, offsets)
-            for other, other_data, other_offsets in chunks(rows, "text_b"):
-                right, right_sets = shingle_sets(other_data, other_offsets)
-                for k in range(other.num_rows):
-                    yield other, k, left[left_sets[at + k] : left_sets[at + k + 1]], right[right_sets[k] : right_sets[k + 1]]
-                at += other.num_rows
+        for rows, data, offsets in chunks(batch):
+            hashes, sets = shingle_sets(data, offsets)
+            for k, (hub, part, kind, id_) in enumerate(zip(*[rows.column(c).to_pylist() for c in range(4)], strict=True)):
+                own = hashes[sets[k] : sets[k + 1]]
+                if at != (hub, part):
+                    at, held = (hub, part), []
+                if kind == 0:
+                    held.append(own.copy())
+                else:
+                    yield hub, held, id_, own
+
+
+def within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which entries of the sorted x are in the sorted y."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -157,17 +182,27 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             yield batch.select([0, 1]).filter(pa.array(survivors(a, b)))
 
     alive = written(shipped(sized.select("a", "b", "signature_a", "signature_b")).mapInArrow(prune, "a long, b long"), "survivors")
-    ids = written(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct(), "ids")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+    ends = alive.select(F.col("a").alias("id")).union(alive.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = alive.join(ends.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(ends.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    first = F.col("n_a") >= F.col("n_b")
+    spokes = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("spoke"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, k, x, y in set_pairs(batches):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both > 0 and 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both):
-                yield rows.slice(k, 1).select([0, 1])
-
-    wide = alive.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(shipped(wide.select("a", "b", "text_a", "text_b")).mapInArrow(verify, "a long, b long"), "links")
+        found: list[tuple[int, int]] = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        for hub, sets, spoke, x in beside_hubs(batches):
+            if len(found) >= 10_000:
+                yield flush()
+                found = []
+            for y in sets:
+                both = int(within(x, y).sum())
+                if both > 0 and 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both):
+                    found.append((min(hub, spoke), max(hub, spoke)))
+                    break
+        if found:
+            yield flush()
+
+    return written(shipped(around_hubs(spokes, docs)).mapInArrow(verify, "a long, b long"), "links")
 
 
 def across_hub(members: DataFrame, of_class: DataFrame, degrees: DataFrame, docs: DataFrame) -> DataFrame:
@@ -187,17 +222,14 @@ def across_hub(members: DataFrame, of_class: DataFrame, degrees: DataFrame, docs
     chosen = members.join(hubs, "component").groupBy("key").agg(F.max(F.struct("degree", (-F.col("hub")).alias("m"), F.col("component").alias("home"))).alias("top"))
     chosen = written(chosen.select("key", (-F.col("top.m")).alias("hub"), "top.home"), "chosen")
     members = written(members.join(chosen, "key").select("id", "component", "home", "hub").distinct(), "hub-members")
-    spokes = members.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    ids = written(spokes.select(F.col("a").alias("id")).union(spokes.select("b")).distinct(), "ids")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    spokes = members.select("hub", F.col("id").alias("spoke")).distinct()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, k, x, y in set_pairs(batches):
-            rest = np.setdiff1d(x, y, assume_unique=True)
-            yield pa.RecordBatch.from_arrays([rows.column(0).slice(k, 1), rows.column(1).slice(k, 1), pa.array([len(x)], pa.int64()), pa.array([len(x) - len(rest)], pa.int64()), pa.array([rest.view(np.int64)], pa.list_(pa.int64()))], names=["id", "hub", "n", "o", "rest"])
+        for hub, sets, id_, x in beside_hubs(batches):
+            rest = x[~within(x, sets[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([id_], pa.int64()), pa.array([hub], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([len(x) - len(rest)], pa.int64()), pa.array([rest.view(np.int64)], pa.list_(pa.int64()))], names=["id", "hub", "n", "o", "rest"])
 
-    wide = spokes.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    measured = shipped(wide.select("a", "b", "text_a", "text_b")).mapInArrow(measure, "id long, hub long, n long, o long, rest array<long>")
+    measured = shipped(around_hubs(spokes, docs)).mapInArrow(measure, "id long, hub long, n long, o long, rest array<long>")
     measured = written(measured.join(members, ["id", "hub"]), "measured")
     strays = measured.filter("component <> home").select("hub", F.col("id").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"), F.col("o").alias("o_a"), F.col("rest").alias("rest_a"))
     least = F.ceil(F.col("n_a") * THRESHOLD_PERCENT / 100).cast("long")
@@ -256,9 +288,26 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component."""
-    gone = near_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of docs without near copies: of each group, the row of the smallest doc_id (null last, then by a digest of
+    the text) stays, once if that row repeats. Rows that share a doc_id but not their text are told apart, and rows without
+    a doc_id are grouped like others; rows without words all stay."""
+    key = F.xxhash64(F.lit(3), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd"), F.lit(True).alias("_is_odd"))
+    odd = written(odd, "odd-ids")
+    marked = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left").drop("_odd")
+    alone = F.xxhash64(F.lit(4), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    vertex = F.when(F.col("_is_odd"), alone).otherwise(F.col("doc_id")).cast("long")
+    found = written(near_components(marked.select(vertex.alias("doc_id"), "text")).distinct(), "vertices")
+    ids = marked.filter("_is_odd").select(alone.alias("doc_id"), F.col("doc_id").cast("long").alias("own"), key.alias("key")).distinct()
+    named = found.join(ids.withColumnRenamed("doc_id", "_v"), F.col("doc_id") == F.col("_v"), "left").filter("n_shingles > 0")
+    own = F.when(F.col("_v").isNull(), F.col("doc_id")).otherwise(F.col("own"))
+    named = written(named.select("doc_id", "component_id", F.struct(own.isNull().alias("last"), own.alias("own"), F.col("key"), F.col("doc_id").alias("v")).alias("rank")), "ranked")
+    stays = named.groupBy("component_id").agg(F.min("rank").alias("least"))
+    gone = named.join(stays, "component_id").filter(F.col("rank.v") != F.col("least.v")).select(F.col("doc_id").alias("_gone"))
+    left = marked.join(gone, vertex == F.col("_gone"), "left_anti")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = left.filter(F.col("_is_odd") & worded).withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
+    return left.filter(F.col("_is_odd").isNull() | ~worded).unionByName(again.drop("_key")).drop("_is_odd")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

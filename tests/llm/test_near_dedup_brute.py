@@ -54,3 +54,25 @@ def test_pruning_keeps_what_it_promises():
     least = near_dedup.least_agreement()
     assert all(0 < m <= 32 * (k + 1) * 0.75 for k, m in enumerate(least))
     assert list(least) == sorted(least)
+
+
+def test_a_large_cluster_of_copies_and_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SPOKES", 64)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    rows = [(i, " ".join(base)) for i in range(19_400)]
+    for i in range(19_400, 20_000):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = near_dedup.near_components(docs)
+    assert got.count() == 20_000 and got.filter("component_id <> 0").count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    text, other = "a b c d e f g", "p q r s t u v"
+    rows = [(5, text), (5, text), (5, "nothing like the rest of it"), (None, text), (None, other), (None, other), (9, other), (1, None), (1, None), (None, "")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, [(5, text), (5, "nothing like the rest of it"), (9, other), (1, None), (1, None), (None, "")]))

@@ -170,3 +170,10 @@ def test_clean_tells_rows_of_one_doc_id_apart(spark):
     docs = spark.createDataFrame([(1, f"so {item} it goes"), (1, "something else that is fine"), (None, item), (2, None)], "doc_id long, text string")
     left = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == [("1", "something else that is fine"), ("2", "None")]
+
+
+def test_cells_follow_the_rows(odd, monkeypatch):
+    assert [curriculum.cell_digits(n) for n in (0, 800_000, 800_001, 10**11)] == [1, 1, 2, 6]
+    want = sorted(map(str, curriculum.plan(odd).collect()))
+    monkeypatch.setattr(curriculum, "CELL_ROWS", 1)
+    assert sorted(map(str, curriculum.plan(odd).collect())) == want

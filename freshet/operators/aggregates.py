@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import ratio
+from freshet.operators.ranks import percentiles
 
 
 def resilience_curve(samples: DataFrame, by: Sequence[str] = ("factor_mult",), flag: str = "inunda") -> DataFrame:
@@ -59,18 +59,21 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, dtype, non_null and unique of every column."""
+    """column, dtype, non_null and unique of every column, from one scan: values are counted by column first."""
     types = dict(df.dtypes)
     columns = list(columns or df.columns)
-    parts = [df.agg(F.count(c).alias("non_null"), F.count_distinct(c).alias("unique")).select(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"), "non_null", "unique") for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    long = df.unpivot([], [F.col(c).cast("string").alias(c) for c in columns], "column", "_v")
+    values = long.groupBy("column", "_v").agg(F.count("_v").alias("_n"))
+    got = values.groupBy("column").agg(F.sum("_n").alias("non_null"), F.count("_v").alias("unique"))
+    kinds = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
+    return got.select("column", kinds[F.col("column")].alias("dtype"), "non_null", "unique")
 
 
 def describe_targets(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Mean, sample deviation (0 for a single row), quartiles and share of positive values of each target."""
     long = df.unpivot([], [F.col(t).cast("double").alias(t) for t in targets], "target", "x")
-    quartiles = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("target").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("least"), quartiles.alias("q"), F.max("x").alias("most"), F.avg((F.col("x") > 0).cast("double")).alias("positive_rate"))
+    out = long.groupBy("target").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg((F.col("x") > 0).cast("double")).alias("positive_rate"))
+    out = out.join(percentiles(long, "target", "x", (0.25, 0.5, 0.75)), "target", "left")
     return out.select("target", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "most", "positive_rate")
 
 
@@ -78,7 +81,7 @@ def feature_percentiles(df: DataFrame, features: Sequence[str], at: Sequence[flo
     """Least, exact percentiles (linear between ranks) and most of each feature."""
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in features], "feature", "x")
     names = [f"p{round(100 * p)}" for p in at]
-    out = long.groupBy("feature").agg(F.min("x").alias("least"), F.percentile("x", F.array(*[F.lit(float(p)) for p in at])).alias("q"), F.max("x").alias("most"))
+    out = long.groupBy("feature").agg(F.min("x").alias("least"), F.max("x").alias("most")).join(percentiles(long, "feature", "x", at), "feature", "left")
     return out.select("feature", "least", *[F.col("q")[k].alias(n) for k, n in enumerate(names)], "most")
 
 

@@ -66,8 +66,8 @@ def prediction_rows(nodes: DataFrame, multipliers: DataFrame, **constants: Colum
 
 def shown_metric(nodes: DataFrame) -> DataFrame:
     """The volume, unless no node has any; then the peak."""
-    total = F.max(F.abs("vol")).over(Window.partitionBy())
-    return nodes.withColumn("shown", F.when(total > 0, F.col("vol")).otherwise(F.col("peak")))
+    largest = nodes.agg(F.max(F.abs("vol")).alias("_most"))  # one row
+    return nodes.join(F.broadcast(largest)).withColumn("shown", F.when(F.col("_most") > 0, F.col("vol")).otherwise(F.col("peak"))).drop("_most")
 
 
 def factor_range(spark, first: float, last: float, step: float) -> DataFrame:

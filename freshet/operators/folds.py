@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.ranks import before_each
+
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
     """group, fold_id: a fold for each distinct group, in the order of groups."""
@@ -30,10 +32,11 @@ def balanced(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
 
 
 def long_form(samples: DataFrame, group_folds: DataFrame, group: str, protocol: str, key: str = "sample_idx") -> DataFrame:
-    """protocol, fold_id, sample_idx, split: every sample once a fold. Folds are few and are broadcast; samples aren't shuffled."""
+    """protocol, fold_id, sample_idx, split: every sample once a fold. Whether the table of groups is broadcast is left to
+    its size; the numbers of folds are one row."""
     of_group = group_folds.withColumnRenamed("fold_id", "own_fold")
-    folds = group_folds.select("fold_id").distinct()
-    wide = samples.select(key, group).join(F.broadcast(of_group), group).crossJoin(F.broadcast(folds))
+    folds = group_folds.agg(F.sort_array(F.collect_set("fold_id")).alias("_folds"))
+    wide = samples.select(key, group).join(of_group, group).join(F.broadcast(folds)).withColumn("fold_id", F.explode("_folds"))
     return wide.select(F.lit(protocol).alias("protocol"), "fold_id", key, F.when(F.col("fold_id") == F.col("own_fold"), "test").otherwise("train").alias("split"))
 
 
@@ -45,11 +48,7 @@ def hashed_split(df: DataFrame, group: str, test_percent: int = 20, seed: int =
 def sample_index(df: DataFrame, *order: str) -> DataFrame:
     """Consecutive numbers from 0 in the order, by range partitions: counts of the partitions come first, so no task holds
     all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(*order)
-    return ranged.join(F.broadcast(before), "_part").withColumn("sample_idx", F.col("_before") + F.row_number().over(w) - 1).drop("_part", "_before")
+    return before_each(df.withColumn("_one", F.lit(1)), (), order, sample_idx="_one").drop("_one")
 
 
 def overlap(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import full_flow_lps
+from freshet.session import settled
 
 #: Doubling rounds reach paths of 2^ROUNDS edges.
 ROUNDS = 40
@@ -17,24 +18,42 @@ def unique_edges(edges: DataFrame, order: str) -> DataFrame:
     return edges.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
 
-def closure(edges: DataFrame, checkpoint: bool | None = None) -> DataFrame:
-    """(ancestor, node) for every path, by doubling: paths of up to 2^k edges join with themselves. Distinct pairs only, so
-    diamonds don't multiply paths and cycles end; a node on a cycle isn't its own ancestor."""
-    spark = edges.sparkSession
-    cut = spark.sparkContext.getCheckpointDir() is not None if checkpoint is None else checkpoint
-    reach = edges.select(F.col("from_node").alias("ancestor"), F.col("to_node").alias("node")).filter("ancestor <> node").distinct()
-    known = reach.count()
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, node) for every path, by doubling: a round joins the pairs that the last one found with all pairs, so pairs
+    that are known aren't joined with each other again. Distinct pairs only, so diamonds don't multiply paths and cycles end;
+    a node on a cycle isn't its own ancestor. The result has a row per pair; where sums over ancestors of a forest are all
+    that is asked, `accumulate_tree` makes no pairs."""
+    reach = settled(edges.select(F.col("from_node").alias("ancestor"), F.col("to_node").alias("node")).filter("ancestor <> node").distinct())
+    fresh = reach
     for _ in range(ROUNDS):
-        step = reach.select("ancestor", F.col("node").alias("mid")).join(reach.select(F.col("ancestor").alias("mid"), "node"), "mid").select("ancestor", "node")
-        reach = reach.union(step).filter("ancestor <> node").distinct()
-        reach = reach.checkpoint() if cut else reach.persist()
-        now = reach.count()
-        if now == known:
+        behind = fresh.select("ancestor", F.col("node").alias("mid")).join(reach.select(F.col("ancestor").alias("mid"), "node"), "mid").select("ancestor", "node")
+        before = reach.select("ancestor", F.col("node").alias("mid")).join(fresh.select(F.col("ancestor").alias("mid"), "node"), "mid").select("ancestor", "node")
+        fresh = settled(behind.union(before).filter("ancestor <> node").distinct().join(reach, ["ancestor", "node"], "left_anti"))
+        if fresh.isEmpty():
             return reach
-        known = now
+        reach = settled(reach.union(fresh))
     raise RuntimeError("paths are longer than the rounds can reach")
 
 
+def accumulate_tree(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """`accumulate` for forests (a node has one way down at most), by pointer doubling: after k rounds each node holds the sum
+    over ancestors up to 2^k - 1 edges above, and a pointer 2^k edges down. Rows stay as many as nodes."""
+    repeated = edges.groupBy("from_node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError("a node has several ways down; use accumulate")
+    down = edges.select(F.col("from_node").alias("node_id"), F.col("to_node").alias("next"))
+    state = settled(nodes.select("node_id", F.coalesce(F.col(value), F.lit(0)).alias("total")).join(down, "node_id", "left"))
+    for _ in range(ROUNDS):
+        open_ = state.filter("next IS NOT NULL")
+        if open_.isEmpty():
+            return state.select("node_id", F.col("total").alias(f"{value}_acum"))
+        given = open_.groupBy(F.col("next").alias("node_id")).agg(F.sum("total").alias("more"))
+        further = state.select(F.col("node_id").alias("next"), F.col("next").alias("then"))
+        moved = state.join(given, "node_id", "left").join(further, "next", "left")
+        state = settled(moved.select("node_id", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), F.col("then").alias("next")))
+    raise ValueError("a cycle, or a chain longer than the rounds can reach")
+
+
 def ancestor_counts(nodes: DataFrame, reach: DataFrame) -> DataFrame:
     n = reach.groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).alias("n_ancestors"))
     return nodes.select("node_id").join(n, "node_id", "left").fillna(0, ["n_ancestors"])
@@ -49,10 +68,10 @@ def accumulate(nodes: DataFrame, reach: DataFrame, value: str) -> DataFrame:
 
 def distance_to_outfall(nodes: DataFrame, edges: DataFrame, outfalls: DataFrame, length: str = "length") -> DataFrame:
     """The least length of a path to any outfall, NULL without one: relaxation from all outfalls at once, in which only
-    nodes that came closer in a round are looked at in the next."""
-    spark = edges.sparkSession
-    cut = spark.sparkContext.getCheckpointDir() is not None
-    steps = edges.select("from_node", "to_node", F.coalesce(length, F.lit(0)).cast("double").alias("w")).persist()
+    nodes that came closer in a round are looked at in the next. Lengths below 0 are errors: a cycle of them has no least."""
+    weight = F.coalesce(length, F.lit(0)).cast("double")
+    sound = F.when(weight >= 0, weight).otherwise(F.raise_error(F.lit("an edge has a length below 0")).cast("double"))
+    steps = settled(edges.select("from_node", "to_node", sound.alias("w")))
     best = outfalls.select("node_id", F.lit(0.0).alias("distance"), F.lit(True).alias("new"))
     while not best.filter("new").isEmpty():
         front = best.filter("new").select(F.col("node_id").alias("to_node"), "distance")
@@ -60,7 +79,7 @@ def distance_to_outfall(nodes: DataFrame, edges: DataFrame, outfalls: DataFrame,
         both = best.withColumn("new", F.lit(False)).unionByName(offers)
         # the least distance wins; at equal distances an old one, so that nothing is looked at twice
         best = both.groupBy("node_id").agg(F.min(F.struct("distance", "new")).alias("m")).select("node_id", "m.distance", "m.new")
-        best = best.checkpoint() if cut else best.persist()
+        best = settled(best)
     return nodes.select("node_id").join(best.select("node_id", "distance"), "node_id", "left")
 
 
@@ -95,17 +114,13 @@ def supersession(links: DataFrame) -> DataFrame:
     """links: id, supersedes (NULL for a root). Every id with its root and depth, by pointer doubling: after k rounds a row
     has found its root or points 2^k links up. An id under several links has a row for each of its paths; one that leads to
     an id that isn't there, or into a cycle, has no root and no row."""
-    spark = links.sparkSession
-    # persisted plans would double each round, so without a folder the lineage is cut locally
-    shared = spark.sparkContext.getCheckpointDir() is not None
-    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
     done = F.col("supersedes").isNull()
-    up = cut(links.select("id", F.coalesce("supersedes", "id").alias("root"), F.when(done, 0).otherwise(1).cast("long").alias("depth"), done.alias("done")))
+    up = settled(links.select("id", F.coalesce("supersedes", "id").alias("root"), F.when(done, 0).otherwise(1).cast("long").alias("depth"), done.alias("done")))
     most, reached, open_ = up.count(), 1, up.filter("NOT done")
     while not open_.isEmpty() and reached <= most:
         above = up.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
         further = open_.join(above, F.col("root") == F.col("_id")).select("id", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
-        up, reached = cut(up.filter("done").unionByName(further)), 2 * reached
+        up, reached = settled(up.filter("done").unionByName(further)), 2 * reached
         open_ = up.filter("NOT done")
     found = up.filter("done")
     # more links than there are: what is still open ran into a cycle

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import missing_if_nan, ratio
+from freshet.operators.ranks import before_each, percentiles
 
 
 def confusion(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), zero: float | None = None) -> DataFrame:
@@ -26,9 +27,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
     """Rank-sum area, ties at their mean rank; NULL for a single class. Scores are collapsed first, so what is ordered is
     the table of distinct scores, not the rows."""
     per = df.groupBy(*by, score).agg(F.sum(F.col(truth).cast("long")).alias("_pos"), F.sum(1 - F.col(truth).cast("long")).alias("_neg"))
-    w = Window.partitionBy(*by).orderBy(score)
-    before = F.coalesce(F.sum("_neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("_wins", F.col("_pos") * (before + F.col("_neg") / 2))
+    wins = before_each(per, by, [score], _before="_neg").withColumn("_wins", F.col("_pos") * (F.col("_before") + F.col("_neg") / 2))
     out = wins.groupBy(*by).agg(F.sum("_wins").alias("_w"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     return out.select(*by, "n_pos", "n_neg", ratio(F.col("_w"), F.col("n_pos") * F.col("n_neg")).alias("roc_auc"))
 
@@ -36,8 +35,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
 def average_precision(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum of recall steps times precision over falling distinct scores; NULL for a single class."""
     per = df.groupBy(*by, score).agg(F.sum(F.col(truth).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("_p", F.sum("_pos").over(w) / F.sum("_n").over(w))
+    cum = before_each(per, by, [F.desc(score)], _pos_above="_pos", _n_above="_n").withColumn("_p", (F.col("_pos_above") + F.col("_pos")) / (F.col("_n_above") + F.col("_n")))
     out = cum.groupBy(*by).agg(F.sum(F.col("_pos") * F.col("_p")).alias("_s"), F.sum("_pos").alias("_np"), F.sum("_n").alias("_nn"))
     return out.select(*by, F.when((F.col("_np") > 0) & (F.col("_np") < F.col("_nn")), F.col("_s") / F.col("_np")).alias("pr_auc"))
 
@@ -54,10 +52,18 @@ def rmse(truth: Column, pred: Column) -> Column:
 
 
 def regression(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """nse, log_nse, rmse, mae and r2."""
+    """nse, log_nse, rmse, mae, r2 and n. r2 is NULL for fewer than two rows."""
     t, p = F.col(truth), F.col(pred)
-    floor = F.greatest(p, F.lit(0.0))
-    return df.groupBy(*by).agg(efficiency(t, p).alias("nse"), efficiency(F.log1p(t), F.log1p(floor)).alias("log_nse"), rmse(t, p).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), F.count(F.lit(1)).alias("n"))
+    floor, r2 = F.greatest(p, F.lit(0.0)), F.when(F.count(F.lit(1)) >= 2, efficiency(t, p))
+    return df.groupBy(*by).agg(efficiency(t, p).alias("nse"), efficiency(F.log1p(t), F.log1p(floor)).alias("log_nse"), rmse(t, p).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), r2.alias("r2"), F.count(F.lit(1)).alias("n"))
+
+
+def by_label(scored: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
+    """Scores of one frame (as `regression` or `confusion` give them by label) for every label of a list: rows is 0 and the
+    scores are NULL where no row has the label."""
+    count = "n" if "n" in scored.columns else None
+    rows = F.col("n") if count else F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    return labels.select(label).distinct().join(scored.withColumn("rows", rows), label, "left").fillna(0, ["rows"]).drop(*([count] if count else ["tp", "tn", "fp", "fn"]))
 
 
 def end_to_end(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -111,8 +117,7 @@ def mean_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = df
     for c in columns:
         per = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        below = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = per.filter(F.col(c).isNotNull()).select(F.col(c).alias("_v"), (below + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
+        ranks = before_each(per.filter(F.col(c).isNotNull()), (), [c], _below="_n").select(F.col(c).alias("_v"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
         out = out.join(ranks, out[c] == ranks["_v"], "left").drop("_v")
     return out.select(*[x for x in df.columns if x not in columns], *[F.col(f"_r_{c}").alias(c) for c in columns])
 
@@ -137,7 +142,8 @@ def ranking(metrics: DataFrame, primary: str, ties: Sequence[tuple[str, bool]],
 
 
 def quantile_threshold(df: DataFrame, value: str, q: float = 0.75, floor: float = 1e-6) -> DataFrame:
-    return df.agg(F.greatest(F.percentile(value, F.lit(q)), F.lit(floor)).alias("threshold"))
+    got = percentiles(df.select(F.lit(1).alias("_all"), value), "_all", value, [q])
+    return got.select(F.greatest(F.col("q")[0], F.lit(floor)).alias("threshold"))
 
 
 def class_weight(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -151,13 +157,19 @@ def top_loadings(loadings: DataFrame, k: int) -> DataFrame:
     return loadings.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The exact median of each column that has values; a row per column reaches the driver."""
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "_column", "_v")
+    return {r["_column"]: r["q"][0] for r in percentiles(long, "_column", "_v", [0.5]).collect()}
+
+
 def explained_variance(df: DataFrame, columns: Sequence[str]):
     """(variances, loadings) of a principal component analysis after median imputation and scaling by population deviation.
     Only the correlation matrix of the columns reaches the driver."""
     import numpy as np
 
-    row = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(row[c] or 0.0))).alias(c) for c in columns])
+    middle = medians(df, columns)
+    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(middle.get(c, 0.0))).alias(c) for c in columns])
     pairs = {(r["a"], r["b"]): r["r"] or 0.0 for r in correlation_pairs(filled, columns).collect()}
     matrix = np.array([[1.0 if a == b else pairs.get((a, b), pairs.get((b, a), 0.0)) for b in columns] for a in columns])
     values, vectors = np.linalg.eigh(matrix)

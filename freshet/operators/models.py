@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.metrics import medians as exact_medians
+
 
 @dataclass(frozen=True)
 class Family:
@@ -51,8 +53,8 @@ class Preparation:
 
     @staticmethod
     def fit(train: DataFrame, columns: Sequence[str], scaled: bool) -> Preparation:
-        m = train.agg(*[F.median(c).alias(c) for c in columns]).first()
-        medians = tuple(float(m[c] if m[c] is not None else 0.0) for c in columns)
+        found = exact_medians(train, columns)
+        medians = tuple(found.get(c, 0.0) for c in columns)
         if not scaled:
             return Preparation(tuple(columns), medians, (0.0,) * len(medians), (1.0,) * len(medians))
         filled = [F.coalesce(F.col(c).cast("double"), F.lit(x)) for c, x in zip(columns, medians, strict=True)]

@@ -91,6 +91,14 @@ def padded_sequences(series: DataFrame, keys: Sequence[str], time: str, features
     return wide.select(*keys, F.size("_rows").alias("length"), F.concat(F.transform("_rows", lambda r: r["x"]), F.array_repeat(zeros, F.col("_most") - F.size("_rows"))).alias("sequence"), "label", "y")
 
 
+def sequence_rows(series: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], target: str) -> DataFrame:
+    """A row per step of each key: position, features, and the key's length, label and y. Nothing is gathered or padded, so a
+    key of any length is as many rows; a batch that a model reads is padded to its own longest key."""
+    whole = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("length"), F.max((F.col(target) > 0).cast("int")).alias("label"), F.max(target).alias("y"))
+    placed = series.select(*keys, (F.row_number().over(ordered(keys, time)) - 1).alias("position"), time, *[F.col(c).cast("double").alias(c) for c in features])
+    return placed.join(whole, list(keys))
+
+
 def shape_stats(shapes: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Duration (the last time) and time of the first peak."""
     peak = F.max(F.struct(F.col(value).alias("v"), (-F.col(time)).alias("t")))

@@ -51,9 +51,9 @@ def k5(spark, sf):
     return B.samples(spark, sf).groupBy("node_id").agg(F.round(M.efficiency(F.col("vol"), F.col("vol_pred")), 7).alias("nse"))
 
 
-@query("k6_oracle_regression", WITH + f"SELECT scenario_type, round({_NSE.format(t='vol', p='vol_pred')}, 7) AS nse, round({_NSE.format(t='ln(1 + vol)', p='ln(1 + greatest(vol_pred, 0))')}, 7) AS log_nse, round(sqrt(avg((vol - vol_pred) * (vol - vol_pred))), 5) AS rmse, round(avg(abs(vol - vol_pred)), 5) AS mae, count(*) AS n FROM samples WHERE inunda = 1 GROUP BY 1")
+@query("k6_oracle_regression", WITH + f"SELECT scenario_type, round({_NSE.format(t='vol', p='vol_pred')}, 7) AS nse, round({_NSE.format(t='ln(1 + vol)', p='ln(1 + greatest(vol_pred, 0))')}, 7) AS log_nse, round(sqrt(avg((vol - vol_pred) * (vol - vol_pred))), 5) AS rmse, round(avg(abs(vol - vol_pred)), 5) AS mae, round(CASE WHEN count(*) >= 2 THEN {_NSE.format(t='vol', p='vol_pred')} END, 7) AS r2, count(*) AS n FROM samples WHERE inunda = 1 GROUP BY 1")
 def k6(spark, sf):
-    return rounded(M.regression(B.samples(spark, sf).filter("inunda = 1"), "vol", "vol_pred", ["scenario_type"]), nse=7, log_nse=7, rmse=5, mae=5)
+    return rounded(M.regression(B.samples(spark, sf).filter("inunda = 1"), "vol", "vol_pred", ["scenario_type"]), nse=7, log_nse=7, rmse=5, mae=5, r2=7)
 
 
 @query("k7_end_to_end", WITH + f"SELECT scenario_type, round(avg(CASE WHEN inunda = inunda_pred THEN 1e0 ELSE 0e0 END), 9) AS accuracy, round(sqrt(avg((vol - {_ROUTED}) * (vol - {_ROUTED}))), 5) AS rmse, round(sum({_ROUTED}), 6) AS total_pred, round(sum(vol), 4) AS total_truth FROM samples GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTC times, ANSI errors, adaptive execution and a recursion limit above the depth of real drainage networks.
@@ -26,5 +28,17 @@ def build_session(master: str | None = None, app: str = "freshet", **settings: s
     return builder.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a checkpoint in the folder that spark.checkpoint.dir names, so that its rows and
+    their partitions stay as they are whoever is lost. Only a local session may lack the setting; it gets a folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="freshet-"))
+    return df.checkpoint()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -75,7 +75,7 @@ def flooding_summary(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     start = F.max(F.when(text.contains("Node Flooding Summary"), F.col("line_no"))).over(w)
     tokens = F.split(text, r"\s+")
-    is_row = (F.size(tokens) >= 3) & F.element_at(tokens, -1).try_cast("double").isNotNull() & F.get(tokens, F.lit(1)).try_cast("double").isNotNull()
+    is_row = (F.size(tokens) >= 4) & F.element_at(tokens, -1).try_cast("double").isNotNull()
     marked = lines.withColumns({"_start": start, "_row": is_row, "_tokens": tokens}).filter(F.col("_start").isNotNull())
     seen = F.max(F.col("_row").cast("int")).over(w)
     ends = F.max(((F.col("_seen") == 1) & ~F.col("_row") & (text != "") & (text.startswith("***") | text.rlike(r"^[A-Z][A-Z ]+$") | text.contains("Summary"))).cast("int")).over(w)

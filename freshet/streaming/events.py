@@ -46,3 +46,15 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def drain_to(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there now into a Parquet table of its last state, which is read back; nothing passes through
+    the driver."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(path)

@@ -24,9 +24,26 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The frame as a table in the shared folder, read back: lineage ends here and lost executors cost nothing that was written."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    made(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this session has written and not forgotten, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_freshet_tables"):
+        context._freshet_tables = []
+    return context._freshet_tables
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of `written`; nothing that is still to be read may come from them. Token files are results and stay."""
+    for path in list(paths):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        made(spark).remove(path)
+
+
 #: Rows of text in one Arrow batch: at Spark's default of 10,000, a batch of long texts is as large as a worker's share of memory.
 BATCH_SETTING, DEFAULT_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 

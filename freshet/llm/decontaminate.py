@@ -12,9 +12,9 @@ the sum of the greater weights.
 At similarity 0.75 (equal sizes) a bit differs with probability 0.17, so 31 of 128 bits are 2.1 standard deviations above
 the mean: about 2 % of pairs that have exactly the least similarity lie outside, 0.2 % at 0.8, none that are equal.
 
-Item tables are broadcast only if they have at most MAX_BROADCAST_ROWS rows (24 bytes each for shingles, 40 for index
-entries, which are counted apart); beyond that the same joins shuffle. The index grows with the benchmark, never with the
-corpus. Defined cases: null or wordless texts match nothing; rows that share doc_id are told apart by a digest of the
+Shingles of items are broadcast only if they are at most MAX_BROADCAST_ROWS (24 bytes each); beyond that the same joins
+shuffle. The index has 5,576 entries an item, about 200 bytes each in a broadcast, so it is sorted and shuffled from
+MAX_BROADCAST_ENTRIES on (some twenty items). It grows with the benchmark, never with the corpus. Defined cases: null or wordless texts match nothing; rows that share doc_id are told apart by a digest of the
 text: `contaminated` flags a doc_id if any row of it matches, `clean` drops the rows whose own text does; null item texts
 are skipped; an item under five words matches whoever has all of its words in a row, so give no items of single common
 words; empty tables give no match; columns other than doc_id, text, item_id are not read.
@@ -37,7 +37,7 @@ BLOCKS, BLOCK_BITS, FLIPS = 8, 16, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: All values of a block with at most FLIPS bits set.
 MASKS = [sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), n)]
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS, MAX_BROADCAST_ENTRIES = 1_000_000, 100_000
 #: Sums of 16 bits hold the votes of as many shingles.
 LANE = (1 << 16) - 1
 
@@ -113,9 +113,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     values = F.explode(F.flatten(F.transform(blocks(), lambda v, k: F.transform(F.lit(MASKS), lambda flips: F.struct(k.alias("block"), v.bitwiseXOR(flips).alias("value"))))))
     probes = items.select("item_id", "item_words", F.size("grams").alias("item_grams"), *fingerprint("grams")).select("item_id", "item_words", "item_grams", "fp0", "fp1", values.alias("v"))
     probes = probes.select("item_id", "item_words", "item_grams", F.col("fp0").alias("i0"), F.col("fp1").alias("i1"), "v.block", "v.value")
+    # the planner takes the index for as small as its items, so it has to be told
+    index = F.broadcast(probes) if facts["items"] * BLOCKS * len(MASKS) <= MAX_BROADCAST_ENTRIES else probes.hint("merge")
     looked = windows.select("doc_id", "doc_key", "start", "item_words", "fp0", "fp1", F.size("grams").alias("window_grams"), F.posexplode(blocks()).alias("block", "value"))
     distance = F.bit_count(F.col("fp0").bitwiseXOR(F.col("i0"))) + F.bit_count(F.col("fp1").bitwiseXOR(F.col("i1")))
-    near = looked.join(small(probes, facts["items"] * BLOCKS * len(MASKS)), ["item_words", "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
+    near = looked.join(index, ["item_words", "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
     pairs = near.select("doc_id", "doc_key", "start", "item_words", "item_id", "distance", "window_grams", "item_grams").distinct()
 
     counted = windows.select("doc_id", "doc_key", "start", "item_words", F.explode("grams").alias("gram")).groupBy("doc_id", "doc_key", "start", "item_words", "gram").agg(F.count(F.lit(1)).alias("c"))

@@ -149,6 +149,7 @@ def test_recall_at_the_threshold(spark, monkeypatch, most):
     """Windows with one to four words replaced: similarities from 0.75 to 0.84. All lie above the threshold, so brute force
     finds each; the index may miss what lies beyond its radius."""
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ROWS", most)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ENTRIES", most)
     rng = random.Random(8)
     words = [f"word{i}" for i in range(4000)]
     items = [[rng.choice(words) for _ in range(60)] for _ in range(150)]

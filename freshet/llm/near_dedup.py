@@ -145,7 +145,7 @@ def around_hubs(spokes: DataFrame, docs: DataFrame) -> DataFrame:
     route = lambda id_, kind: [F.col(id_).alias("id"), F.struct("hub", "part", F.lit(kind).alias("kind")).alias("r")]
     routes = placed.select(*route("spoke", 1)).union(placed.select("hub", "part").distinct().select(*route("hub", 0)))
     routes = routes.groupBy("id").agg(F.collect_list("r").alias("routes"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(routes, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(routes.hint("merge"), "id")  # texts are shuffled at any size
     sent = texts.select(F.explode("routes").alias("r"), "id", "text").select("r.hub", "r.part", "r.kind", "id", "text")
     return sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", F.when(F.col("kind") == 0, F.xxhash64("text")))
 
@@ -304,7 +304,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = written(named.select("doc_id", "component_id", F.struct(own.isNull().alias("last"), own.alias("own"), F.col("key"), F.col("doc_id").alias("v")).alias("rank")), "ranked")
     stays = named.groupBy("component_id").agg(F.min("rank").alias("least"))
     gone = named.join(stays, "component_id").filter(F.col("rank.v") != F.col("least.v")).select(F.col("doc_id").alias("_gone"))
-    left = marked.join(gone, vertex == F.col("_gone"), "left_anti")
+    left = marked.join(gone.hint("merge"), vertex == F.col("_gone"), "left_anti")  # at any size, as above
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     again = left.filter(F.col("_is_odd") & worded).withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
     return left.filter(F.col("_is_odd").isNull() | ~worded).unionByName(again.drop("_key")).drop("_is_odd")

@@ -182,7 +182,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             yield batch.select([0, 1]).filter(pa.array(survivors(a, b)))
 
     alive = written(shipped(sized.select("a", "b", "signature_a", "signature_b")).mapInArrow(prune, "a long, b long"), "survivors")
-    ends = alive.select(F.col("a").alias("id")).union(alive.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ends = written(alive.select(F.col("a").alias("id")).union(alive.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "ends")  # as a table, so that a hub's pairs can be split in the joins
     ranked = alive.join(ends.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(ends.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
     first = F.col("n_a") >= F.col("n_b")
     spokes = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("spoke"))

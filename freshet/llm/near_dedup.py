@@ -302,7 +302,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = found.join(ids.withColumnRenamed("doc_id", "_v"), F.col("doc_id") == F.col("_v"), "left").filter("n_shingles > 0")
     own = F.when(F.col("_v").isNull(), F.col("doc_id")).otherwise(F.col("own"))
     named = written(named.select("doc_id", "component_id", F.struct(own.isNull().alias("last"), own.alias("own"), F.col("key"), F.col("doc_id").alias("v")).alias("rank")), "ranked")
-    stays = named.groupBy("component_id").agg(F.min("rank").alias("least"))
+    stays = named.groupBy("component_id").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    stays = written(stays, "stays")  # as a table, so that a large group can be split in the join
     gone = named.join(stays, "component_id").filter(F.col("rank.v") != F.col("least.v")).select(F.col("doc_id").alias("_gone"))
     left = marked.join(gone.hint("merge"), vertex == F.col("_gone"), "left_anti")  # at any size, as above
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from freshet.functions.scalars import ratio
 from freshet.operators.ranks import percentiles
@@ -58,6 +59,13 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return long.select("column", "missing", (100 * ratio(F.col("missing"), F.col("_n"))).alias("missing_pct"))
 
 
+def numeric_missing(df: DataFrame) -> DataFrame:
+    """column, missing of the numeric columns and of their `total`; texts and dates aren't looked at."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    long = missing_by_column(df, names).select("column", "missing")
+    return long.unionByName(long.agg(F.lit("total").alias("column"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing")))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, dtype, non_null and unique of every column, from one scan: values are counted by column first."""
     types = dict(df.dtypes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,3 +113,16 @@ def paired_members(df: DataFrame, key: str, role: str, left: str, right: str) ->
     """Rows of one role beside rows of another with the same key."""
     a, b = df.filter(F.col(role) == left).alias("a"), df.filter(F.col(role) == right).alias("b")
     return a.join(b, key).select(key, F.col("a.member").alias(left), F.col("b.member").alias(right))
+
+
+def window_runs(windows: DataFrame, regressions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Windows beside the regression that scored them and the run they come from; windows that lack either are left out."""
+    return windows.join(regressions, "regression_id").join(runs, "run_id")
+
+
+def split_off(tables: dict[str, DataFrame], doomed: DataFrame, key: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without the rows of doomed keys, and (table, deleted, kept) of each table."""
+    marks = doomed.select(key).distinct().withColumn("_doomed", F.lit(True))
+    marked = {name: df.join(marks, key, "left") for name, df in tables.items()}
+    counts = [df.agg(F.count("_doomed").alias("deleted"), F.count_if(F.col("_doomed").isNull()).alias("kept")).select(F.lit(name).alias("table"), "deleted", "kept") for name, df in marked.items()]
+    return {name: df.filter("_doomed IS NULL").drop("_doomed") for name, df in marked.items()}, reduce(DataFrame.unionByName, counts)

@@ -133,3 +133,24 @@ def guarded_append(current: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
 def hash_mismatches(networks: DataFrame, content: str, digest: str) -> DataFrame:
     """Rows whose stored digest isn't the content's SHA-256."""
     return networks.filter(F.sha2(F.col(content), 256) != F.lower(F.col(digest)))
+
+
+def base_guards(networks: DataFrame) -> DataFrame:
+    """network_id, level, rule of base inputs that shouldn't be run: errors for flow units other than LPS and for contents
+    whose MD5 isn't the expected one (unless overridden), a warning where ponding is allowed. networks: network_id,
+    flow_units, ponding, content, expected_md5, overridden."""
+    units = ~F.coalesce(F.upper(F.trim("flow_units")) == "LPS", F.lit(False))
+    differs = ~F.md5(F.col("content").cast("binary")).eqNullSafe(F.lower("expected_md5")) & ~F.coalesce("overridden", F.lit(False))
+    found = F.array(*[F.when(bad, F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"))) for bad, level, rule in ((units, "error", "flow_units"), (differs, "error", "content"), (F.coalesce("ponding", F.lit(False)), "warning", "ponding"))])
+    return networks.select("network_id", F.explode(F.array_compact(found)).alias("r")).select("network_id", "r.level", "r.rule")
+
+
+def low_multipliers(df: DataFrame, multiplier: str, least: float) -> DataFrame:
+    """Rows whose multiplier is missing, not a number or under the least."""
+    return df.filter(~F.coalesce(as_number(F.col(multiplier)) >= least, F.lit(False)))
+
+
+def other_definitions(parts: DataFrame, manifest: DataFrame, part: str, definition: str) -> DataFrame:
+    """Parts of a prepared set that were made by another definition than the manifest's, or by none."""
+    wanted = manifest.select(F.col(part), F.col(definition).alias("_wanted"))
+    return parts.join(wanted, part, "left").filter(~F.col(definition).eqNullSafe(F.col("_wanted"))).drop("_wanted")

@@ -70,16 +70,18 @@ def timeseries(parsed: DataFrame) -> DataFrame:
 
 def flooding_summary(lines: DataFrame) -> DataFrame:
     """file, node_id, flooding_volume_m3 of a report's table 'Node Flooding Summary': the last number of a row, in millions
-    of litres, until the next title in capitals or line of stars behind rows."""
+    of litres. Rows stand below a line of dashes or double dashes, up to a line of stars or a title in capitals; the title of another summary
+    ends the table even where it is empty."""
     text = F.trim("line")
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.max(F.when(text.contains("Node Flooding Summary"), F.col("line_no"))).over(w)
+    title = text.contains("Node Flooding Summary")
+    inside = lines.withColumn("_in", F.max(title.cast("int")).over(w)).filter("_in = 1")
     tokens = F.split(text, r"\s+")
     is_row = (F.size(tokens) >= 4) & F.element_at(tokens, -1).try_cast("double").isNotNull()
-    marked = lines.withColumns({"_start": start, "_row": is_row, "_tokens": tokens}).filter(F.col("_start").isNotNull())
-    seen = F.max(F.col("_row").cast("int")).over(w)
-    ends = F.max(((F.col("_seen") == 1) & ~F.col("_row") & (text != "") & (text.startswith("***") | text.rlike(r"^[A-Z][A-Z ]+$") | text.contains("Summary"))).cast("int")).over(w)
-    rows = marked.withColumn("_seen", seen).withColumn("_end", ends).filter("_row AND _end = 0")
+    headed = inside.withColumns({"_tokens": tokens, "_row": is_row, "_head": F.max(text.rlike("^(---|===)").cast("int")).over(w)})
+    closes = (F.col("_head") == 1) & (text.startswith("*") | text.rlike(r"^[A-Z][A-Z ]+$"))
+    other = ~F.col("_row") & text.contains("Summary") & ~title
+    rows = headed.withColumn("_end", F.max((closes | other).cast("int")).over(w)).filter("_row AND _head = 1 AND _end = 0")
     return rows.select("file", F.col("_tokens")[0].alias("node_id"), (F.element_at("_tokens", -1).try_cast("double") * 1000).alias("flooding_volume_m3"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +77,23 @@ def newest(spark: SparkSession, pattern: str) -> str:
     """The path of the file that was modified last."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
     return files.agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]["path"]
+
+
+def aliased(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The columns under the library's names: each takes the first of its aliases that the frame has, whatever the case.
+    Columns of no alias are left out; a name without any is an error."""
+    have = {c.lower(): c for c in reversed(df.columns)}
+    found = {name: next((have[a.lower()] for a in (name, *others) if a.lower() in have), None) for name, others in aliases.items()}
+    lacking = [name for name, c in found.items() if c is None]
+    if lacking:
+        raise ValueError(f"no column for {lacking}")
+    return df.select(*[F.col(c).alias(name) for name, c in found.items()])
+
+
+def minutes_column(df: DataFrame, key: str, time: str = "time") -> DataFrame:
+    """The series with time_min: minutes since the key's first time stamp, or the time itself where it is a number already."""
+    if not isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return df.withColumn("time_min", F.col(time).cast("double"))
+    first = df.groupBy(key).agg(F.min(time).alias("_first"))
+    micros = F.timestamp_diff("MICROSECOND", F.col("_first").cast("timestamp_ntz"), F.col(time).cast("timestamp_ntz"))
+    return df.join(first, key).withColumn("time_min", micros / F.lit(6e7)).drop("_first")

@@ -18,7 +18,8 @@ each) must fit one row, and its depth the stack.
 
 Defined cases: turns are in order of `turn`, null first, then by digest; repeated rows are turns of their own; null roles and
 texts are empty; rows without conv_id belong to no conversation and are not read; a conversation that is rebuilt without turns
-ends at the root; remainders of negative ids are SQL's (towards zero); an empty table has no members, so no node; other columns are not read.
+ends at the root; remainders of negative ids are SQL's (towards zero); an empty table has no members, so no node; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def turn_key(role: Column, text: Column) -> Column:
 
 def turn_lists(conversations: DataFrame) -> DataFrame:
     """conv_id and turns, an array of their keys in order; rows of one family of ids are in one partition."""
-    conv_id = F.col("conv_id").cast("long")
-    rows = conversations.filter(F.col("conv_id").isNotNull()).select((conv_id - conv_id % FAMILY).alias("family"), conv_id.alias("conv_id"), F.struct("turn", turn_key(F.col("role"), F.col("text")).alias("key")).alias("entry"))
+    conv_id, entry = F.col("conv_id").cast("long"), F.struct("turn", turn_key(F.col("role"), F.col("text")).alias("key"))
+    rows = conversations.filter(F.col("conv_id").isNotNull()).select((conv_id - conv_id % FAMILY).alias("family"), conv_id.alias("conv_id"), entry.alias("entry"))
     return rows.repartition("family").groupBy("family", "conv_id").agg(F.sort_array(F.collect_list("entry")).getField("key").alias("turns"))
 
 
@@ -111,7 +112,8 @@ def cut_runs(lists: DataFrame, cuts: list[bytes]) -> DataFrame:
             shared, rests = front_code(keys[at:to])
             rows.append((r, r * tasks // (len(cuts) + 1), np.array(shared, np.int32).tobytes(), np.array([len(x) for x in rests], np.int32).tobytes(), b"".join(rests)))
             at = to
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["range", "task", "shared", "sizes", "rests"])
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["range", "task", "shared", "sizes", "rests"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, entries = [], 0

@@ -99,7 +99,7 @@ def test_odd_rows(spark, monkeypatch):
 
 
 def test_long_conversations(spark):
-    rows = [(c, k, "user", str(k % 7)) for c in (5, 6, 20) for k in range(2500)]
+    rows = [(c, k, "user", str(k % 7)) for c in (5, 6, 20) for k in range(300)]
     assert nodes(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)) == plain(rows)
 
 

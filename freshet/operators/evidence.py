@@ -21,6 +21,11 @@ def definition_id(definition: Mapping, digits: int = 64) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:digits]
 
 
+def definition_column(**parts: Column) -> Column:
+    """The SHA-256 of each row's definition, as `definition_id` makes it: JSON with sorted keys and no spaces."""
+    return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
+
+
 def own_parameters(parameters: Mapping, reserved: Sequence[str]) -> dict:
     """The parameters of an estimator without those that the library sets itself."""
     return {k: v for k, v in parameters.items() if k not in set(reserved)}

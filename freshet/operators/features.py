@@ -76,6 +76,12 @@ def factor_range(spark, first: float, last: float, step: float) -> DataFrame:
     return spark.range(n + 1).select(F.round(F.lit(first) + F.col("id") * step, 6).alias("factor_mult"))
 
 
+def inclusive_range(first: Column, last: Column, step: Column) -> Column:
+    """first, first + step, ..., last included, rounded to 6 places, as an array."""
+    n = F.bround((last - first) / step).cast("int")
+    return F.transform(F.sequence(F.lit(0), n), lambda k: F.round(first + k * step, 6))
+
+
 def regimes(df: DataFrame, trained: DataFrame, value: str) -> DataFrame:
     """Inside or outside of the trained range of a value."""
     span = trained.agg(F.min(value).alias("_a"), F.max(value).alias("_b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,26 @@ def long_form(samples: DataFrame, group_folds: DataFrame, group: str, protocol:
     return wide.select(F.lit(protocol).alias("protocol"), "fold_id", key, F.when(F.col("fold_id") == F.col("own_fold"), "test").otherwise("train").alias("split"))
 
 
-def hashed_split(df: DataFrame, group: str, test_percent: int = 20, seed: int = 42) -> DataFrame:
-    """split of each row by a hash of its group: no group is in both."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(100)) < test_percent, "test").otherwise("train"))
+def grouped_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """split of each row: exactly ceil(test_share * groups) groups are `test`, those with the smallest hashes of seed and
+    group. Groups are counted by the first digits of their hash (65,536 rows at most); only the digits at which the share is
+    reached are looked at again, and of those only the smallest hashes."""
+    text = F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))
+    hashed = F.md5(F.coalesce(text, F.lit(str(seed))).cast("binary"))
+    groups = df.select(group).distinct().select(hashed.alias("h"))
+    start = F.substring("h", 1, 4)
+    counts = sorted((r["s"], r["n"]) for r in groups.groupBy(start.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in counts)
+    wanted = ceil(test_share * total)
+    if not 0 < wanted < total:
+        raise ValueError(f"{test_share} of {total} groups leave a side empty")
+    before = 0
+    for digits, n in counts:
+        if before + n >= wanted:
+            break
+        before += n
+    last = groups.filter(start == digits).orderBy("h").limit(wanted - before).agg(F.max("h")).first()[0]
+    return df.withColumn("split", F.when(hashed <= last, "test").otherwise("train"))
 
 
 def sample_index(df: DataFrame, *order: str) -> DataFrame:

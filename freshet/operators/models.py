@@ -13,7 +13,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.kernels import FourierFeatures
 from freshet.operators.metrics import medians as exact_medians
+from freshet.operators.perceptron import Network
 
 
 @dataclass(frozen=True)
@@ -30,14 +32,25 @@ def _of(kind: type, **options) -> Callable[[], Estimator]:
     return lambda: kind(featuresCol="features", **options)
 
 
-#: Boosted trees and forests, and linear models; a linear support-vector classifier stands in for kernel machines.
+def _kernel(kind: type, **options) -> Callable[[], Estimator]:
+    """A linear machine over random Fourier features: a Gaussian kernel's machine."""
+    return lambda: Pipeline(stages=[FourierFeatures(inputCol="features", outputCol="kernel"), kind(featuresCol="kernel", **options)])
+
+
+def _network(**options) -> Callable[[], Estimator]:
+    return lambda: Network(featuresCol="features", **options)
+
+
+#: Boosted trees and forests, linear models, kernel machines (squared errors where others use an insensitive band) and
+#: perceptrons.
 FAMILIES = {
     f.name: f
     for f in (
         Family("boosted_trees", _of(GBTClassifier, labelCol="label", weightCol="weight", maxIter=20, seed=42), _of(GBTRegressor, labelCol="target", maxIter=20, seed=42)),
         Family("random_forest", _of(RandomForestClassifier, labelCol="label", weightCol="weight", numTrees=30, seed=42), _of(RandomForestRegressor, labelCol="target", numTrees=30, seed=42)),
         Family("linear", _of(LogisticRegression, labelCol="label", weightCol="weight"), _of(LinearRegression, labelCol="target", regParam=0.1), scaled=True),
-        Family("svm", _of(LinearSVC, labelCol="label", weightCol="weight", regParam=0.01), _of(LinearRegression, labelCol="target", regParam=1.0), scaled=True),
+        Family("svm", _kernel(LinearSVC, labelCol="label", weightCol="weight", regParam=0.001), _kernel(LinearRegression, labelCol="target", regParam=0.001), scaled=True),
+        Family("mlp", _network(labelCol="label", weightCol="weight"), _network(labelCol="target", classify=False), scaled=True),
     )
 }
 
@@ -80,7 +93,7 @@ class Cascade:
             prob = vector_to_array("probability")[1]
         else:
             prob = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
-        scored = scored.withColumn("prob", prob).withColumn("inunda_pred", (F.col("prob") >= 0.5).cast("int")).drop("features", "prediction", "rawPrediction", "probability")
+        scored = scored.withColumn("prob", prob).withColumn("inunda_pred", (F.col("prob") >= 0.5).cast("int")).drop("features", "kernel", "prediction", "rawPrediction", "probability")
         raw = self.regressor.transform(scored).withColumn("_raw", F.greatest(F.expm1("prediction"), F.lit(0.0))) if self.regressor else scored.withColumn("_raw", F.lit(0.0))
         return raw.select(*keep, "prob", "inunda_pred", F.col("_raw").alias("vol_raw"), F.when(F.col("inunda_pred") == 1, F.col("_raw")).otherwise(0.0).alias("vol_pred"))
 

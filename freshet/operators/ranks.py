@@ -1,30 +1,60 @@
-"""Running totals and exact percentiles over range partitions, so that no task holds all rows."""
+"""Running totals and exact percentiles over parts of an order, so that no task holds all rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.session import settled
+#: Parts of an order at most, and sampled rows for each bound between them.
+MOST_PARTS, SAMPLES = 1024, 16
 
 
-def before_each(df: DataFrame, by: Sequence[str], order: Sequence, **sums: str) -> DataFrame:
-    """Adds, under each name, the sum of a column over the rows of the same `by` that come before a row in the order.
+def bounds(df: DataFrame, order: Sequence[str], parts: int | None = None) -> list[tuple]:
+    """Ascending values of the order's columns that cut the rows into parts (as many as shuffles have partitions, unless
+    told) of about equal size, from a sample of bounded size: the top SAMPLES * parts of random numbers, in one pass."""
+    n = min(MOST_PARTS, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if n < 2:
+        return []
+    picked = [tuple(r) for r in df.select(*order).orderBy(F.rand(11)).limit(SAMPLES * n).collect()]
+    rising = lambda row: [(v is not None, isinstance(v, float) and math.isnan(v), 0 if v is None or v != v else v) for v in row]
+    picked.sort(key=rising)
+    cuts = [picked[len(picked) * k // n] for k in range(1, n)] if picked else []
+    return [c for k, c in enumerate(cuts) if k == 0 or rising(c) != rising(cuts[k - 1])]
 
-    Rows are dealt to ranges of (by, order) once and settled, as their partition's number must not change; totals of the
-    partitions (a row per partition and key in it) are summed first, and each partition then counts on from there."""
-    ranged = settled(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    above = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", *[F.col(k).alias(f"_k_{k}") for k in by], *[F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_s_{n}") for n in sums])
-    same = F.col("_part") == F.col("_p")
-    for k in by:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    within = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    both = ranged.join(starts.withColumnRenamed("_part", "_p"), same)
-    return both.withColumns({n: F.col(f"_s_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).select(*df.columns, *sums)
+
+def part_of(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple]) -> Column:
+    """How many of the cuts aren't behind the row: a pure function of the order's columns, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    kinds = {f.name: f.dataType for f in df.select(*order).schema.fields}
+    table = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut, strict=True)]) for cut in cuts])
+    key = F.struct(*order)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= key, at + s).otherwise(at))
+
+
+def before_each(df: DataFrame, by: Sequence[str], order: Sequence[str], descending: bool = False, totals: bool = False, **sums: str) -> DataFrame:
+    """Adds, under each name, the sum of a column over the rows of the same `by` that come before a row in the order, and
+    with `totals`, under `total_<name>`, that over all rows of the same `by`.
+
+    The part of the order that a row belongs to follows from the row itself, so nothing has to be settled: rows are shuffled
+    once, by part and `by`, for their running sums, and sums of parts (a row per part and key in it) are added up before
+    they are."""
+    part = part_of(df, order, bounds(df, order))
+    keyed = df.withColumn("_key", F.struct((-part if descending else part).alias("part"), *by))
+    dealt = keyed.repartition("_key")
+    per = keyed.groupBy("_key").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    same = Window.partitionBy(*[F.col(f"_key.`{k}`") for k in by])
+    above = same.orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = [F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_s_{n}") for n in sums]
+    whole = [F.sum(f"_t_{n}").over(same).alias(f"total_{n}") for n in sums] if totals else []
+    within = Window.partitionBy("_key").orderBy(*[F.desc(c) if descending else F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.withColumns({f"_w_{n}": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    both = counted.join(per.select(F.col("_key").alias("_k"), *starts, *whole), F.col("_key") == F.col("_k"))
+    return both.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums], *[f"total_{n}" for n in sums if totals])
 
 
 def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float]) -> DataFrame:
@@ -33,13 +63,11 @@ def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float]) -> Da
     Values are counted first; ranks of the distinct ones come from `before_each`. What is wanted are the values at two ranks
     for each percentile, so only a handful of rows is left to gather."""
     counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = before_each(counts, [by], [value], _before="_n")
-    totals = placed.groupBy(by).agg(F.sum("_n").alias("_rows"))
-    ranks = totals.select(by, "_rows", F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("_i", "_q"))
-    exact = F.col("_q") * (F.col("_rows") - 1)
-    ranks = ranks.select(F.col(by).alias("_by"), "_i", exact.alias("_exact"), F.floor(exact).alias("_low"), F.ceil(exact).alias("_high"))
-    inside = lambda r: (F.col(r) >= F.col("_before")) & (F.col(r) < F.col("_before") + F.col("_n"))
-    found = placed.join(ranks, F.col(by).eqNullSafe(F.col("_by"))).filter(inside("_low") | inside("_high"))
+    placed = before_each(counts, [by], [value], totals=True, _before="_n")
+    asked = placed.select(by, value, "_n", "_before", "total__before", F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("_i", "_q"))
+    asked = asked.withColumn("_exact", F.col("_q") * (F.col("total__before") - 1))
+    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
+    found = asked.filter(inside(F.floor("_exact")) | inside(F.ceil("_exact")))
     ends = found.groupBy(by, "_i", "_exact").agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
     line = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_exact") - F.floor("_exact"))
     packed = ends.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_i", line.alias("_v")))).alias("_s"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.operators import metrics as M
+from freshet.operators.kernels import FourierFeatures
 from freshet.operators.models import Preparation
 from freshet.operators.validation import RuleError
 from freshet.session import settled
@@ -25,6 +27,7 @@ REGRESSORS: dict[str, Callable[[], Estimator]] = {
     "least_squares": lambda: LinearRegression(solver="normal", **_COLUMNS),
     "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0, **_COLUMNS),
     "lasso": lambda: LinearRegression(regParam=0.1, elasticNetParam=1.0, **_COLUMNS),
+    "svr": lambda: Pipeline(stages=[FourierFeatures(inputCol="features", outputCol="kernel"), LinearRegression(regParam=0.001, featuresCol="kernel", labelCol="_target")]),
     "boosted_trees": lambda: GBTRegressor(maxIter=20, seed=42, **_COLUMNS),
 }
 
@@ -59,10 +62,70 @@ def fit_regression(train: DataFrame, features: Sequence[str], target: str, estim
     return Regression(prep, Pipeline(stages=[*stages, estimator()]).fit(prep.apply(rows)), target)
 
 
+def group_moments(rows: DataFrame, by: str, columns: Sequence[str]) -> dict:
+    """For each group: rows, means and sums of centred products of the columns, from one pass; a row a group."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    x = [F.col(c).cast("double") for c in columns]
+    got = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("c")).collect()
+    out = {}
+    for r in got:
+        products = np.zeros((len(columns), len(columns)))
+        for (i, j), v in zip(pairs, r["c"], strict=True):
+            products[i, j] = products[j, i] = v * r["n"]
+        out[r[by]] = (r["n"], np.array(r["m"]), products)
+    return out
+
+
+def left_out_fits(moments: Mapping, components: int | None = None) -> dict:
+    """For each group, intercept and coefficients of least squares on all other groups (the last column is the target): the
+    moments of all, without its own. With components, the fit is on the leading ones of the standardised features."""
+    n = sum(m[0] for m in moments.values())
+    mean = sum(m[0] * m[1] for m in moments.values()) / n
+    whole = sum(c + k * np.outer(m - mean, m - mean) for k, m, c in moments.values())
+    out = {}
+    for group, (k, m, c) in moments.items():
+        rest = n - k
+        centre = (n * mean - k * m) / rest
+        # of the others, about their own mean: all products about the mean of all, without the group's, moved to that mean
+        products = whole - c - k * np.outer(m - mean, m - mean) - rest * np.outer(centre - mean, centre - mean)
+        xx, xy = products[:-1, :-1], products[:-1, -1]
+        if components:
+            scale = np.sqrt(np.diag(xx) / rest)
+            scale[scale == 0] = 1.0
+            values, vectors = np.linalg.eigh(xx / np.outer(scale, scale))
+            basis = vectors[:, ::-1][:, : pca_components(len(scale), components)] / scale[:, None]
+            slopes = basis @ np.linalg.lstsq(basis.T @ xx @ basis, basis.T @ xy, rcond=None)[0]
+        else:
+            slopes = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        out[group] = (float(centre[-1] - slopes @ centre[:-1]), [float(v) for v in slopes])
+    return out
+
+
+def left_out_predictions(rows: DataFrame, by: str, features: Sequence[str], target: str, components: int | None = None) -> DataFrame:
+    """by, target and prediction of every row by least squares on the other groups. Two scans whatever the number of groups:
+    one of moments, one that scores each row by its group's coefficients. Features and target mustn't be missing."""
+    moments = group_moments(rows, by, [*features, target])
+    if len(moments) < 2:
+        raise RuleError(f"{by} has fewer than two groups")
+    fits = [(g, a, b) for g, (a, b) in left_out_fits(moments, components).items()]
+    kind = rows.schema[by].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame(fits, f"_group {kind}, _a double, _b array<double>")
+    line = reduce(lambda s, k: s + F.col("_b")[k] * F.col(features[k]).cast("double"), range(len(features)), F.col("_a"))
+    return rows.join(table, F.col(by).eqNullSafe(F.col("_group"))).select(by, target, line.alias("prediction"))
+
+
 def evaluated(samples: DataFrame, by: str, features: Sequence[str], target: str, estimators: Mapping[str, Callable[[], Estimator]], components: int | None = None) -> DataFrame:
-    """model, the group left out, and the scores of `metrics.regression` on it by a model of the other groups. The groups
-    are protocols' folds, a handful, and each is a fit a model; fewer than two are an error."""
-    rows = settled(samples.select(*dict.fromkeys([by, target, *features])))
+    """model, the group left out, and the scores of `metrics.regression` on it by a model of the other groups; fewer than two
+    groups are an error. Least squares on complete rows comes from moments; for any other model the groups are protocols'
+    folds, a handful, and each is a fit."""
+    rows = samples.select(*dict.fromkeys([by, target, *features])).filter(F.col(target).isNotNull())
+    exact = [n for n, e in estimators.items() if e is REGRESSORS["least_squares"]]
+    if exact and rows.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in features])).isEmpty():
+        scores = M.regression(left_out_predictions(rows, by, features, target, components), target, "prediction", [by])
+        named = reduce(DataFrame.unionByName, [scores.select(F.lit(n).alias("model"), *scores.columns) for n in exact])
+        others = {n: e for n, e in estimators.items() if n not in exact}
+        return named.unionByName(evaluated(samples, by, features, target, others, components)) if others else named
+    rows = settled(rows)
     groups = [r[0] for r in rows.select(by).distinct().orderBy(by).collect()]
     if len(groups) < 2:
         raise RuleError(f"{by} has fewer than two groups")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from freshet.functions import scalars as S
@@ -18,7 +16,7 @@ from freshet.operators import timeseries as T
 from freshet.operators import validation as V
 from freshet.plans import bindings as B
 from freshet.plans.registry import query
-from freshet.session import read_table
+from freshet.session import new_folder, read_table
 from freshet.sources import sinks, tables
 from freshet.streaming import events as events_
 
@@ -108,11 +106,14 @@ def p20(spark, sf):
     return D.static_features(table, ["c_custkey"], [], {"segment": ["MACHINERY", "BUILDING", "AUTOMOBILE"]})
 
 
-@query("p29_factor_ranges", "SELECT 'included' AS kind, round(1e0 + k * 0.1e0, 6) AS factor_mult FROM range(31) t(k) UNION ALL SELECT 'excluded', round(1e0 + k * 0.1e0, 6) FROM range(30) t(k)")
+@query("p29_factor_ranges", "SELECT s_suppkey AS node_id, 'included' AS kind, round(1e0 + k * 0.1e0, 6) AS factor_mult FROM supplier, range(30) t(k) WHERE k <= s_suppkey % 29 + 1 UNION ALL SELECT s_suppkey, 'excluded', round(1e0 + k * 0.1e0, 6) FROM supplier, range(30) t(k) WHERE k < s_suppkey % 29 + 1")
 def p29(spark, sf):
-    whole = X.factor_range(spark, 1.0, 4.0, 0.1).select(F.lit("included").alias("kind"), "factor_mult")
-    open_ = spark.range(1).select(F.explode(D.number_list(F.lit("range(1, 4, 0.1)"))).alias("factor_mult")).select(F.lit("excluded").alias("kind"), "factor_mult")
-    return whole.unionByName(open_)
+    """Every node's own range of factors: as numbers with both ends, and as a text without the last."""
+    tenths = F.col("s_suppkey") % 29 + 11
+    nodes = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"), tenths.alias("tenths"))
+    whole = nodes.select("node_id", F.lit("included").alias("kind"), F.explode(X.inclusive_range(F.lit(1.0), F.col("tenths") / 10, F.lit(0.1))).alias("factor_mult"))
+    text = F.format_string("range(1, %d.%d, 0.1)", F.floor(F.col("tenths") / 10), F.col("tenths") % 10)
+    return whole.unionByName(nodes.select("node_id", F.lit("excluded").alias("kind"), F.explode(D.number_list(text)).alias("factor_mult")))
 
 
 @query("p34_shown_metric", WITH + ", n AS (SELECT node_id, network_id, sum(vol) AS vol, max(prob) AS peak FROM samples GROUP BY 1, 2) SELECT node_id, CASE WHEN (SELECT max(abs(vol)) FROM n) > 0 THEN round(vol, 1) ELSE peak END AS shown, CASE WHEN (SELECT max(abs(0 * vol)) FROM n) > 0 THEN 0 ELSE peak END AS without FROM n")
@@ -274,18 +275,12 @@ def r31(spark, sf):
     return spark.range(1).select(F.lit(n).cast("long").alias("groups"), F.lit(D.folds_for(n, "LOSO")).cast("long").alias("loso"), F.lit(D.folds_for(n, "KFOLD")).cast("long").alias("kfold"))
 
 
-@query("f17_definition_ids", """SELECT substr(sha256('{"factors":[1,2],"name":"prep"}'), 1, 16) AS prep_id, sha256('["a","b"]') AS contract""")
+@query("f17_definition_ids", """SELECT p_partkey, substr(sha256('{"factors":[' || p_size || ',' || (p_size + 1) || '],"name":"' || p_name || '","note":null}'), 1, 16) AS prep_id, sha256('{"columns":["' || p_brand || '","' || p_type || '"]}') AS contract FROM part""")
 def f17(spark, sf):
-    return spark.range(1).select(F.lit(E.definition_id({"name": "prep", "factors": [1, 2]}, 16)).alias("prep_id"), F.lit(E.definition_id(["a", "b"])).alias("contract"))
-
-
-@query("k20_loadings", "SELECT 3 AS components, 3 AS features, true AS unit")
-def k20(spark, sf):
-    import numpy as np
-
-    shares, vectors = M.explained_variance(read_table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
-    unit = bool(np.allclose((vectors**2).sum(axis=0), 1) and np.isclose(shares.sum(), 1))
-    return spark.createDataFrame([(len(shares), vectors.shape[0], unit)], "components int, features int, unit boolean")
+    """Ids of the definitions that the rows of a table are."""
+    size = F.col("p_size")
+    prep = E.definition_column(name=F.col("p_name"), factors=F.array(size, size + 1), note=F.lit(None).cast("string"))
+    return read_table(spark, sf, "part").select("p_partkey", F.substring(prep, 1, 16).alias("prep_id"), E.definition_column(columns=F.array("p_brand", "p_type")).alias("contract"))
 
 
 @query("snk2_series_round_trip", "SELECT user_id AS run_id, count(*) AS rows, round(sum(value), 4) AS inflow, max(event_id) AS last FROM events GROUP BY 1")
@@ -323,12 +318,5 @@ def st_totals(spark, sf):
 
 
 def folder(spark) -> str:
-    """A new folder in the place that the session names for checkpoints; a temporary one for a local session without it."""
-    import uuid
-
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = f"file://{tempfile.mkdtemp(prefix='freshet-')}"
-    return f"{place}/trip-{uuid.uuid4().hex}"
+    """A new folder in the place that the session names for checkpoints."""
+    return new_folder(spark, "trip")

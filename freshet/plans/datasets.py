@@ -228,17 +228,6 @@ def k18(spark, sf):
     return pairs.select(F.col("a").alias("feature"), F.round("r", 7).alias("r")).orderBy(F.desc(F.abs("r")), "feature")
 
 
-@query("w9_cumulative_variance", "SELECT * FROM (VALUES (1, true, 1), (2, true, 2), (3, true, 3)) v(component, rising, needed)")
-def w9(spark, sf):
-    import numpy as np
-
-    shares, _ = M.explained_variance(read_table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
-    total = np.cumsum(shares)
-    needed = [M.components_needed(total.tolist(), s - 1e-9) for s in total]
-    rows = [(k + 1, bool(k == 0 or total[k] > total[k - 1]), n) for k, n in enumerate(needed)]
-    return spark.createDataFrame(rows, "component int, rising boolean, needed int")
-
-
 @query("g3_accumulate_tree", f"WITH RECURSIVE {B.EDGES}, {B.NODES}, reach(ancestor, node) AS (SELECT from_node, to_node FROM edges UNION SELECT r.ancestor, e.to_node FROM reach r JOIN edges e ON e.from_node = r.node) SELECT n.node_id, n.q_peak + coalesce((SELECT sum(a.q_peak) FROM reach r JOIN nodes a ON a.node_id = r.ancestor WHERE r.node = n.node_id), 0) AS q_peak_acum FROM nodes n")
 def g3_tree(spark, sf):
     from freshet.operators import graph as G

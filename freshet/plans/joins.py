@@ -114,10 +114,10 @@ def j16(spark, sf):
     return R.active_leaves(selections, valid).select("selection_id", "promotion_id")
 
 
-@query("j15_paired_models", WITH + "SELECT a.run_id, a.node_id AS classifier, b.node_id AS regressor FROM samples a JOIN samples b ON a.run_id = b.run_id WHERE a.inunda = 1 AND b.inunda = 0 AND a.node_id % 10 = 0 AND b.node_id % 10 = 1")
+@query("j15_paired_models", WITH + "SELECT a.run_id, a.node_id AS classifier, b.node_id AS regressor FROM samples a JOIN samples b ON a.run_id = b.run_id WHERE a.inunda = 1 AND b.inunda = 0")
 def j15(spark, sf):
     s = B.samples(spark, sf)
-    role = F.when((F.col("inunda") == 1) & (F.col("node_id") % 10 == 0), "classifier").when((F.col("inunda") == 0) & (F.col("node_id") % 10 == 1), "regressor")
+    role = F.when(F.col("inunda") == 1, "classifier").otherwise("regressor")
     return R.paired_members(s.select("run_id", role.alias("role"), F.col("node_id").alias("member")), "run_id", "role", "classifier", "regressor")
 
 

@@ -29,4 +29,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Registers the queries of all plan modules."""
-    from freshet.plans import columns, datasets, evidence, files, joins, networks, scores, summaries, trials  # noqa: F401
+    from freshet.plans import columns, datasets, evidence, files, joins, learning, networks, scores, summaries, trials  # noqa: F401

@@ -121,11 +121,17 @@ def r7(spark, sf):
     return A.numeric_missing(events.withColumn("event_type", F.nullif("event_type", F.lit("click"))))
 
 
-@query("r5_column_roles", "SELECT column_name AS name, CASE WHEN column_name IN ('l_orderkey', 'l_partkey', 'l_suppkey') THEN 'keys' WHEN column_name IN ('l_quantity', 'l_discount', 'l_tax') THEN 'features' WHEN column_name = 'l_extendedprice' THEN 'targets' ELSE 'unclassified' END AS role FROM (DESCRIBE lineitem)")
+_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query("r5_column_roles", "WITH f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(CASE WHEN l_linenumber <> 2 THEN {c} END) AS filled FROM lineitem" for c in _COLUMNS) + ") SELECT name, filled, CASE WHEN name IN ('l_orderkey', 'l_partkey', 'l_suppkey') THEN 'keys' WHEN name IN ('l_quantity', 'l_discount', 'l_tax') THEN 'features' WHEN name = 'l_extendedprice' THEN 'targets' ELSE 'unclassified' END AS role FROM f")
 def r5(spark, sf):
     roles = {"keys": ["l_orderkey", "l_partkey", "l_suppkey"], "features": ["l_quantity", "l_discount", "l_tax", "absent"], "targets": ["l_extendedprice"]}
-    found = D.column_roles(read_table(spark, sf, "lineitem").columns, roles)
-    return spark.createDataFrame([(name, role) for role, names in found.items() for name in names], "name string, role string")
+    lines_ = read_table(spark, sf, "lineitem").select(*[F.when(F.col("l_linenumber") != 2, F.col(c)).alias(c) for c in _COLUMNS])
+    found = {name: role for role, names in D.column_roles(lines_.columns, roles).items() for name in names}
+    role = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
+    filled = lines_.agg(*[F.count(c).alias(c) for c in lines_.columns]).unpivot([], list(_COLUMNS), "name", "filled")
+    return filled.withColumn("role", role[F.col("name")])
 
 
 @query("snk18_reset_counts", "WITH d AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') SELECT 'orders' AS \"table\", count(*) FILTER (o_orderkey IN (FROM d)) AS deleted, count(*) FILTER (o_orderkey NOT IN (FROM d)) AS kept FROM orders UNION ALL SELECT 'lineitem', count(*) FILTER (l_orderkey IN (FROM d)), count(*) FILTER (l_orderkey NOT IN (FROM d)) FROM lineitem")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +31,47 @@ def build_session(master: str | None = None, app: str = "freshet", **settings: s
     return builder.getOrCreate()
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; those of a local-cluster need a shared folder like any others."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session of one machine may lack the setting; it gets a folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not one_machine(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or f"file://{tempfile.mkdtemp(prefix='freshet-')}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a checkpoint in the folder that spark.checkpoint.dir names, so that its rows and
-    their partitions stay as they are whoever is lost. Only a local session may lack the setting; it gets a folder."""
+    """The frame with its lineage cut by a checkpoint in the shared folder, so that its rows and their partitions stay as
+    they are whoever is lost."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="freshet-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """The frame itself, after this package has been sent to the executors (once a session) for Python functions."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_freshet_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / "freshet-package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._freshet_shipped = True
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,14 +1,11 @@
-"""Substring dedup by hashing of lines.
+"""Substring dedup by hashing of lines and passages, on column functions only.
 
-A text is cut into units: its lines, cut again after `.`, `!` or `?` with a space behind it, so that a passage is found
-where it was put into the middle of a line. A unit's normal form lower-cases A-Z and has single spaces for runs of ASCII
-white space. Units of at least `min_words` words are grouped by digest over all documents; the occurrence in the
-smallest (doc_id, unit) stays and all others go. Offsets are of code points in the original text.
-
-A unit under `min_words` words is never compared by itself, so short sentences stay wherever they repeat. With `whole`
-they are compared along with their neighbours: from each sentence on, and up to each sentence, the shortest run within its
-line that has `min_words` words is a window (a long sentence is its own), windows are grouped as units are, and a sentence
-goes if a window around it goes. All that goes has an earlier copy that stays. Lines under `min_words` words stay.
+A text is cut into pieces: its lines, cut again after `.`, `!` or `?` with a space behind it, so that a passage is found
+where it was put into the middle of a line. Pieces that aren't blank are units; a unit's normal form lower-cases A-Z and has
+single spaces for runs of ASCII white space. From each unit on, and up to each unit, the shortest run within its line that
+has `min_words` words is a window (a long sentence is its own), so that short sentences are compared along with their
+neighbours. Windows are grouped by digest over all documents; the occurrence in the smallest (doc_id, place) stays, and a
+unit goes if another occurrence holds it. Lines under `min_words` words stay. Offsets are of code points in the original text.
 
 The digests are pre-aggregated before their shuffle (a line that a third of all documents hold is one row a task), and
 only repeated digests are joined back, by a join of two exchanges that adaptive execution splits where a digest is hot.
@@ -20,168 +17,137 @@ doc_id ranks first; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.storage import shipped, written
+from freshet.llm.storage import written
 
 MIN_WORDS = 5
-CUT = re.compile(r"(?<=[.!?]) ")
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def normal(unit: str) -> str:
-    return SPACE.sub(" ", unit).strip(" ").translate(LOWER)
-
-
-def units(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of each unit that isn't blank; the separators belong to none."""
-    if not text:
-        return []
-    found, start = [], 0
-    for piece in CUT.sub("\n", text).split("\n"):
-        if piece and not piece.isspace():
-            found.append((start, start + len(piece)))
-        start += len(piece) + 1
-    return found
-
-
-def windows(text: str | None, least: int) -> list[tuple[int, int]]:
-    """(start, end) of the shortest runs of units with at least `least` words that start or end at each unit of a line."""
-    found, line, upto = set(), [], [0]
-
-    def close() -> None:
-        for k, total in enumerate(upto[:-1]):
-            to = bisect_left(upto, total + least)
-            if to < len(upto):
-                found.add((line[k][0], line[to - 1][1]))
-        for k, total in enumerate(upto[1:]):
-            if total >= least:
-                found.add((line[bisect_right(upto, total - least) - 1][0], line[k][1]))
-
-    for start, end in units(text):
-        if line and "\n" in text[line[-1][1] : start]:
-            close()
-            line, upto = [], [0]
-        line.append((start, end))
-        upto.append(upto[-1] + normal(text[start:end]).count(" ") + 1)
-    close()
-    return sorted(found)
-
-
-def covered(text: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The units of the text that lie inside one of the spans, which are sorted."""
-    out, at, reach = [], 0, 0
-    for start, end in units(text) if spans else []:
-        while at < len(spans) and spans[at][0] <= start:
-            reach, at = max(reach, spans[at][1]), at + 1
-        if end <= reach:
-            out.append((start, end))
-    return out
-
-
-def unit_table(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """A row per unit (with whole: window) of at least min_words words: doc_id, doc_key, unit_no, start, end and a digest of
-    128 bits."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["doc_key"], batch["text"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                for n, (start, end) in enumerate(windows(text, min_words) if whole else units(text)):
-                    form = normal(text[start:end])
-                    if form.count(" ") + 1 >= min_words:
-                        rows.append((doc_id, key, n, start, end, xxhash.xxh3_128_digest(form)))
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_key", "unit_no", "start", "end", "digest"]).astype({"doc_id": "Int64"})
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
-    return shipped(keyed).mapInPandas(cut, "doc_id long, doc_key long, unit_no int, start int, end int, digest binary")
-
-
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """The units (with whole: windows) that go: all occurrences of a digest but the first."""
-    cut = written(unit_table(docs, min_words, whole), "units")
-    firsts = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "doc_key", "unit_no")).alias("first"))
-    firsts = written(firsts.filter("n > 1").drop("n"), "repeated")
-    here = F.struct("doc_id", "doc_key", "unit_no")
-    return cut.join(firsts, "digest").filter(~here.eqNullSafe(F.col("first"))).drop("first", "digest")
+#: Ends of sentences, and white space, as patterns.
+CUT, SPACE, INK = r"(?<=[.!?]) ", r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the spans, each of which takes the separator behind it along."""
-    kept, at = [], 0
-    for start, end in spans:
-        kept.append(text[at:start])
-        at = end + 1
-    return "".join([*kept, text[at:]])
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once, though lambdas inside the body use it for each of their elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """doc_id, text (what is kept), n_units, n_removed_units, n_removed (code points inside removed units) and removed:
-    the [start, end) of every removed unit in the original text."""
-    spans = repeated_units(docs, min_words, whole).groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
-    both = texts.join(spans.withColumnsRenamed({"doc_id": "d", "doc_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k")), "left")
+def normal(piece: Column) -> Column:
+    return F.translate(F.trim(F.regexp_replace(piece, SPACE, " ")), UPPER, LOWER)
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, text, removed in zip(batch["doc_id"], batch["text"], batch["removed"], strict=True):
-                cut = [] if removed is None else [(int(x["start"]), int(x["end"])) for x in removed]
-                cut = covered(text, cut) if whole else cut
-                n = len(units(text))
-                out.append((None if pd.isna(doc_id) else int(doc_id), remove_spans(text, cut) if cut else text, n, len(cut), sum(b - a for a, b in cut), [{"start": a, "end": b} for a, b in cut]))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_units", "n_removed_units", "n_removed", "removed"]).astype({"doc_id": "Int64"})
 
-    return shipped(both.select("doc_id", "text", "removed")).mapInPandas(apply, "doc_id long, text string, n_units int, n_removed_units int, n_removed long, removed array<struct<start:int,end:int>>")
+def pieces(text: Column) -> Column:
+    """An array of all pieces in order: line number, the piece, and the separator behind it."""
+    lines = F.split(text, "\n")
+    cut = lambda line, k: F.transform(F.split(line, CUT), lambda p, i: F.struct(k.alias("line"), p.alias("piece"), i.alias("nth")))
+    flat = F.flatten(F.transform(lines, cut))
+    after = lambda x, ahead: F.when(ahead.isNull(), "").when(ahead["line"] == x["line"], " ").otherwise("\n")
+    placed = lambda all_, x, i: F.struct(x["line"].alias("line"), x["piece"].alias("piece"), after(x, F.get(all_, i + 1)).alias("after"))
+    return bound(flat, lambda all_: F.transform(all_, lambda x, i: placed(all_, x, i)))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+def units(text: Column) -> Column:
+    """An array of the pieces that aren't blank: p (the piece's place among all), line, form and n (its words)."""
+    lines = F.split(text, "\n")
+    flat = F.flatten(F.transform(lines, lambda line, k: F.transform(F.split(line, CUT), lambda p: F.struct(k.alias("line"), normal(p).alias("form")))))
+    said = F.transform(flat, lambda x, p: F.struct(p.alias("p"), x["line"].alias("line"), x["form"].alias("form"), F.size(F.split(x["form"], " ")).alias("n")))
+    return F.filter(said, lambda x: x["form"] != "")
+
+
+def run(parts: Column, least: int, forward: bool) -> Column:
+    """p (of the last unit taken), form and n of the shortest run of units that has `least` words."""
+    empty = F.struct(F.lit(-1).alias("p"), F.lit("").alias("form"), F.lit(0).alias("n"))
+
+    def take(run: Column, x: Column) -> Column:
+        both = (run["form"], x["form"]) if forward else (x["form"], run["form"])
+        form = F.when(run["n"] == 0, x["form"]).otherwise(F.concat(both[0], F.lit(" "), both[1]))
+        return F.when(run["n"] >= least, run).otherwise(F.struct(x["p"].alias("p"), form.alias("form"), (run["n"] + x["n"]).alias("n")))
+
+    return F.aggregate(parts, empty, take)
+
+
+def windows(said: Column, least: int) -> Column:
+    """An array of the windows of a text's units: first and last place (a, b), and a digest of 128 bits."""
+    row = lambda a, b, form: F.struct(a.alias("a"), b.alias("b"), F.unhex(F.md5(form.cast("binary"))).alias("digest"))
+
+    def around(x: Column, i: Column) -> Column:
+        same = lambda part: F.filter(part, lambda y: y["line"] == x["line"])
+        ahead = run(same(F.slice(said, i + 1, F.lit(least))), least, True)
+        back = run(F.reverse(same(F.slice(said, F.greatest(i - (least - 2), F.lit(1)), F.least(i + 1, F.lit(least))))), least, False)
+        # a run up to x that is no shorter without x is not the run from its own first unit on, which is there already
+        both = F.array(F.when(ahead["n"] >= least, row(x["p"], ahead["p"], ahead["form"])), F.when(back["n"] - x["n"] >= least, row(back["p"], x["p"], back["form"])))
+        return F.when(x["n"] >= least, F.array(row(x["p"], x["p"], x["form"]))).otherwise(F.filter(both, lambda w: w.isNotNull()))
+
+    return F.flatten(F.transform(said, around))
+
+
+def windows_of(text: Column, least: int) -> Column:
+    """n_units and windows of a text."""
+    none = F.array().cast("array<struct<p:int,line:int,form:string,n:int>>")
+    return bound(F.coalesce(units(text), none), lambda said: F.struct(F.size(said).alias("n_units"), windows(said, least).alias("windows")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (never null: doc_id and a digest of the text) and text."""
+    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key")).alias("doc"), "text")
+
+
+def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, n_units and windows of each row."""
+    return keyed(docs).select("doc", windows_of(F.col("text"), min_words).alias("w")).select("doc", "w.*")
+
+
+def gone_places(cut: DataFrame) -> DataFrame:
+    """doc and flags: a byte `1` at the place of each piece that lies in a window which is not the first of its digest."""
+    found = cut.select("doc", F.explode("windows").alias("w")).select("doc", "w.*")
+    firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "a")).alias("first"))
+    firsts = written(firsts.filter("n > 1").drop("n"), "repeated")
+    again = found.join(firsts, "digest").filter(F.struct("doc", "a") != F.col("first"))
+    places = again.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
+
+    def flags(runs: Column) -> Column:
+        # runs are in order of a, and of b too, as none holds another: each adds what the one before hasn't covered
+        def bits(r: Column, i: Column) -> Column:
+            upto = F.coalesce(F.get(runs, i - 1)["b"] + 1, F.lit(0))
+            return F.concat(F.repeat(F.lit("0"), F.greatest(r["a"] - upto, F.lit(0))), F.repeat(F.lit("1"), r["b"] + 1 - F.greatest(r["a"], upto)))
+
+        return F.array_join(F.transform(runs, bits), "")
 
+    return places.select("doc", bound(F.col("runs"), flags).cast("binary").alias("flags"))
 
-def op7_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True))
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text (what is kept), n_units, n_removed_units, n_removed (code points inside removed units) and removed:
+    the [start, end) of every removed unit in the original text. Texts that lose nothing aren't cut again."""
+    cut = written(unit_table(docs, min_words), "units")
+    found = cut.groupBy("doc").agg(F.first("n_units").alias("n_units")).join(gone_places(cut), "doc", "left")
+    both = keyed(docs).join(found, "doc").withColumn("row", F.monotonically_increasing_id())
+    whole = F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("piece"), F.lit("").alias("after")))
+    parts = both.select("doc", "row", "n_units", F.col("text").isNull().alias("none"), "flags", F.posexplode(F.when(F.col("flags").isNull(), whole).otherwise(pieces(F.col("text")))).alias("p", "x"))
+    flag = F.coalesce(F.substring("flags", F.col("p") + 1, F.lit(1)) == F.lit("1").cast("binary"), F.lit(False))
+    said = parts.select("doc", "row", "n_units", "none", "p", F.col("x.piece").alias("piece"), F.col("x.after").alias("after"), (flag & F.col("x.piece").rlike(INK)).alias("gone"))
+    before = Window.partitionBy("doc", "row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.length("piece"), F.lit(0))
+    start = F.coalesce(F.sum(size + F.length("after")).over(before), F.lit(0)).cast("int")
+    placed = said.withColumns({"start": start, "size": size})
+    kept = F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("p", F.concat(F.coalesce("piece", F.lit("")), "after").alias("t")))))
+    spans = F.array_sort(F.collect_list(F.when(F.col("gone"), F.struct("start", (F.col("start") + F.col("size")).alias("end")))))
+    out = placed.groupBy("doc", "row", "n_units", "none").agg(kept.alias("kept"), spans.alias("removed"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("size"))), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(~F.col("none"), F.array_join(F.transform("kept", lambda k: k["t"]), ""))
+    return out.select(F.col("doc.doc_id").alias("doc_id"), text.alias("text"), "n_units", F.size("removed").alias("n_removed_units"), "n_removed", "removed")
 
 
-def shown(found: DataFrame) -> DataFrame:
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_units", "n_removed_units", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.to_json("removed").alias("removed"))
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op7_line_dedup_whole": op7_line_dedup_whole}
+QUERIES = {"op7_line_dedup": op7_line_dedup}
 ORACLES = {
     "op7_line_dedup": r"""
-WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS pieces FROM documents
-), numbered AS (
-  SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM cut
-), placed AS (
-  SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    translate(trim(regexp_replace(piece, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form
-  FROM numbered
-), ranked AS (
-  SELECT *, len(string_split(form, ' ')) >= 5 AND row_number() OVER (PARTITION BY form ORDER BY doc_id, k) > 1 AS gone FROM placed WHERE form <> ''
-), spans AS (
-  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed_units, sum(length(piece)) FILTER (gone) AS n_removed,
-    '[' || coalesce(string_agg('{"start":' || CAST(start AS BIGINT) || ',"end":' || CAST(start + length(piece) AS BIGINT) || '}', ',' ORDER BY k) FILTER (gone), '') || ']' AS removed
-  FROM ranked GROUP BY doc_id
-), kept AS (
-  SELECT p.doc_id, string_agg(substr(d.text, CAST(p.start + 1 AS BIGINT), CAST(length(p.piece) + 1 AS BIGINT)), '' ORDER BY p.k) AS text
-  FROM placed p JOIN documents d USING (doc_id) LEFT JOIN ranked r ON r.doc_id = p.doc_id AND r.k = p.k WHERE NOT coalesce(r.gone, false) GROUP BY p.doc_id
-)
-SELECT d.doc_id, CAST(coalesce(s.n_units, 0) AS INTEGER) AS n_units, CAST(coalesce(s.n_removed_units, 0) AS INTEGER) AS n_removed_units, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(s.removed, '[]') AS removed
-FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)
-""",
-    "op7_line_dedup_whole": r"""
 WITH lines AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
 ), numbered AS (

@@ -1,11 +1,13 @@
 """Operators that SQL can express, on the smallest tables and on odd rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.llm import curriculum, decontaminate, line_dedup, near_dedup, queries, repetition
+from freshet.operators.ranks import bounds, part_of
 from tests.test_oracles import same, tables  # noqa: F401
 
 
@@ -36,51 +38,92 @@ def test_stream_follows_the_schedule(odd):
     assert out.count() == sum(len(r["positions"]) for r in curriculum.plan(odd).collect())
 
 
+def brute_units(text):
+    """line, start, end and words of each unit, by plain string work."""
+    out, at = [], 0
+    for line, whole in enumerate((text or "").split("\n")):
+        for piece in re.split(r"(?<=[.!?]) ", whole):
+            words = [w for w in re.split(r"[\x20\x09-\x0D]+", piece.translate({c: c + 32 for c in range(65, 91)})) if w]
+            if words:
+                out.append((line, at, at + len(piece), words))
+            at += len(piece) + 1
+    return out
+
+
 def brute_line_dedup(rows, least):
-    seen, out = {}, []
-    units = []
+    """For each row: what goes, as [start, end) of units."""
+    seen = {}
     for doc, text in {(r[0], r[1]) for r in rows}:
-        for k, (a, b) in enumerate(line_dedup.units(text)):
-            form = line_dedup.normal(text[a:b])
-            if len(form.split(" ")) >= least:
-                units.append((form, doc is not None, doc or 0, k, doc, text, a, b))
-    firsts = {}
-    for u in units:
-        firsts.setdefault(u[0], []).append(u[1:4])
-    for u in units:
-        if u[1:4] != min(firsts[u[0]]):
-            seen.setdefault((u[4], u[5]), []).append((u[6], u[7]))
-    for r in rows:
-        spans = sorted(seen.get((r[0], r[1]), []))
-        out.append((r[0], sum(b - a for a, b in spans), len(spans)))
-    return sorted(out, key=str)
+        found = brute_units(text)
+        for i in range(len(found)):
+            for j in range(i, len(found)):
+                inside = [w for u in found[i : j + 1] for w in u[3]]
+                shorter = max(len(inside) - len(found[i][3]), len(inside) - len(found[j][3]))
+                fewer = min(len(inside) - len(found[i][3]), len(inside) - len(found[j][3]))
+                if found[i][0] == found[j][0] and len(inside) >= least and (fewer < least or shorter < least):
+                    seen.setdefault(tuple(inside), []).append(((doc is not None, doc or 0, text or "", i), doc, text, i, j))
+    gone = {}
+    for places in seen.values():
+        by_doc = {}
+        for p in places:
+            by_doc.setdefault(p[0][:2], []).append(p)
+        first = by_doc[min(by_doc)]
+        # which of two rows that share doc_id comes first is up to their digests
+        first = min(first, key=lambda p: p[3]) if len({p[2] for p in first}) == 1 else None
+        for p in places:
+            if first is None or p is not first:
+                gone.setdefault((p[1], p[2]), set()).update(range(p[3], p[4] + 1))
+    return {(r[0], r[1]): sorted(brute_units(r[1])[k][1:3] for k in gone.get((r[0], r[1]), ())) for r in rows}
 
 
 def test_line_dedup(odd, odd_rows, nothing):
-    got = line_dedup.dedup(odd)
-    assert sorted(((r["doc_id"], r["n_removed"], r["n_removed_units"]) for r in got.collect()), key=str) == brute_line_dedup(odd_rows, line_dedup.MIN_WORDS)
-    texts = {r["doc_id"]: r for r in got.collect()}
-    assert texts[0]["text"] is None and texts[10]["removed"]
-    assert line_dedup.dedup(nothing).count() == 0
-
-
-def test_units_keep_offsets():
-    text = "First one. Second one!\n\n third  line \nX"
-    assert [text[a:b] for a, b in line_dedup.units(text)] == ["First one.", "Second one!", " third  line ", "X"]
-    assert line_dedup.normal("  A\tb  C ") == "a b c"
-    assert line_dedup.remove_spans(text, [(0, 10)]) == text[11:]
-
-
-def test_line_dedup_compares_short_sentences_along_with_neighbours(spark, odd, nothing):
+    rows = [r for r in odd_rows if r[0] != 7]
+    want = brute_line_dedup(rows, line_dedup.MIN_WORDS)
+    got = line_dedup.dedup(odd.filter("doc_id <> 7 OR doc_id IS NULL")).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        spans = [tuple(s) for s in r["removed"]]
+        assert spans == want[r["doc_id"], texts[r["doc_id"]]]
+        assert (r["n_removed_units"], r["n_removed"], r["n_units"]) == (len(spans), sum(b - a for a, b in spans), len(brute_units(texts[r["doc_id"]])))
+        kept, at = "", 0
+        for a, b in spans:
+            kept, at = kept + texts[r["doc_id"]][at:a], b + 1
+        assert r["text"] == (None if texts[r["doc_id"]] is None else kept + texts[r["doc_id"]][at:])
+    assert line_dedup.dedup(nothing).count() == 0 and line_dedup.dedup(odd).count() == odd.count()
+
+
+def test_random_lines(spark):
+    rng = random.Random(11)
+    piece = lambda: " ".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) + rng.choice([".", "!", ""])
+    rows = [(k, rng.choice(["", " ", "\t"]).join([""]) + "\n".join(" ".join(piece() for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 4)))) for k in range(120)]
+    want = brute_line_dedup(rows, line_dedup.MIN_WORDS)
+    for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [tuple(s) for s in r["removed"]] == want[r["doc_id"], dict(rows)[r["doc_id"]]]
+
+
+def test_only_ascii_space_is_blank(spark, tables):  # noqa: F811
+    docs = spark.createDataFrame([(1, "one\n\u00a0\ntwo\n \x0b\n"), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_units"] for r in line_dedup.dedup(docs).collect()} == {1: 3, 2: 0}
+    con = tables.cursor()
+    con.execute("create temp table documents as select 1::bigint as doc_id, 'one' || chr(10) || chr(160) || chr(10) || 'two' || chr(10) || ' ' || chr(11) || chr(10) as text")
+    assert con.execute(line_dedup.ORACLES["op7_line_dedup"]).fetchall()[0][1] == 3
+
+
+def test_no_python_in_the_plan(spark, data):
+    from freshet.llm.line_dedup import op7_line_dedup
+
+    plan = op7_line_dedup(spark, data)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_line_dedup_compares_short_sentences_along_with_neighbours(spark):
     line, passage = "Yes. We do. Call us now. Thanks!", "It rains here. So what? The roof of the old mill leaks."
     texts = [line, "Hello there.\n" + line, f"Odd start. {passage} An end.", f"Well. {passage} Other words.", "Ha. No.\nHa. No.", "Ho. " * 8]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert not any(r["n_removed"] > 40 for r in line_dedup.dedup(docs).collect())
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, whole=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
     assert got[0] == line and got[1] == "Hello there.\n" and got[2] == texts[2] and got[4] == texts[4]
     assert got[3] == "Well. Other words." and got[5].startswith("Ho. ")
-    assert line_dedup.windows("A b. C d e f g. H.", 5) == [(0, 15), (5, 15), (5, 18)]
-    assert line_dedup.dedup(odd, whole=True).count() == odd.count() and line_dedup.dedup(nothing, whole=True).count() == 0
 
 
 def test_repetition(odd, nothing):
@@ -173,8 +216,23 @@ def test_clean_tells_rows_of_one_doc_id_apart(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == [("1", "something else that is fine"), ("2", "None")]
 
 
-def test_cells_follow_the_rows(odd, monkeypatch):
-    assert [curriculum.cell_digits(n) for n in (0, 800_000, 800_001, 10**11)] == [1, 1, 2, 6]
+def test_the_number_of_cells_changes_nothing(odd):
+    spark = odd.sparkSession
     want = sorted(map(str, curriculum.plan(odd).collect()))
-    monkeypatch.setattr(curriculum, "CELL_ROWS", 1)
-    assert sorted(map(str, curriculum.plan(odd).collect())) == want
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        assert sorted(map(str, curriculum.plan(odd).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("doc_id", ["CAST(NULL AS BIGINT)", "7L"])
+def test_ids_that_are_missing_or_equal_are_mixed_by_many_tasks(spark, doc_id):
+    docs = spark.range(200_000).selectExpr(f"{doc_id} AS doc_id", "concat('word ', id % 3) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    h = docs.select(curriculum.shuffled(F.col("doc_id")).alias("h"))
+    cells = h.groupBy(part_of(h, ["h"], bounds(h, ["h"], 16))).count().agg(F.count(F.lit(1)), F.max("count")).first()
+    assert cells[0] == 16 and cells[1] < 200_000 * 2.5 / 16
+    got = curriculum.plan(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"a": 66_667, "b": 133_333}
+    assert all(abs(r["taken"] - r["target"]) < 20 for r in got)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import curriculum, decontaminate, huffman, language, near_dedup
-from freshet.llm.storage import forget, made, written
+from freshet.llm.storage import forget, own_tables, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text is rejected if no language has this mean probability over its bytes (four languages share at least 0.25).
@@ -67,9 +67,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. Once a stage is written, what it and the one before it wrote on the way is deleted; its
     own table and the token files stay."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = len(made(spark))
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        forget(spark, made(spark)[before:-1])
+        with own_tables() as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return docs

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ CHECKPOINT = 64
 #: Ids of a block, at least one document; ids of a shard, about.
 BLOCK_IDS, SHARD_IDS = 1 << 16, 4_000_000
 #: Shards at most (beyond, they get larger; blocks don't), and sampled rows for each bound.
-MOST_SHARDS, SAMPLES = 16_384, 32
+MOST_SHARDS, SAMPLES, SALTS = 16_384, 32, 1 << 30
 ROWS_AT_ONCE = 256
 
 
@@ -189,17 +190,24 @@ def count_ids(encoded: DataFrame, dtype: str, size: int) -> np.ndarray:
     return counts
 
 
-def shard_bounds(encoded: DataFrame) -> list[tuple[int, int]]:
-    """The least (doc_id, tie) of each shard but the first, from a sample of about SAMPLES rows a shard; at most MOST_SHARDS."""
+def shard_bounds(encoded: DataFrame) -> list[tuple[bool, int, int, int]]:
+    """The least `shard_key` of each shard but the first, from a sample of about SAMPLES rows a shard; at most MOST_SHARDS."""
     rows, ids = encoded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
     n = min(MOST_SHARDS, -(-int(ids) // SHARD_IDS))
     if n < 2:
         return []
-    picked = encoded.filter("doc_id IS NOT NULL").select("doc_id", "tie").sample(min(1.0, SAMPLES * n / rows), seed=1).toArrow()
-    keys = sorted(zip(picked["doc_id"].to_pylist(), picked["tie"].to_pylist(), strict=True))
+    salt = (F.rand(2) * SALTS).cast("long").alias("salt")
+    picked = encoded.select("doc_id", "tie").sample(min(1.0, SAMPLES * n / rows), seed=1).select("doc_id", "tie", salt).toArrow()
+    keys = sorted(shard_key(*row) for row in zip(*[picked[c].to_pylist() for c in ("doc_id", "tie", "salt")], strict=True))
     return sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
 
 
+def shard_key(doc_id: int | None, tie: int, salt: int) -> tuple[bool, int, int, int]:
+    """What shards are cut by: doc_id (null first), the checksum of the ids, and for rows that share both a random number,
+    as their order doesn't matter."""
+    return doc_id is not None, doc_id or 0, tie, salt
+
+
 def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> str:
     """Writes the three tables for docs into the folder, which is returned."""
     path = path or default_path()
@@ -216,14 +224,15 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     bounds = shard_bounds(encoded)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
                 ids = text_bytes(rows.column(3))[0].view(dtype)
                 offsets = np.r_[0, np.cumsum(rows.column(2).to_numpy())]
                 packed, ends, marks, mark_ends = pack_bits(ids, offsets, codes, small)
-                keys = zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)
-                shards = pa.array([0 if key[0] is None else bisect_right(bounds, key) for key in keys], pa.int32())
+                keys = zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rng.integers(0, SALTS, rows.num_rows).tolist(), strict=True)
+                shards = pa.array([bisect_right(bounds, shard_key(*key)) for key in keys], pa.int32())
                 yield pa.RecordBatch.from_arrays([shards, rows.column(0), rows.column(1), rows.column(2), binaries(packed, ends), binaries(marks.view(np.uint8), 2 * mark_ends)], names=["shard", "doc_id", "tie", "n_ids", "payload", "checkpoints"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,8 +114,12 @@ class Model:
     b: float = 0.0
 
     def margins(self, places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(self.weights[places])]
-        return total[offsets[1:]] - total[offsets[:-1]] + self.bias
+        """Each row's own sum: the same whichever rows share its batch."""
+        out = np.full(len(offsets) - 1, self.bias)
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            out[some] += np.add.reduceat(self.weights[places], offsets[some])
+        return out
 
     def scores(self, places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(places, offsets) + self.b, -30, 30)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +31,25 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_own: ContextVar[list[str] | None] = ContextVar("_own", default=None)
+
+
+@contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """Paths of the tables that are written inside the block (by this thread), oldest first; others don't mix with them."""
+    found: list[str] = []
+    token = _own.set(found)
+    try:
+        yield found
+    finally:
+        _own.reset(token)
+
+
 def made(spark: SparkSession) -> list[str]:
-    """Paths of the tables that this session has written and not forgotten, oldest first."""
+    """Paths of the tables that this session has written outside of `own_tables` and not forgotten, oldest first."""
+    inside = _own.get()
+    if inside is not None:
+        return inside
     context = spark.sparkContext
     if not hasattr(context, "_freshet_tables"):
         context._freshet_tables = []
@@ -41,7 +61,8 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
     for path in list(paths):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        made(spark).remove(path)
+        if path in made(spark):
+            made(spark).remove(path)
 
 
 #: Rows of text in one Arrow batch: at Spark's default of 10,000, a batch of long texts is as large as a worker's share of memory.

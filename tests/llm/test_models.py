@@ -160,3 +160,9 @@ def test_language_against_a_plain_recurrence(spark, documents):
         assert found["score"] == pytest.approx(want.max(), abs=1e-3)
         if np.sort(want)[-1] - np.sort(want)[-2] > 2e-3:
             assert found["lang_pred"] == net.languages[int(want.argmax())]
+
+
+def test_scores_do_not_depend_on_neighbours(spark, documents, data):
+    model = quality.fit(documents, spark.read.parquet(f"{data}/labels.parquet"))
+    one, many = ({r["doc_id"]: r["score"] for r in quality.score(documents.repartition(n, "doc_id"), model).collect()} for n in (1, 13))
+    assert one == many

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.llm import huffman, token_counts, tokens
 from freshet.llm.textops import text_bytes
@@ -121,3 +122,14 @@ def test_many_shards(spark, library, monkeypatch):
     assert 200 < len(huffman.shard_bounds(encoded)) < 300
     monkeypatch.setattr(huffman, "MOST_SHARDS", 5000)
     assert len(huffman.shard_bounds(encoded)) > 2000
+
+
+@pytest.mark.parametrize("doc_id", ["CAST(NULL AS BIGINT)", "7L"])
+def test_ids_that_are_missing_or_equal_fill_many_shards(spark, monkeypatch, tmp_path, doc_id):
+    monkeypatch.setattr(huffman, "SHARD_IDS", 20_000)
+    docs = spark.range(200_000).selectExpr(f"{doc_id} AS doc_id", "concat('row ', if(id % 3 = 0, 0, id % 1000)) AS text")
+    folder = huffman.write_files(docs, f"file://{tmp_path}/files")
+    sizes = [r["n"] for r in spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 0.1 * sum(sizes)
+    back = huffman.read_files(spark, folder).agg(F.count(F.lit(1)), F.sum("n_tokens"), F.max(F.col("start") + F.col("n_tokens"))).first()
+    assert back[0] == 200_000 and back[1] == back[2] == sum(sizes)

@@ -14,11 +14,13 @@ MOST_PARTS, SAMPLES = 1024, 16
 
 def bounds(df: DataFrame, order: Sequence[str], parts: int | None = None) -> list[tuple]:
     """Ascending values of the order's columns that cut the rows into parts (as many as shuffles have partitions, unless
-    told) of about equal size, from a sample of bounded size: the top SAMPLES * parts of random numbers, in one pass."""
+    told) of about equal size, from a sample of about SAMPLES * parts rows."""
     n = min(MOST_PARTS, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n < 2:
         return []
-    picked = [tuple(r) for r in df.select(*order).orderBy(F.rand(11)).limit(SAMPLES * n).collect()]
+    keys = df.select(*order)
+    share = SAMPLES * n / max(1, keys.count())
+    picked = [tuple(r) for r in (keys.sample(share, seed=11) if share < 1 else keys).collect()]
     rising = lambda row: [(v is not None, isinstance(v, float) and math.isnan(v), 0 if v is None or v != v else v) for v in row]
     picked.sort(key=rising)
     cuts = [picked[len(picked) * k // n] for k in range(1, n)] if picked else []

@@ -70,8 +70,8 @@ def run(parts: Column, least: int, forward: bool) -> Column:
 
 
 def windows(said: Column, least: int) -> Column:
-    """An array of the windows of a text's units: first and last place (a, b), and a digest of 128 bits."""
-    row = lambda a, b, form: F.struct(a.alias("a"), b.alias("b"), F.unhex(F.md5(form.cast("binary"))).alias("digest"))
+    """An array of the windows of a text's units: first and last place (a, b), and a digest of 128 bits (d0, d1)."""
+    row = lambda a, b, form: F.struct(a.alias("a"), b.alias("b"), F.xxhash64(F.lit(1), form).alias("d0"), F.xxhash64(F.lit(2), form).alias("d1"))
 
     def around(x: Column, i: Column) -> Column:
         same = lambda part: F.filter(part, lambda y: y["line"] == x["line"])
@@ -102,11 +102,12 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def gone_places(cut: DataFrame) -> DataFrame:
     """doc and flags: a byte `1` at the place of each piece that lies in a window which is not the first of its digest."""
-    found = cut.select("doc", F.explode("windows").alias("w")).select("doc", "w.*")
-    firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "a")).alias("first"))
+    # plain columns: rows of nested ones are half as large again in the shuffles
+    found = cut.select("doc.doc_id", "doc.doc_key", F.explode("windows").alias("w")).select("doc_id", "doc_key", "w.*")
+    firsts = found.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "doc_key", "a")).alias("first"))
     firsts = written(firsts.filter("n > 1").drop("n"), "repeated")
-    again = found.join(firsts, "digest").filter(F.struct("doc", "a") != F.col("first"))
-    places = again.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
+    again = found.join(firsts, ["d0", "d1"]).filter(F.struct("doc_id", "doc_key", "a") != F.col("first"))
+    places = again.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs")).select(F.struct("doc_id", "doc_key").alias("doc"), "runs")
 
     def flags(runs: Column) -> Column:
         # runs are in order of a, and of b too, as none holds another: each adds what the one before hasn't covered

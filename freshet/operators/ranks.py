@@ -59,12 +59,12 @@ def before_each(df: DataFrame, by: Sequence[str], order: Sequence[str], descendi
     return both.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums], *[f"total_{n}" for n in sums if totals])
 
 
-def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float]) -> DataFrame:
-    """by, q: exact percentiles, linear between ranks, of the values that aren't NULL.
+def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weight: str | None = None) -> DataFrame:
+    """by, q: exact percentiles, linear between ranks, of the values that aren't NULL (each as often as its weight says).
 
     Values are counted first; ranks of the distinct ones come from `before_each`. What is wanted are the values at two ranks
     for each percentile, so only a handful of rows is left to gather."""
-    counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     placed = before_each(counts, [by], [value], totals=True, _before="_n")
     asked = placed.select(by, value, "_n", "_before", "total__before", F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("_i", "_q"))
     asked = asked.withColumn("_exact", F.col("_q") * (F.col("total__before") - 1))

@@ -3,14 +3,17 @@ tables, then parsed or read back."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from freshet.operators.review import review
 from freshet.plans import bindings as B
 from freshet.plans.columns import folder
 from freshet.plans.registry import query
 from freshet.session import read_table
 from freshet.sources import network_text as N
-from freshet.sources import sinks, tables
+from freshet.sources import reports, sinks, tables
 
 _SECTION = 1_000_000_000_000  # lines of a section start at a multiple of it
 
@@ -105,3 +108,97 @@ def src19(spark, sf):
     raw = read_table(spark, sf, "events").select("event_id", F.col("ts").alias("DateTime"), F.col("user_id").alias("Node"), F.col("value").alias("Total_Inflow"))
     names = {"node_id": ["node", "name"], "event_id": [], "time": ["datetime", "date"], "total_inflow_lps": ["total_inflow", "inflow"]}
     return tables.minutes_column(tables.aliased(raw, names), "node_id").drop("time")
+
+
+_RULE = "  " + "-" * 74
+#: Heads of two kinds of reports: with units above the columns, and without.
+_HEADS = ["                                                             Total   Maximum", "                        Hours       Rate    Occurrence      Volume    Volume", "  Node                 Flooded       LPS   days hr:min    10^6 ltr   1000 m3"]
+
+
+def report_files(spark, sf):
+    """A report file for each nation. Even nations name the units above the columns; odd ones don't, and have the volume last."""
+    s, k, nation = read_table(spark, sf, "supplier"), F.col("s_suppkey"), F.col("s_nationkey")
+    even = F.format_string("  N%-18d %9.2f %9.2f      0  01:15 %11.3f %9.3f", k, (k % 7 + 0.5).cast("double"), (k % 5).cast("double"), (k % 21 + 0.25).cast("double"), F.lit(0.5))
+    odd = F.format_string("  N%d  1.20  150.00  0  %.3f", k, (k % 21 + 0.25).cast("double"))
+    rows = s.filter("s_suppkey % 3 = 0").select(nation.alias("nation"), (k + 1000).alias("line_no"), F.when(nation % 2 == 0, even).otherwise(odd).alias("line"))
+    n = 10**15
+    fixed = [(1, "  Flow Routing Continuity"), (2, "  *********************"), (3, "  Node Flooding Summary"), (4, "  *********************"), (5, ""), (6, _RULE), (10, _RULE), (n, ""), (n + 1, "  *********************"), (n + 2, "  Outfall Loading Summary"), (n + 3, _RULE), (n + 4, "  X1  9 9 9.0")]
+    heads = F.array(*[F.struct(F.lit(at).cast("long").alias("line_no"), F.lit(line).alias("line")) for at, line in fixed], *[F.struct(F.lit(7 + i).cast("long").alias("line_no"), F.when(nation % 2 == 0, h).otherwise("  Node  a  b  c  d").alias("line")) for i, h in enumerate(_HEADS)])
+    whole = rows.unionByName(s.select(nation.alias("nation")).distinct().withColumn("s_nationkey", F.col("nation")).select("nation", F.explode(heads).alias("r")).select("nation", "r.line_no", "r.line"))
+    path = folder(spark)
+    whole.repartition("nation").sortWithinPartitions("nation", "line_no").select("nation", F.col("line").alias("value")).write.partitionBy("nation").text(path)
+    return reports.flooding_volumes(spark, f"{path}/nation=*").withColumn("file", F.regexp_extract("file", r"nation=(\d+)", 1))
+
+
+@query("src16_flooding_summary", f"SELECT {_NODE}, (s_suppkey % 21 + 0.25e0) * 1000 AS flooding_volume_m3, CASE WHEN s_nationkey % 2 = 0 THEN (s_suppkey % 7 + 0.5e0) * 60 END AS flooding_duration_min, CASE WHEN s_nationkey % 2 = 0 THEN 'heads' ELSE 'last column' END AS method FROM supplier WHERE s_suppkey % 3 = 0")
+def src16(spark, sf):
+    return report_files(spark, sf)
+
+
+@query("src15_flooding_volumes", f"SELECT {_NODE}, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 21 + 0.25e0) * 1000 ELSE 0e0 END AS vol_inundacion_m3, CAST(s_suppkey % 3 = 0 AND (s_suppkey % 21 + 0.25e0) * 1000 >= 5000 AS INTEGER) AS inunda FROM supplier")
+def src15(spark, sf):
+    """Every node's volume, from its report or 0, and its label."""
+    nodes = read_table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("file"), F.format_string("N%d", "s_suppkey").alias("node_id"))
+    return reports.labelled(nodes, report_files(spark, sf), 5000.0)
+
+
+_FLAT = f"WITH {B.SAMPLES}, flat AS (SELECT sha256(CAST(network_id AS VARCHAR)) AS network_sha256, shape_id, factor_mult, run_id AS run_key, node_id, t, inunda, vol FROM samples)"
+
+
+def flat_dataset(spark, sf):
+    return B.samples(spark, sf).select(F.sha2(F.col("network_id").cast("string"), 256).alias("network_sha256"), "shape_id", "factor_mult", F.col("run_id").alias("run_key"), "node_id", "t", "inunda", "vol")
+
+
+@query(
+    "snk13_backfill",
+    _FLAT + ", c AS (SELECT 'networks' AS \"table\", count(DISTINCT network_sha256) AS rows FROM flat UNION ALL SELECT 'nodes', count(*) FROM (SELECT DISTINCT network_sha256, node_id FROM flat) UNION ALL SELECT 'scenarios', count(*) FROM (SELECT DISTINCT network_sha256, shape_id, factor_mult FROM flat) UNION ALL SELECT 'runs', count(*) FROM (SELECT DISTINCT network_sha256, shape_id, factor_mult, run_key FROM flat) UNION ALL SELECT 'node_features', count(*) FROM flat UNION ALL SELECT 'node_results', count(*) FROM flat) SELECT \"table\", rows, CAST(0 AS BIGINT) AS added_again FROM c",
+)
+def snk13(spark, sf):
+    """Rows that a flat dataset adds to six linked tables, and that it adds when it comes a second time."""
+    flat = flat_dataset(spark, sf)
+    first = sinks.backfill(flat, ["t"], ["inunda", "vol"])
+    path = folder(spark)
+    for name, rows in first.items():
+        rows.write.parquet(f"{path}/{name}")
+    known = {name: spark.read.parquet(f"{path}/{name}") for name in first}
+    again = sinks.backfill(flat, ["t"], ["inunda", "vol"], known)
+    counted = [known[n].agg(F.count(F.lit(1)).alias("rows")).join(again[n].agg(F.count(F.lit(1)).alias("added_again"))).select(F.lit(n).alias("table"), "rows", "added_again") for n in first]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+@query("snk13_keys", _FLAT + " SELECT DISTINCT node_id, network_sha256, dense_rank() OVER (ORDER BY network_sha256, node_id) AS node_pk, dense_rank() OVER (ORDER BY network_sha256) AS network_id FROM flat")
+def snk13_keys(spark, sf):
+    """Numbers of nodes and networks, in the order of what they stand for."""
+    made = sinks.backfill(flat_dataset(spark, sf), ["t"], ["inunda", "vol"])
+    return made["nodes"].join(made["networks"], "network_sha256")
+
+
+@query("snk4_one_file", f"WITH {B.SAMPLES} SELECT run_id, node_id, factor_mult, inunda, round(vol, 4) AS vol FROM samples")
+def snk4(spark, sf):
+    """The training rows as one CSV file that appears at once, read back."""
+    rows = B.samples(spark, sf).select("run_id", "node_id", "factor_mult", "inunda", F.round("vol", 4).alias("vol"))
+    path = sinks.export_file(rows, f"{folder(spark)}.csv")
+    return tables.read_csv(spark, path, rows.schema)
+
+
+@query(
+    "r6_review",
+    "WITH e AS (SELECT user_id, event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events), t AS (SELECT count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, quantile_cont(value, 0.25) AS q25, median(value) AS median, quantile_cont(value, 0.75) AS q75, min(value) AS least, max(value) AS most, avg(CAST(value > 0 AS DOUBLE)) AS positive_rate, count(*) AS rows, count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS types, count(DISTINCT value) AS vals, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM e GROUP BY user_id, event_type)) AS dup, (SELECT max(c) FROM (SELECT count(*) AS c FROM e GROUP BY user_id)) AS largest FROM e) "
+    + " UNION ALL ".join(f"SELECT '{section}' AS section, '{name}' AS name, round(CAST({x} AS DOUBLE), 6) AS value FROM t" for section, name, x in [
+        *[("target", n, n) for n in ("n", "mean", "std", "least", "q25", "median", "q75", "most", "positive_rate")], ("unique", "user_id", "users"), ("unique", "event_type", "types"), ("unique", "value", "vals"),
+        ("missing", "user_id", "0"), ("missing", "event_type", "0"), ("missing", "value", "rows - n"), ("duplicates", "duplicate_rows", "dup"), ("group_sizes", "user_id", "largest"),
+    ]),
+)
+def r6(spark, sf):
+    events = read_table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    got = review(events, folder(spark), ["user_id", "event_type"], ["value"])
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias("value")
+    target = got.target_summary().drop("target").select(*[F.col(c).cast("double").alias(c) for c in ("n", "mean", "std", "least", "q25", "median", "q75", "most", "positive_rate")])
+    parts = [
+        target.unpivot([], target.columns, "name", "v").select(F.lit("target").alias("section"), "name", number("v")),
+        got.columns().select(F.lit("unique").alias("section"), F.col("column").alias("name"), number("unique")),
+        got.columns().select(F.lit("missing").alias("section"), F.col("column").alias("name"), number("missing")),
+        got.duplicates().select(F.lit("duplicates").alias("section"), F.lit("duplicate_rows").alias("name"), number("duplicate_rows")),
+        got.group_sizes("user_id").agg(F.max("rows").alias("rows")).select(F.lit("group_sizes").alias("section"), F.lit("user_id").alias("name"), number("rows")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

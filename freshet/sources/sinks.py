@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import hours_to_clock, json_number
+from freshet.operators.ranks import before_each
+from freshet.session import settled
 from freshet.sources.tables import PREPARED, SERIES, Prepared
 
 
@@ -60,13 +64,65 @@ def append_results(tables: dict[str, DataFrame], path: str, schemas: dict[str, S
 
 
 def with_surrogate_keys(df: DataFrame, natural: Sequence[str], key: str, known: DataFrame | None = None) -> DataFrame:
-    """Numbers for new natural keys, behind those that are known. Keys are a dimension (networks, scenarios), not facts."""
-    from pyspark.sql import Window
-
+    """natural and key: numbers for new natural keys, in their order and behind those that are known. Keys are numbered over
+    parts of their order, so no task holds them all."""
     distinct = df.select(*natural).distinct()
     start = 0
     if known is not None:
         start = known.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-        distinct = distinct.join(known.select(*natural), list(natural), "left_anti")
-    fresh = distinct.withColumn(key, (F.row_number().over(Window.orderBy(*natural)) + start).cast("long"))
+        same = reduce(lambda a, b: a & b, [distinct[c].eqNullSafe(known[c]) for c in natural])
+        distinct = distinct.join(known, same, "left_anti")
+    fresh = before_each(distinct.withColumn("_one", F.lit(1)), (), natural, **{key: "_one"})
+    fresh = fresh.select(*natural, (F.col(key) + 1 + start).cast("long").alias(key))
     return fresh if known is None else known.select(*natural, key).unionByName(fresh)
+
+
+#: Natural keys of what a flat dataset is broken into, and the numbers that stand for them.
+DIMENSIONS = {
+    "networks": (("network_sha256",), "network_id"),
+    "nodes": (("network_sha256", "node_id"), "node_pk"),
+    "scenarios": (("network_sha256", "shape_id", "factor_mult"), "scenario_id"),
+    "runs": (("network_sha256", "shape_id", "factor_mult", "run_key"), "run_id"),
+}
+
+
+def backfill(flat: DataFrame, features: Sequence[str], results: Sequence[str], known: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The rows that a flat dataset (natural keys of DIMENSIONS, features, results) adds to six linked tables.
+
+    `known` holds the tables so far: networks, nodes, scenarios and runs that are there keep their numbers, and rows of
+    node_features and node_results that are there aren't added again, so a second run adds nothing. Runs are COMPLETE."""
+    known = known or {}
+    numbers, out = {}, {}
+    for table, (natural, key) in DIMENSIONS.items():
+        numbers[table] = settled(with_surrogate_keys(flat, natural, key, known.get(table)))
+        out[table] = numbers[table].join(known[table].select(key), key, "left_anti") if table in known else numbers[table]
+    out["runs"] = out["runs"].join(numbers["scenarios"], list(DIMENSIONS["scenarios"][0])).withColumn("status", F.lit("COMPLETE"))
+    keyed = flat
+    for table in ("nodes", "runs"):
+        natural, key = DIMENSIONS[table]
+        keyed = keyed.join(numbers[table].select(*natural, key), list(natural))
+    for table, columns in (("node_features", features), ("node_results", results)):
+        rows = keyed.select("run_id", "node_pk", *columns)
+        out[table] = rows.join(known[table].select("run_id", "node_pk"), ["run_id", "node_pk"], "left_anti") if table in known else rows
+    return out
+
+
+def export_file(df: DataFrame, path: str) -> str:
+    """One CSV file with a header at a path, which appears at once: rows are written beside it (one task, as it is one file),
+    and the file is moved into place by the file system, over an older one. A reader sees the old file or the new one; what a
+    failed or lost run wrote beside it is removed, and running again is safe."""
+    spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    staging = f"{parent}/.{name}-{uuid.uuid4().hex}"
+    place = fs.Path(staging)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.coalesce(1).write.option("header", True).csv(staging)
+        part = next(f.getPath() for f in system.listStatus(place) if f.getPath().getName().startswith("part-"))
+        options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        options[0] = getattr(fs, "Options$Rename").OVERWRITE
+        fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(part, fs.Path(path), options)
+    finally:
+        system.delete(place, True)
+    return path

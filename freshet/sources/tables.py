@@ -73,6 +73,16 @@ def read_prepared(spark: SparkSession, path: str) -> Prepared:
     return Prepared(**tables, manifest=manifest)
 
 
+def resolve_prepared(spark: SparkSession, folder: str, prep_id: str | None = None) -> str:
+    """The path of the prepared set with an id below a folder, or of the one whose manifest was written last."""
+    manifests = spark.read.format("binaryFile").load(f"{folder}/*/manifest/part-*").select("path", "modificationTime", F.get_json_object(F.decode("content", "UTF-8"), "$.prep_id").alias("prep_id"))
+    asked = manifests if prep_id is None else manifests.filter(F.col("prep_id") == prep_id)
+    found = asked.agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]
+    if found is None:
+        raise FileNotFoundError(f"no prepared set {prep_id or ''} in {folder}")
+    return found["path"].rsplit("/manifest/", 1)[0]
+
+
 def newest(spark: SparkSession, pattern: str) -> str:
     """The path of the file that was modified last."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")

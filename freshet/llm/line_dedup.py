@@ -90,24 +90,29 @@ def windows_of(text: Column, least: int) -> Column:
     return bound(F.coalesce(units(text), none), lambda said: F.struct(F.size(said).alias("n_units"), windows(said, least).alias("windows")))
 
 
+#: What a document is known by: its doc_id (the least number for a missing one) and a digest of the text. Plain columns that
+#: are never null, so that one shuffle by them serves joins, windows and groupings alike.
+KEY = ("id", "digest")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (never null: doc_id and a digest of the text) and text."""
-    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key")).alias("doc"), "text")
+    """KEY, doc_id and text."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64("text", doc_id.isNull()).alias("digest"), doc_id.alias("doc_id"), "text")
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, n_units and windows of each row."""
-    return keyed(docs).select("doc", windows_of(F.col("text"), min_words).alias("w")).select("doc", "w.*")
+    """KEY, n_units and windows of each row."""
+    return keyed(docs).select(*KEY, windows_of(F.col("text"), min_words).alias("w")).select(*KEY, "w.*")
 
 
 def gone_places(cut: DataFrame) -> DataFrame:
-    """doc and flags: a byte `1` at the place of each piece that lies in a window which is not the first of its digest."""
-    # plain columns: rows of nested ones are half as large again in the shuffles
-    found = cut.select("doc.doc_id", "doc.doc_key", F.explode("windows").alias("w")).select("doc_id", "doc_key", "w.*")
-    firsts = found.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "doc_key", "a")).alias("first"))
+    """KEY and flags: a byte `1` at the place of each piece that lies in a window which is not the first of its digest."""
+    found = cut.select(*KEY, F.explode("windows").alias("w")).select(*KEY, "w.*")
+    firsts = found.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "a")).alias("first"))
     firsts = written(firsts.filter("n > 1").drop("n"), "repeated")
-    again = found.join(firsts, ["d0", "d1"]).filter(F.struct("doc_id", "doc_key", "a") != F.col("first"))
-    places = again.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs")).select(F.struct("doc_id", "doc_key").alias("doc"), "runs")
+    again = found.join(firsts, ["d0", "d1"]).filter(F.struct(*KEY, "a") != F.col("first"))
+    places = again.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
 
     def flags(runs: Column) -> Column:
         # runs are in order of a, and of b too, as none holds another: each adds what the one before hasn't covered
@@ -117,28 +122,28 @@ def gone_places(cut: DataFrame) -> DataFrame:
 
         return F.array_join(F.transform(runs, bits), "")
 
-    return places.select("doc", bound(F.col("runs"), flags).cast("binary").alias("flags"))
+    return places.select(*KEY, bound(F.col("runs"), flags).cast("binary").alias("flags"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (what is kept), n_units, n_removed_units, n_removed (code points inside removed units) and removed:
     the [start, end) of every removed unit in the original text. Texts that lose nothing aren't cut again."""
     cut = written(unit_table(docs, min_words), "units")
-    found = cut.groupBy("doc").agg(F.first("n_units").alias("n_units")).join(gone_places(cut), "doc", "left")
-    both = keyed(docs).join(found, "doc").withColumn("row", F.monotonically_increasing_id())
+    found = cut.groupBy(*KEY).agg(F.first("n_units").alias("n_units")).join(gone_places(cut), list(KEY), "left")
+    both = keyed(docs).join(found, list(KEY)).withColumn("row", F.monotonically_increasing_id())
     whole = F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("piece"), F.lit("").alias("after")))
-    parts = both.select("doc", "row", "n_units", F.col("text").isNull().alias("none"), "flags", F.posexplode(F.when(F.col("flags").isNull(), whole).otherwise(pieces(F.col("text")))).alias("p", "x"))
+    parts = both.select(*KEY, "row", "doc_id", "n_units", F.col("text").isNull().alias("none"), "flags", F.posexplode(F.when(F.col("flags").isNull(), whole).otherwise(pieces(F.col("text")))).alias("p", "x"))
     flag = F.coalesce(F.substring("flags", F.col("p") + 1, F.lit(1)) == F.lit("1").cast("binary"), F.lit(False))
-    said = parts.select("doc", "row", "n_units", "none", "p", F.col("x.piece").alias("piece"), F.col("x.after").alias("after"), (flag & F.col("x.piece").rlike(INK)).alias("gone"))
-    before = Window.partitionBy("doc", "row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    said = parts.select(*KEY, "row", "doc_id", "n_units", "none", "p", F.col("x.piece").alias("piece"), F.col("x.after").alias("after"), (flag & F.col("x.piece").rlike(INK)).alias("gone"))
+    before = Window.partitionBy(*KEY, "row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     size = F.coalesce(F.length("piece"), F.lit(0))
     start = F.coalesce(F.sum(size + F.length("after")).over(before), F.lit(0)).cast("int")
     placed = said.withColumns({"start": start, "size": size})
     kept = F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("p", F.concat(F.coalesce("piece", F.lit("")), "after").alias("t")))))
     spans = F.array_sort(F.collect_list(F.when(F.col("gone"), F.struct("start", (F.col("start") + F.col("size")).alias("end")))))
-    out = placed.groupBy("doc", "row", "n_units", "none").agg(kept.alias("kept"), spans.alias("removed"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("size"))), F.lit(0)).cast("long").alias("n_removed"))
+    out = placed.groupBy(*KEY, "row", "doc_id", "n_units", "none").agg(kept.alias("kept"), spans.alias("removed"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("size"))), F.lit(0)).cast("long").alias("n_removed"))
     text = F.when(~F.col("none"), F.array_join(F.transform("kept", lambda k: k["t"]), ""))
-    return out.select(F.col("doc.doc_id").alias("doc_id"), text.alias("text"), "n_units", F.size("removed").alias("n_removed_units"), "n_removed", "removed")
+    return out.select("doc_id", text.alias("text"), "n_units", F.size("removed").alias("n_removed_units"), "n_removed", "removed")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

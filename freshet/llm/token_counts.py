@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +206,27 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     return shipped(slim).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, prefix_changes binary")
 
 
+def answered(counted: DataFrame, at: Sequence[int] = (), within: Sequence[int] = ()) -> DataFrame:
+    """The rows of `prefix_counts` with, for each number, tokens_at_<characters> (tokens of the text cut there) and
+    chars_within_<tokens> (the most characters whose tokens fit). No text is encoded, or read, again."""
+    names = [f"tokens_at_{n}" for n in at] + [f"chars_within_{n}" for n in within]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[int]] = [[] for _ in names]
+            for stored in batch.column("prefix_changes").to_pylist():
+                upto = np.cumsum(changes(stored), dtype=np.int64)
+                for k, n in enumerate(at):
+                    columns[k].append(int(upto[min(n, len(upto)) - 1]) if n and len(upto) else 0)
+                for k, n in enumerate(within, len(at)):
+                    fits = np.flatnonzero(upto <= n)
+                    columns[k].append(int(fits[-1]) + 1 if len(fits) else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*batch.schema.names, *names])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema.fields] + [f"{n} long" for n in names])
+    return shipped(counted).mapInArrow(work, schema)
+
+
 def op2_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

@@ -133,3 +133,20 @@ def test_ids_that_are_missing_or_equal_fill_many_shards(spark, monkeypatch, tmp_
     assert len(sizes) > 20 and max(sizes) < 0.1 * sum(sizes)
     back = huffman.read_files(spark, folder).agg(F.count(F.lit(1)), F.sum("n_tokens"), F.max(F.col("start") + F.col("n_tokens"))).first()
     assert back[0] == 200_000 and back[1] == back[2] == sum(sizes)
+
+
+def test_budgets_and_truncations_as_columns(documents, odd, library):
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    counted = token_counts.prefix_counts(documents)
+    got = token_counts.answered(counted, at=(0, 1, 37, 900), within=(0, 1, 64, 1000)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r["doc_id"]]
+        for n in (0, 1, 37, 900):
+            assert r[f"tokens_at_{n}"] == count(text[:n])
+        for n in (0, 1, 64, 1000):
+            chars = r[f"chars_within_{n}"]
+            assert count(text[:chars]) <= n and (chars == len(text) or count(text[: chars + 1]) > n)
+    rest = token_counts.answered(token_counts.prefix_counts(odd), at=(5,), within=(3,)).collect()
+    assert len(rest) == odd.count() and all(r["chars_within_3"] == 0 for r in rest if r["doc_id"] in (0, 1))

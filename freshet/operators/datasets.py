@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from freshet.operators import relations as R
 from freshet.operators import validation as V
 from freshet.operators.features import one_hot
+from freshet.session import small_side
 
 
 def chosen(df: DataFrame, run_ids: DataFrame | None) -> DataFrame:
@@ -108,7 +109,7 @@ def scaled_baselines(inflows: DataFrame, factor: float, baseline: str = "baselin
 
 def scaled_inputs(filled: DataFrame, base: DataFrame, multipliers: DataFrame, run: str, value: str) -> DataFrame:
     """The input series of a base run at every multiplier, over the multiplier of the base run."""
-    return filled.join(base.select(run, F.col("multiplier").alias("_own")), run).join(F.broadcast(multipliers)).withColumn(value, F.col(value) * F.col("multiplier") / F.col("_own")).drop("_own")
+    return filled.join(base.select(run, F.col("multiplier").alias("_own")), run).join(small_side(multipliers)).withColumn(value, F.col(value) * F.col("multiplier") / F.col("_own")).drop("_own")
 
 
 def peak_node(series: DataFrame, by: str, node: str, value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.session import small_side
+
 #: The feature contract, in order (name, may be null).
 FEATURES = [
     ("elev_fondo", False), ("prof_max", False), ("n_tuberias_in", False), ("n_tuberias_out", False), ("diam_max_in", True), ("diam_max_out", True), ("pendiente_max_in", True),
@@ -17,7 +19,7 @@ FEATURES = [
 
 def dynamic_features(static: DataFrame, factors: DataFrame, node_peak: str, total_peak: str) -> DataFrame:
     """Every node at every factor, with both peaks scaled; factors are a handful."""
-    wide = static.crossJoin(F.broadcast(factors.select(F.round("factor_mult", 6).alias("factor_mult"))))
+    wide = static.crossJoin(small_side(factors.select(F.round("factor_mult", 6).alias("factor_mult"))))
     return wide.withColumns({"q_pico_nodo": F.col(node_peak) * F.col("factor_mult"), "q_pico_acum_escalado": F.col(total_peak) * F.col("factor_mult")})
 
 
@@ -61,7 +63,7 @@ def prediction_rows(nodes: DataFrame, multipliers: DataFrame, **constants: Colum
     """A row per node and multiplier; a node that occurs twice counts once (the first by order)."""
     w = Window.partitionBy("node_id").orderBy("ord")
     once = nodes.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "ord")
-    return once.crossJoin(F.broadcast(multipliers)).withColumns(constants) if constants else once.crossJoin(F.broadcast(multipliers))
+    return once.crossJoin(small_side(multipliers)).withColumns(constants) if constants else once.crossJoin(small_side(multipliers))
 
 
 def shown_metric(nodes: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from freshet.operators import metrics as M
 from freshet.operators.kernels import FourierFeatures
 from freshet.operators.models import Preparation
 from freshet.operators.validation import RuleError
-from freshet.session import settled
+from freshet.session import settled, small_side
 
 _COLUMNS = {"featuresCol": "features", "labelCol": "_target"}
 
@@ -153,7 +153,7 @@ def ablation(samples: DataFrame, by: str, features: Sequence[str], dropped: Sequ
 def network_predictions(fitted: Regression, nodes: DataFrame, factors: DataFrame, base: str, key: str = "node_id", factor: str = "factor_mult") -> DataFrame:
     """key, factor and the predicted value (at least 0) of every node at every factor; a factor scales the node's base.
     Factors are a range of a few dozen rows."""
-    rows = nodes.join(F.broadcast(factors.select(factor))).withColumn(base, F.col(base) * F.col(factor))
+    rows = nodes.join(small_side(factors.select(factor))).withColumn(base, F.col(base) * F.col(factor))
     return fitted.predict(rows, [key, factor]).select(key, factor, F.greatest("prediction", F.lit(0.0)).alias("predicted"))
 
 

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTC times, ANSI errors, adaptive execution and a recursion limit above the depth of real drainage networks.
 SETTINGS = {
@@ -73,5 +74,10 @@ def shipped(df: DataFrame) -> DataFrame:
     return df
 
 
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The frame, to be broadcast if it has `most` rows or fewer (which is counted, no further than that)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

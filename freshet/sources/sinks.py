@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.scalars import hours_to_clock, json_number
 from freshet.operators.ranks import before_each
-from freshet.session import settled
+from freshet.session import settled, small_side
 from freshet.sources.tables import PREPARED, SERIES, Prepared
 
 
@@ -53,7 +53,7 @@ def write_reports(reports: dict[str, DataFrame], path: str) -> None:
 
 def inflow_table(shape: DataFrame, nodes: DataFrame, factor: float) -> DataFrame:
     """node_id, time (`H:MM`), value_lps of a shape applied to all nodes with a positive base."""
-    wide = nodes.filter("base > 0").crossJoin(F.broadcast(shape))  # a shape is a few dozen rows
+    wide = nodes.filter("base > 0").crossJoin(small_side(shape))
     return wide.select("node_id", "time_h", hours_to_clock(F.col("time_h")).alias("time"), F.bround(F.col("base") * factor * F.col("q_norm"), 6).alias("value_lps")).orderBy("node_id", "time_h").select("node_id", "time", "value_lps")
 
 

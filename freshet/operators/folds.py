@@ -63,10 +63,10 @@ def grouped_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int
     return df.withColumn("split", F.when(hashed <= last, "test").otherwise("train"))
 
 
-def sample_index(df: DataFrame, *order: str) -> DataFrame:
+def sample_index(df: DataFrame, *order: str, falling: Sequence[str] = ()) -> DataFrame:
     """Consecutive numbers from 0 in the order, by range partitions: counts of the partitions come first, so no task holds
     all rows."""
-    return before_each(df.withColumn("_one", F.lit(1)), (), order, sample_idx="_one").drop("_one")
+    return before_each(df.withColumn("_one", F.lit(1)), (), order, falling, sample_idx="_one").drop("_one")
 
 
 def overlap(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:

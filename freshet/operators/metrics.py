@@ -35,7 +35,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
 def average_precision(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum of recall steps times precision over falling distinct scores; NULL for a single class."""
     per = df.groupBy(*by, score).agg(F.sum(F.col(truth).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    cum = before_each(per, by, [score], descending=True, _pos_above="_pos", _n_above="_n").withColumn("_p", (F.col("_pos_above") + F.col("_pos")) / (F.col("_n_above") + F.col("_n")))
+    cum = before_each(per, by, [score], falling=[score], _pos_above="_pos", _n_above="_n").withColumn("_p", (F.col("_pos_above") + F.col("_pos")) / (F.col("_n_above") + F.col("_n")))
     out = cum.groupBy(*by).agg(F.sum(F.col("_pos") * F.col("_p")).alias("_s"), F.sum("_pos").alias("_np"), F.sum("_n").alias("_nn"))
     return out.select(*by, F.when((F.col("_np") > 0) & (F.col("_np") < F.col("_nn")), F.col("_s") / F.col("_np")).alias("pr_auc"))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,22 +39,24 @@ def part_of(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple]) -> Colum
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= key, at + s).otherwise(at))
 
 
-def before_each(df: DataFrame, by: Sequence[str], order: Sequence[str], descending: bool = False, totals: bool = False, **sums: str) -> DataFrame:
-    """Adds, under each name, the sum of a column over the rows of the same `by` that come before a row in the order, and
-    with `totals`, under `total_<name>`, that over all rows of the same `by`.
+def before_each(df: DataFrame, by: Sequence[str], order: Sequence[str], falling: Collection[str] = (), totals: bool = False, **sums: str) -> DataFrame:
+    """Adds, under each name, the sum of a column over the rows of the same `by` that come before a row in the order
+    (in which the columns of `falling` fall), and with `totals`, under `total_<name>`, that over all rows of the same `by`.
 
     The part of the order that a row belongs to follows from the row itself, so nothing has to be settled: rows are shuffled
     once, by part and `by`, for their running sums, and sums of parts (a row per part and key in it) are added up before
     they are."""
-    part = part_of(df, order, bounds(df, order))
-    keyed = df.withColumn("_key", F.struct((-part if descending else part).alias("part"), *by))
+    down = bool(order) and order[0] in falling
+    leading = list(takewhile(lambda c: (c in falling) == down, order))  # struct comparison knows one direction
+    part = part_of(df, leading, bounds(df, leading))
+    keyed = df.withColumn("_key", F.struct((-part if down else part).alias("part"), *by))
     dealt = keyed.repartition("_key")
     per = keyed.groupBy("_key").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     same = Window.partitionBy(*[F.col(f"_key.`{k}`") for k in by])
     above = same.orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
     starts = [F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_s_{n}") for n in sums]
     whole = [F.sum(f"_t_{n}").over(same).alias(f"total_{n}") for n in sums] if totals else []
-    within = Window.partitionBy("_key").orderBy(*[F.desc(c) if descending else F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_key").orderBy(*[F.desc(c) if c in falling else F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     counted = dealt.withColumns({f"_w_{n}": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
     both = counted.join(per.select(F.col("_key").alias("_k"), *starts, *whole), F.col("_key") == F.col("_k"))
     return both.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums], *[f"total_{n}" for n in sums if totals])

@@ -219,7 +219,7 @@ def o2(spark, sf):
 @query("o3_mixed_order", WITH + ", g AS (SELECT scenario_type, network_id, count(*) AS rows FROM samples GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY rows DESC, scenario_type, network_id DESC) - 1 AS sample_idx, scenario_type, network_id, rows FROM g")
 def o3(spark, sf):
     g = B.samples(spark, sf).groupBy("scenario_type", "network_id").agg(F.count(F.lit(1)).alias("rows"))
-    return K.sample_index(g, F.desc("rows"), F.col("scenario_type"), F.desc("network_id"))
+    return K.sample_index(g, "rows", "scenario_type", "network_id", falling=["rows", "network_id"])
 
 
 @query("u1_stacked_folds", WITH + ", f AS (SELECT run_id, node_id, CAST(run_id % 3 AS INTEGER) AS a, CAST(run_id % 5 AS INTEGER) AS b FROM samples) SELECT 'three' AS protocol, a AS fold_id, count(*) AS n FROM f GROUP BY 1, 2 UNION ALL SELECT 'five', b, count(*) FROM f GROUP BY 1, 2")

@@ -74,7 +74,7 @@ def test_running_sums(spark, descending):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), rng.randint(1, 5)) for _ in range(500)]
     distinct = list({(k, v): (k, v, n) for k, v, n in rows}.values())
-    got = ranks.before_each(spark.createDataFrame(distinct, "k string, v int, n int"), ["k"], ["v"], descending, True, below="n").collect()
+    got = ranks.before_each(spark.createDataFrame(distinct, "k string, v int, n int"), ["k"], ["v"], ["v"] if descending else [], True, below="n").collect()
     level = lambda v: -1 if v is None else v
     for r in got:
         same = [d for d in distinct if d[0] == r["k"]]

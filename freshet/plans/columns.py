@@ -16,7 +16,7 @@ from freshet.operators import timeseries as T
 from freshet.operators import validation as V
 from freshet.plans import bindings as B
 from freshet.plans.registry import query
-from freshet.session import new_folder, read_table
+from freshet.session import new_folder, read_table, settled
 from freshet.sources import sinks, tables
 from freshet.streaming import events as events_
 
@@ -295,6 +295,20 @@ def snk2(spark, sf):
     return back.groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("total_inflow_lps"), 4).alias("inflow"), F.max(F.col("node_id").cast("long")).alias("last"))
 
 
+@query("src7_registered_series", "SELECT user_id AS run_id, count(*) AS rows, round(sum(value), 4) AS inflow, max(event_id) AS last FROM events GROUP BY 1")
+def src7(spark, sf):
+    """Series of runs in files that a registry names: what isn't registered, here a file of other rows, isn't read."""
+    zero, path = F.lit(0.0), folder(spark)
+    e = read_table(spark, sf, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("run_id"), F.lit("n").alias("network_hash"), F.col("event_id").cast("string").alias("node_id"), F.lit(0).alias("step_index"), *[zero.alias(c) for c in ("time_sec", "time_min")], F.col("value").alias("total_inflow_lps"), *[zero.alias(c) for c in ("lateral_inflow_lps", "depth_m", "depth_ratio", "flooding_lps", "total_outflow_lps")], F.lit(0).alias("failed_now"))
+    rows.repartition(4, "run_id").write.parquet(path)
+    registry = spark.read.parquet(path).select(F.input_file_name().alias("parquet_path")).distinct().withColumn("artifact_id", F.xxhash64("parquet_path"))
+    registry = settled(registry)
+    rows.withColumn("run_id", F.lit("-1")).coalesce(1).write.mode("append").parquet(path)
+    back = tables.read_registered(spark, registry)
+    return back.groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("total_inflow_lps"), 4).alias("inflow"), F.max(F.col("node_id").cast("long")).alias("last"))
+
+
 @query("snk1_csv_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def snk1(spark, sf):
     path = f"{folder(spark)}/csv"

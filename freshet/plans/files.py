@@ -202,3 +202,13 @@ def r6(spark, sf):
         got.group_sizes("user_id").agg(F.max("rows").alias("rows")).select(F.lit("group_sizes").alias("section"), F.lit("user_id").alias("name"), number("rows")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("snk17_status_updates", "SELECT o_orderkey AS run_id, o_orderpriority AS scenario_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETE' WHEN 'P' THEN 'RUNNING' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'FAILED' WHEN o_orderkey % 3 = 1 THEN 'COMPLETE' ELSE 'RUNNING' END END AS status FROM orders")
+def snk17(spark, sf):
+    """All runs after those that wait have begun and most of those that ran have ended."""
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETE").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("PENDING")
+    runs = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("scenario_id"), status.alias("status"))
+    ended = F.when(F.col("run_id") % 3 == 0, "FAILED").otherwise("COMPLETE")
+    changes = runs.filter("status = 'PENDING' OR status = 'RUNNING' AND run_id % 3 < 2").select("run_id", F.when(F.col("status") == "PENDING", "RUNNING").otherwise(ended).alias("status"))
+    return sinks.updated_status(runs, changes)

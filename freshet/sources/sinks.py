@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.scalars import hours_to_clock, json_number
 from freshet.operators.ranks import before_each
+from freshet.operators.validation import raise_if_any
 from freshet.session import settled, small_side
 from freshet.sources.tables import PREPARED, SERIES, Prepared
 
@@ -107,6 +108,21 @@ def backfill(flat: DataFrame, features: Sequence[str], results: Sequence[str], k
     return out
 
 
+#: How a run's status may change.
+TRANSITIONS = (("PENDING", "RUNNING"), ("RUNNING", "COMPLETE"), ("RUNNING", "FAILED"))
+
+
+def updated_status(runs: DataFrame, changes: DataFrame, key: str = "run_id", status: str = "status", allowed: Sequence[tuple[str, str]] = TRANSITIONS) -> DataFrame:
+    """The runs after changes (key, status) of some of them. A change of a run that isn't there, a second change of one run
+    and a change that isn't allowed are errors, and then nothing changes."""
+    asked = changes.select(key, F.col(status).alias("_new"))
+    both = asked.join(runs.select(key, F.col(status).alias("_old")), key, "left")
+    fine = reduce(lambda a, b: a | b, [(F.col("_old") == old) & (F.col("_new") == new) for old, new in allowed])
+    raise_if_any(both.filter(~F.coalesce(fine, F.lit(False))), "a status can't change so")
+    raise_if_any(asked.groupBy(key).count().filter("count > 1"), "a run changes more than once")
+    return runs.join(asked, key, "left").withColumn(status, F.coalesce("_new", status)).select(*runs.columns)
+
+
 def export_file(df: DataFrame, path: str) -> str:
     """One CSV file with a header at a path, which appears at once: rows are written beside it (one task, as it is one file),
     and the file is moved into place by the file system, over an older one. A reader sees the old file or the new one; what a

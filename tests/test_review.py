@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators import aggregates as A
 from freshet.operators.review import review
+from freshet.operators.validation import RuleError
 from freshet.sources import reports, sinks, tables
 
 HEADED = """  Some Other Summary
@@ -113,3 +114,14 @@ def test_review_equals_the_single_summaries(spark, tmp_path):
 def test_review_of_nothing(spark, tmp_path):
     got = review(spark.createDataFrame([], "a int, v double"), f"file://{tmp_path}/data", ["a"], ["v"])
     assert got.sums["rows"] == 0 and got.columns().isEmpty() and got.duplicates().first()["duplicate_rows"] == 0 and got.target_summary().first()["n"] == 0
+
+
+@pytest.mark.parametrize("changes,error", [([(1, "RUNNING")], None), ([(2, "COMPLETE"), (1, "RUNNING")], None), ([(1, "COMPLETE")], "can't change"), ([(3, "RUNNING")], "can't change"), ([(9, "RUNNING")], "can't change"), ([(1, None)], "can't change"), ([(2, "COMPLETE"), (2, "FAILED")], "more than once")])
+def test_status_updates_are_guarded(spark, changes, error):
+    runs = spark.createDataFrame([(1, "PENDING"), (2, "RUNNING"), (3, "COMPLETE")], "run_id int, status string")
+    asked = spark.createDataFrame(changes, "run_id int, status string")
+    if error:
+        with pytest.raises(RuleError, match=error):
+            sinks.updated_status(runs, asked)
+    else:
+        assert {r["run_id"]: r["status"] for r in sinks.updated_status(runs, asked).collect()} == {1: "PENDING", 2: "RUNNING", 3: "COMPLETE"} | dict(changes)

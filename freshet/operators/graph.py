@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.functions.scalars import full_flow_lps
+from freshet.functions.scalars import full_flow_lps, half_even
+from freshet.operators.aggregates import plausible_depths
 from freshet.session import settled
 
 #: Doubling rounds reach paths of 2^ROUNDS edges.
@@ -83,6 +86,64 @@ def distance_to_outfall(nodes: DataFrame, edges: DataFrame, outfalls: DataFrame,
     return nodes.select("node_id").join(best.select("node_id", "distance"), "node_id", "left")
 
 
+def distance_in_forest(nodes: DataFrame, edges: DataFrame, outfalls: DataFrame, length: str = "length") -> DataFrame:
+    """`distance_to_outfall` where a node has one way down at most, by pointer doubling: after k rounds a node knows its
+    length down to a node 2^k edges away, so a path of a million edges takes twenty rounds and not a million. Pointers end
+    at outfalls, even at those with an edge below them; a node that ends elsewhere or runs round a cycle gets NULL."""
+    repeated = edges.groupBy("from_node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError("a node has several ways down; use distance_to_outfall")
+    ends = outfalls.select("node_id").distinct().withColumn("_end", F.lit(True))
+    weight = F.coalesce(length, F.lit(0)).cast("double")
+    sound = F.when(weight >= 0, weight).otherwise(F.raise_error(F.lit("an edge has a length below 0")).cast("double"))
+    down = edges.select(F.col("from_node").alias("node_id"), F.col("to_node").alias("next"), sound.alias("d"))
+    # a lower end that is neither an outfall nor the start of an edge is a row too, so that pointers find it
+    known = down.select("node_id").union(down.select("next")).union(outfalls.select("node_id")).distinct()
+    wide = known.join(down, "node_id", "left").join(ends, "node_id", "left")
+    at_end = F.coalesce("_end", F.lit(False))
+    state = settled(wide.select("node_id", F.when(~at_end, F.col("next")).alias("next"), F.when(at_end, 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("d"), at_end.alias("reached")))
+    most, covered = state.count(), 1
+    while covered <= most and not state.filter("next IS NOT NULL").isEmpty():
+        below = state.select(F.col("node_id").alias("next"), F.col("next").alias("_next"), F.col("d").alias("_d"), F.col("reached").alias("_reached"))
+        moved = state.join(below, "next", "left")
+        state = settled(moved.select("node_id", F.col("_next").alias("next"), (F.col("d") + F.coalesce("_d", F.lit(0.0))).alias("d"), (F.col("reached") | F.coalesce("_reached", F.lit(False))).alias("reached")))
+        covered *= 2
+    return nodes.select("node_id").join(state.filter("reached").select("node_id", F.col("d").alias("distance")), "node_id", "left")
+
+
+@dataclass(frozen=True)
+class Topology:
+    """What a network says of itself before any run: its nodes, its links, and one row on whether depths are plausible."""
+
+    nodes: DataFrame
+    links: DataFrame
+    depths: DataFrame
+
+
+def topology(nodes: DataFrame, links: DataFrame) -> Topology:
+    """nodes: node_id, kind, elevation, depth, base; links: link_id, from_node, to_node, kind, diameter, length, roughness,
+    in_offset, out_offset.
+
+    A link's slope is signed, with six digits, and NULL where an end isn't among the nodes or there is no positive length;
+    its capacity goes by the slope's size and is NULL where that is 0. A node's columns sum up the links that end
+    (upstream_) and start (downstream_) there, in one aggregation over both ends, so links are shuffled by node once."""
+    fallen = slopes(links, nodes).withColumn("slope", F.when(F.col("length") > 0, half_even(F.col("slope"), 6)))
+    steep = F.abs("slope")
+    carried = fallen.withColumn("capacity", full_flow_lps(F.col("diameter"), steep, F.col("roughness")))
+    sides = (("upstream", "to_node"), ("downstream", "from_node"))
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(end).alias("node_id")) for side, end in sides])).alias("e")
+    long = carried.select("diameter", steep.alias("steep"), "capacity", ends).select("e.side", "e.node_id", "diameter", "steep", "capacity").filter("node_id IS NOT NULL")
+    summed = []
+    for side, _ in sides:
+        of = lambda c, here=F.col("side") == side: F.when(here, F.col(c))
+        measures = {"diam_max_m": F.max(of("diameter")), "diam_min_m": F.min(of("diameter")), "diam_avg_m": F.avg(of("diameter")), "slope_avg": F.avg(of("steep")), "slope_max": F.max(of("steep")), "capacity_lps": F.sum(of("capacity"))}
+        summed += [F.count_if(F.col("side") == side).alias(f"{side}_pipes"), *[half_even(x, 6).alias(f"{side}_{name}") for name, x in measures.items()]]
+    own = nodes.select("node_id", F.col("kind").alias("node_type"), half_even(F.col("elevation"), 4).alias("invert_elev_m"), half_even(F.col("depth"), 4).alias("full_depth_m"), half_even(F.coalesce("base", F.lit(0.0)), 6).alias("base_inflow_lps"))
+    both = own.join(long.groupBy("node_id").agg(*summed), "node_id", "left").fillna(0, ["upstream_pipes", "downstream_pipes"])
+    shown = carried.select("link_id", "from_node", "to_node", F.col("kind").alias("link_type"), half_even(F.col("diameter"), 4).alias("diameter_m"), half_even(F.col("length"), 4).alias("length_m"), half_even(F.col("roughness"), 6).alias("roughness"), F.col("slope").alias("slope_m_per_m"), half_even(F.col("capacity"), 6).alias("capacity_lps"))
+    return Topology(both, shown, plausible_depths(nodes.filter("kind = 'junction'"), "depth"))
+
+
 def incoming_capacity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Full-pipe flow of all conduits into each node; NULL where it is 0."""
     flow = edges.withColumn("_c", full_flow_lps(F.col("diameter"), F.col("slope"), F.col("roughness"))).groupBy(F.col("to_node").alias("node_id")).agg(F.sum("_c").alias("_c"))

@@ -128,6 +128,56 @@ def g4(spark, sf):
     return G.distance_to_outfall(B.nodes(spark, sf), B.edges(spark, sf), B.outfalls(spark))
 
 
+@query("g4_forest_distance", f"WITH RECURSIVE {B.EDGES}, d(node_id, distance) AS (SELECT CAST(0 AS BIGINT), 0e0 UNION ALL SELECT s_suppkey, 0e0 FROM supplier WHERE s_suppkey = 5 UNION ALL SELECT e.from_node, d.distance + e.length FROM d JOIN edges e ON e.to_node = d.node_id WHERE e.from_node NOT IN (5, 7)) SELECT s_suppkey AS node_id, min(distance) AS distance FROM supplier LEFT JOIN d ON node_id = s_suppkey GROUP BY 1")
+def g4_forest(spark, sf):
+    """Two outfalls, of which one has an edge below it, and a branch (from 7 on) that is cut off."""
+    ends = B.outfalls(spark).union(B.nodes(spark, sf).filter("node_id = 5").select("node_id"))
+    return G.distance_in_forest(B.nodes(spark, sf), B.edges(spark, sf).filter("from_node <> 7"), ends)
+
+
+def network(spark, sf):
+    """The suppliers' network with links of several kinds, some without a length or a size; some nodes aren't listed."""
+    k = F.col("from_node")
+    links = B.edges(spark, sf).select(k.alias("link_id"), "from_node", "to_node", F.when(k % 10 == 3, "weir").otherwise("conduit").alias("kind"), F.when(k % 10 != 3, F.col("diameter")).alias("diameter"), F.when(k % 12 == 1, 0.0).otherwise(F.col("length")).alias("length"), "roughness", F.lit(0.5).alias("in_offset"), F.lit(0.25).alias("out_offset"))
+    id_ = F.col("node_id")
+    nodes = B.nodes(spark, sf).select("node_id", F.when(id_ == 0, "outfall").otherwise("junction").alias("kind"), "elevation", (id_ % 4).cast("double").alias("depth"), F.when(id_ % 3 > 0, F.col("base")).alias("base"))
+    return G.topology(nodes.filter("node_id % 17 <> 4"), links)
+
+
+_SIDES = {"upstream": "to_node", "downstream": "from_node"}
+_NETWORK = f"""WITH {B.EDGES}, n AS (
+  SELECT s_suppkey AS node_id, CASE WHEN s_suppkey = 0 THEN 'outfall' ELSE 'junction' END AS node_type, CAST(s_suppkey % 11 AS DOUBLE) * 10 AS elevation, CAST(s_suppkey % 4 AS DOUBLE) AS depth, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS base FROM supplier WHERE s_suppkey % 17 <> 4
+), l AS (
+  SELECT from_node AS link_id, from_node, to_node, CASE WHEN from_node % 10 = 3 THEN 'weir' ELSE 'conduit' END AS link_type, CASE WHEN from_node % 10 <> 3 THEN diameter END AS diameter_m, CASE WHEN from_node % 12 = 1 THEN 0e0 ELSE length END AS length_m, roughness FROM edges
+), f AS (
+  SELECT l.*, CASE WHEN length_m > 0 THEN round_even((a.elevation + 0.25e0 - b.elevation) / length_m, 6) END AS slope FROM l LEFT JOIN n a ON a.node_id = from_node LEFT JOIN n b ON b.node_id = to_node
+), c AS (
+  SELECT *, CASE WHEN abs(slope) > 0 THEN 1e0 / roughness * 3.141592653589793e0 * power(diameter_m, 2) / 4 * power(diameter_m / 4, 2e0 / 3e0) * sqrt(abs(slope)) * 1000 END AS capacity FROM f
+) """
+
+
+@query("r14_topology_links", _NETWORK + "SELECT link_id, from_node, to_node, link_type, round(diameter_m, 4) AS diameter_m, length_m, roughness, slope AS slope_m_per_m, round(capacity, 6) AS capacity_lps FROM c")
+def r14_links(spark, sf):
+    return network(spark, sf).links
+
+
+@query(
+    "r14_topology_nodes",
+    _NETWORK
+    + "SELECT n.node_id, node_type, elevation AS invert_elev_m, depth AS full_depth_m, round(coalesce(base, 0), 6) AS base_inflow_lps, "
+    + ", ".join(f"coalesce({s}_pipes, 0) AS {s}_pipes, {s}_diam_max_m, {s}_diam_min_m, {s}_diam_avg_m, {s}_slope_avg, {s}_slope_max, {s}_capacity_lps" for s in _SIDES)
+    + " FROM n "
+    + " ".join(f"LEFT JOIN (SELECT {end} AS node_id, count(*) AS {s}_pipes, round(max(diameter_m), 6) AS {s}_diam_max_m, round(min(diameter_m), 6) AS {s}_diam_min_m, round(avg(diameter_m), 6) AS {s}_diam_avg_m, round(avg(abs(slope)), 6) AS {s}_slope_avg, max(abs(slope)) AS {s}_slope_max, round(sum(capacity), 6) AS {s}_capacity_lps FROM c GROUP BY 1) {s} ON {s}.node_id = n.node_id" for s, end in _SIDES.items()),
+)
+def r14_nodes(spark, sf):
+    return network(spark, sf).nodes
+
+
+@query("r14_topology_depths", _NETWORK + "SELECT count(depth) AS n, avg(CAST(depth > 10 AS DOUBLE)) AS deep_share, median(depth) AS median, count(depth) >= 20 AND avg(CAST(depth > 10 AS DOUBLE)) >= 0.25 AS suspicious FROM n WHERE node_type = 'junction'")
+def r14_depths(spark, sf):
+    return network(spark, sf).depths
+
+
 @query("g5_capacity", f"WITH {B.EDGES} SELECT s_suppkey AS node_id, round(sum(1e0 / roughness * 3.141592653589793e0 * power(diameter, 2) / 4 * power(diameter / 4, 2e0 / 3e0) * sqrt(slope) * 1000), 5) AS upstream_capacity_lps FROM supplier LEFT JOIN edges ON to_node = s_suppkey GROUP BY 1")
 def g5(spark, sf):
     return G.incoming_capacity(B.nodes(spark, sf), B.edges(spark, sf)).withColumn("upstream_capacity_lps", F.round("upstream_capacity_lps", 5))

@@ -5,31 +5,60 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.ranks import before_each
+from freshet.session import small_side
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """group, fold_id: a fold for each distinct group, in the order of groups."""
-    return df.select(group).distinct().withColumn("fold_id", F.dense_rank().over(Window.orderBy(group)) - 1)  # a row per group
+    """group, fold_id: a fold for each distinct group, in the order of groups, numbered over parts of that order."""
+    groups = df.select(group).distinct().withColumn("_one", F.lit(1))
+    return before_each(groups, (), [group], fold_id="_one").select(group, F.col("fold_id").cast("int").alias("fold_id"))
+
+
+def dealt(loads: Sequence[int], size: int, count: int) -> list[int]:
+    """How many of `count` groups of one size each fold takes, if each group goes to the lightest fold (ties to the first)."""
+    within = lambda w: sum((w - x) // size + 1 for x in loads if x <= w)
+    low, high = min(loads), min(loads) + size * count
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if within(middle) >= count else (middle + 1, high)
+    taken = [max(0, (low - 1 - x) // size + 1) for x in loads]
+    for k, x in enumerate(loads):
+        if sum(taken) < count and x <= low and (low - x) % size == 0:
+            taken[k] += 1
+    return taken
+
+
+#: Groups of size `_n` that folds of weights `_loads` take before one of them weighs more than {}.
+_TAKEN = "aggregate(_loads, 0L, (a, x) -> a + IF(x <= {0}, ({0} - x) div _n + 1, 0L))"
+_MIDDLE = "(b.low + b.high) div 2"
+#: The weight at which a fold takes the group of rank `_rank`, by halving, and the fold: of those that reach it, in their order.
+_WEIGHT = f"""aggregate(sequence(1, 63), struct(array_min(_loads) AS low, array_min(_loads) + _n * (_rank + 1) AS high),
+  (b, i) -> IF({_TAKEN.format(f"({_MIDDLE})")} > _rank, struct(b.low AS low, {_MIDDLE} AS high), struct(least({_MIDDLE} + 1, b.high) AS low, b.high AS high)), b -> b.low)"""
+_FOLD = f"filter(sequence(0, size(_loads) - 1), f -> _loads[f] <= _weight AND (_weight - _loads[f]) % _n = 0)[int(_rank - {_TAKEN.format('(_weight - 1)')})]"
 
 
 def balanced(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
     """group, fold_id: groups by falling size (ties by falling group), each to the lightest fold so far (ties to the first).
-    Works on the table of group sizes, which is folded in one aggregate."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    packed = sizes.agg(F.sort_array(F.collect_list(F.struct("n", group)), asc=False).alias("_groups"))
-    checked = packed.select(F.when(F.size("_groups") >= n_folds, F.col("_groups")).otherwise(F.raise_error(F.lit(f"fewer than {n_folds} groups"))).alias("_groups"))
-    empty = F.struct(F.array(*[F.lit(0).cast("bigint") for _ in range(n_folds)]).alias("loads"), F.array().cast("array<int>").alias("folds"))
-
-    def put(state, g):
-        lightest = (F.array_position(state["loads"], F.array_min(state["loads"])) - 1).cast("int")
-        return F.struct(F.transform(state["loads"], lambda x, i: F.when(i == lightest, x + g["n"]).otherwise(x)).alias("loads"), F.concat(state["folds"], F.array(lightest)).alias("folds"))
-
-    dealt = checked.select(F.arrays_zip(F.col("_groups"), F.aggregate("_groups", empty, put)["folds"].alias("fold")).alias("z")).select(F.explode("z").alias("z"))
-    return dealt.select(F.col(f"z._groups.{group}").alias(group), F.col("z.fold").alias("fold_id"))
+
+    Groups of one size are dealt together: if folds weigh L before them, fold f takes its k-th group of size s when it weighs
+    L[f] + k * s, so the r-th group of the size goes where the r-th smallest (L[f] + k * s, f) is. The driver holds how many
+    groups each distinct size has (sizes add up to the rows, so distinct ones are few) and the folds' weights; a group finds
+    its fold from its rank among those of its size, so no task holds all groups."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    classes = sorted(((r["_n"], r["c"]) for r in sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    if sum(c for _, c in classes) < n_folds:
+        raise ValueError(f"fewer than {n_folds} groups")
+    loads, before = [0] * n_folds, []
+    for size, count in classes:
+        before.append((size, loads))
+        loads = [x + size * k for x, k in zip(loads, dealt(loads, size, count), strict=True)]
+    weights = small_side(df.sparkSession.createDataFrame(before, "_n bigint, _loads array<bigint>"))
+    ranked = before_each(sizes.withColumn("_one", F.lit(1)), ["_n"], [group], falling=[group], _rank="_one")
+    return ranked.join(weights, "_n").withColumn("_weight", F.expr(_WEIGHT)).select(group, F.expr(_FOLD).alias("fold_id"))
 
 
 def long_form(samples: DataFrame, group_folds: DataFrame, group: str, protocol: str, key: str = "sample_idx") -> DataFrame:

@@ -134,6 +134,23 @@ def test_folds(spark):
         D.balanced(df.filter("factor_mult < 0.7"), "factor_mult").collect()
 
 
+@pytest.mark.parametrize("n_folds", [2, 3, 7])
+def test_balanced_folds_are_those_of_dealing_one_by_one(spark, n_folds):
+    sizes = [(k * 37) % 11 + 1 for k in range(60)] + [400, 90, 90, 1, 1, 1]
+    df = spark.createDataFrame([(g if g else None, k) for g, n in enumerate(sizes) for k in range(n)], "g int, k int")
+    loads, want = [0] * n_folds, {}
+    for n, g in sorted(((n, g) for g, n in enumerate(sizes)), reverse=True):
+        lightest = loads.index(min(loads))
+        loads[lightest] += n
+        want[g or None] = lightest
+    assert dict(map(tuple, D.balanced(df, "g", n_folds).collect())) == want
+
+
+def test_dealt_groups_fill_the_lightest_folds():
+    assert D.dealt([0, 0, 0], 5, 4) == [2, 1, 1]
+    assert D.dealt([100, 0, 3], 1, 7) == [0, 5, 2]
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(1.0,), (0.5,), (0.0,)], "v double")
     assert [r[0] for r in df.select(S.flood_label(F.col("v"), 1.0)).collect()] == [1, 0, 0]

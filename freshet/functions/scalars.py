@@ -108,6 +108,21 @@ def scenario_key(shape: Column, factor: Column) -> Column:
     return F.format_string("%s__f%.2f", shape, factor)
 
 
+#: Names of the two ways in which a scenario scales inflows.
+SCENARIO_MODES = {
+    "timeseries": ("timeseries", "time_series", "time-series", "hidrograma", "hidrograma_interno", "hydrograph"),
+    "steady": ("steady", "steady_flow", "steady-flow", "baseline", "baseline_inflow"),
+}
+
+
+def scenario_mode(raw: Column, otherwise: Column | None = None) -> Column:
+    """The mode that a name stands for, whatever its case and outer blanks; NULL is `otherwise`, an unknown name an error."""
+    known = {name: mode for mode, names in SCENARIO_MODES.items() for name in names}
+    pairs = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    unknown = F.raise_error(F.format_string("no such scenario mode: %s", raw)).cast("string")
+    return F.when(raw.isNull(), F.lit(None).cast("string") if otherwise is None else otherwise).otherwise(F.coalesce(F.try_element_at(pairs, F.lower(F.trim(raw))), unknown))
+
+
 def json_number(x: Column) -> Column:
     """A number that JSON can hold: NULL for NaN and infinities."""
     return missing_if_nan(x)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.validation import raise_if_any
 from freshet.session import small_side
 
 #: The feature contract, in order (name, may be null).
@@ -66,6 +67,25 @@ def prediction_rows(nodes: DataFrame, multipliers: DataFrame, **constants: Colum
     return once.crossJoin(small_side(multipliers)).withColumns(constants) if constants else once.crossJoin(small_side(multipliers))
 
 
+def steady_prediction_rows(nodes: DataFrame, multipliers: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """A row per node of a network and multiplier, for predictions at steady inflows. With `targets` (node_id) only those
+    nodes; one that the network lacks is an error."""
+    if targets is not None:
+        asked = targets.select("node_id").distinct()
+        raise_if_any(asked.join(nodes, "node_id", "left_anti"), "nodes that aren't in the network")
+        nodes = nodes.join(asked, "node_id", "left_semi")
+    given = multipliers.select(F.col("inflow_multiplier").cast("double").alias("inflow_multiplier"))
+    return prediction_rows(nodes, given, scenario_type=F.lit("ml_steady_prediction"), spatial_pattern=F.lit("all_nodes" if targets is None else "selected_nodes"))
+
+
+def scenario_input(df: DataFrame) -> str:
+    """The column that tells scenarios apart: the multiplier, or the added inflow of older datasets."""
+    for name in ("inflow_multiplier", "delta_inflow_lps"):
+        if name in df.columns:
+            return name
+    raise ValueError("neither inflow_multiplier nor delta_inflow_lps")
+
+
 def shown_metric(nodes: DataFrame) -> DataFrame:
     """The volume, unless no node has any; then the peak."""
     largest = nodes.agg(F.max(F.abs("vol")).alias("_most"))  # one row

@@ -98,6 +98,12 @@ def sample_index(df: DataFrame, *order: str, falling: Sequence[str] = ()) -> Dat
     return before_each(df.withColumn("_one", F.lit(1)), (), order, falling, sample_idx="_one").drop("_one")
 
 
+def order_parity(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """The rows with their numbers in two orders, position_a and position_b: fits that draw rows by place agree where these
+    do. Rows that neither order tells apart must be equal."""
+    return sample_index(sample_index(df, *a).withColumnRenamed("sample_idx", "position_a"), *b).withColumnRenamed("sample_idx", "position_b")
+
+
 def overlap(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of both sides; none where a split is sound."""
     return a.select(*columns).intersect(b.select(*columns))

@@ -100,6 +100,35 @@ def p14(spark, sf):
     return X.prediction_rows(nodes, X.factor_range(spark, 1.0, 2.0, 0.5), duration=F.lit(4.0))
 
 
+@query("p15_steady_rows", "SELECT s_suppkey AS node_id, s_nationkey AS network_id, f AS inflow_multiplier, 'ml_steady_prediction' AS scenario_type, p AS spatial_pattern FROM supplier, (VALUES (1e0), (1.5e0), (2e0)) v(f), (VALUES ('all_nodes'), ('selected_nodes')) w(p) WHERE p = 'all_nodes' OR s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def p15(spark, sf):
+    """Rows for predictions at all nodes, and at those with large deliveries."""
+    nodes = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("network_id"), F.col("s_suppkey").alias("ord"))
+    asked = read_table(spark, sf, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("node_id"))
+    by = X.factor_range(spark, 1.0, 2.0, 0.5).withColumnRenamed("factor_mult", "inflow_multiplier")
+    return X.steady_prediction_rows(nodes, by).unionByName(X.steady_prediction_rows(nodes, by, asked))
+
+
+_MODE_NAMES = {"1-URGENT": " Time_Series", "2-HIGH": "HYDROGRAPH", "3-MEDIUM": "steady-flow ", "4-NOT SPECIFIED": None, "5-LOW": "baseline"}
+
+
+@query("p18_scenario_modes", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'timeseries' WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 2 = 0 THEN 'timeseries' ELSE 'steady' END AS mode FROM orders")
+def p18(spark, sf):
+    """Names as users write them; orders without one take what their network suggests."""
+    named = F.create_map(*[F.lit(x) for kv in _MODE_NAMES.items() for x in kv])
+    suggested = F.when(F.col("o_orderkey") % 2 == 0, "timeseries").otherwise("steady")
+    return read_table(spark, sf, "orders").select("o_orderkey", S.scenario_mode(F.try_element_at(named, F.col("o_orderpriority")), suggested).alias("mode"))
+
+
+@query("r27_scenario_input", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE l_tax END AS scenario FROM lineitem")
+def r27(spark, sf):
+    """Even lines come from a dataset with multipliers, odd ones from an older one."""
+    rows = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_tax").alias("delta_inflow_lps"), F.col("l_quantity").alias("inflow_multiplier"))
+    parts = [rows.filter("l_linenumber % 2 = 0"), rows.filter("l_linenumber % 2 = 1").drop("inflow_multiplier")]
+    new, old = [p.select("l_orderkey", "l_linenumber", F.col(X.scenario_input(p)).alias("scenario")) for p in parts]
+    return new.unionByName(old)
+
+
 @query("p20_static_fill", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0) AS balance, CAST(c_mktsegment = 'BUILDING' AS DOUBLE) AS segment_BUILDING, CAST(c_mktsegment = 'MACHINERY' AS DOUBLE) AS segment_MACHINERY FROM customer")
 def p20(spark, sf):
     table = read_table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).otherwise(float("nan")).alias("balance"), F.col("c_mktsegment").alias("segment"))

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from freshet.operators.review import review
+from freshet.operators.timeseries import normalised
 from freshet.plans import bindings as B
 from freshet.plans.columns import folder
+from freshet.plans.networks import shapes
 from freshet.plans.registry import query
 from freshet.session import read_table
 from freshet.sources import network_text as N
@@ -56,6 +58,13 @@ def t13(spark, sf):
     return N.inflows(N.sections(input_lines(spark, sf)))
 
 
+@query("r19_expected_nodes", f"SELECT DISTINCT {_NODE} FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 2 > 0")
+def r19(spark, sf):
+    """Nodes whose inflow refers to a series, of the networks that have such nodes."""
+    flows = N.inflows(N.sections(input_lines(spark, sf)))
+    return N.expected_nodes(flows.join(flows.filter("series IS NOT NULL").select("file").distinct(), "file", "left_semi"))
+
+
 def report_lines(spark, sf):
     """A report for each nation: a summary of flooded nodes between other tables, and two continuity errors."""
     s, k = read_table(spark, sf, "supplier"), F.col("s_suppkey")
@@ -91,6 +100,46 @@ def src3(spark, sf):
     return tables.read_scenario(spark, path, nodes.select("node_id"))
 
 
+_SHAPE_FILES = f"WITH {B.EVENTS}, shapes AS (SELECT event_type AS shape_id, CAST(t % 1440 AS INTEGER) // 60 AS time_h, CAST(sum(CAST(floor(value) AS BIGINT)) AS DOUBLE) AS q FROM ev GROUP BY 1, 2), n AS (SELECT shape_id, CAST(time_h - min(time_h) OVER w AS DOUBLE) AS time_h, q / max(q) OVER w AS q_norm FROM shapes WINDOW w AS (PARTITION BY shape_id)) "
+
+
+def shape_files(spark, sf):
+    """A file for each kind of event, of its values by the hour; the folder they lie in."""
+    found = normalised(shapes(spark, sf), "shape_id", "q")
+    firsts = found.groupBy("shape_id").agg(F.min("time_h").alias("first"))
+    rows = found.join(firsts, "shape_id").select("shape_id", (F.col("time_h") - F.col("first")).cast("double").alias("time_h"), "q_norm")
+    path = folder(spark)
+    for (shape_id,) in firsts.select("shape_id").collect():  # a handful of kinds
+        sinks.export_file(rows.filter(F.col("shape_id") == shape_id).orderBy("time_h").select("time_h", "q_norm"), f"{path}/{shape_id}.csv")
+    return path
+
+
+@query("src5_shapes", _SHAPE_FILES + "SELECT shape_id, time_h, round(q_norm, 12) AS q_norm FROM n")
+def src5(spark, sf):
+    return tables.read_shapes(spark, shape_files(spark, sf)).withColumn("q_norm", F.round("q_norm", 12))
+
+
+@query("snk15_inflow_file", _SHAPE_FILES + "SELECT CAST(s_suppkey AS VARCHAR) AS node_id, CAST(time_h AS BIGINT) || ':00' AS time, round_even(s_acctbal * 1.25e0 * q_norm, 6) AS value FROM n, supplier WHERE shape_id = 'click' AND s_acctbal > 0")
+def snk15(spark, sf):
+    """One shape at all nodes with a positive base, written as a file and read back as a scenario."""
+    shape = tables.read_shapes(spark, f"{shape_files(spark, sf)}/click.csv")
+    nodes = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_acctbal").alias("base"))
+    path = sinks.write_inflow_file(shape, nodes, 1.25, folder(spark), "click")
+    rows = tables.read_scenario(spark, path, nodes.filter("base > 0").select(F.col("node_id").cast("string").alias("node_id")))
+    return rows.withColumn("value", F.col("value").cast("double"))
+
+
+@query("snk6_reports", f"WITH {B.SAMPLES}, r AS (SELECT shape_id, count(*) AS n, round(avg(vol), 6) AS mean, round(CASE WHEN count(*) FILTER (vol > 0) > 0 THEN sum(vol) / count(*) FILTER (vol > 0) END, 6) AS wet FROM samples GROUP BY 1) SELECT form, r.* FROM r, (VALUES ('json'), ('csv')) v(form)")
+def snk6(spark, sf):
+    """Reports as JSON lines and as CSV, both read back."""
+    s, wet = B.samples(spark, sf), F.count_if(F.col("vol") > 0)
+    made = s.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("vol"), 6).alias("mean"), F.round(F.try_divide(F.sum("vol"), wet), 6).alias("wet"))
+    path = folder(spark)
+    sinks.write_reports({"shapes": made}, path)
+    got = {"json": spark.read.schema(made.schema).json(f"{path}/shapes.json"), "csv": tables.read_csv(spark, f"{path}/shapes.csv", made.schema)}
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(form).alias("form"), "*") for form, df in got.items()])
+
+
 @query("src8_prepared_set", f"WITH {B.SAMPLES} SELECT run_id * 100000 + node_id AS sample_idx, run_id, node_id, factor_mult, vol, inunda, run_id % 5 AS fold_id FROM samples")
 def src8(spark, sf):
     """A prepared set of keys, features, targets and folds, written, read back and joined again."""

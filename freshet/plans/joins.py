@@ -10,6 +10,7 @@ from freshet.operators import validation as V
 from freshet.plans import bindings as B
 from freshet.plans.registry import query
 from freshet.session import read_table
+from freshet.sources.sinks import with_surrogate_keys
 
 WITH = f"WITH {B.SAMPLES} "
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'COMPLETE' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END"
@@ -207,3 +208,17 @@ def f2(spark, sf):
 def f3(spark, sf):
     s = D.sample_index(B.samples(spark, sf).select("run_id", "node_id", "factor_mult"), "run_id", "node_id")
     return D.long_form(s, D.leave_one_out(s, "factor_mult"), "factor_mult", "LOSO")
+
+
+@query("u11_first_seen", "SELECT o_custkey, row_number() OVER (ORDER BY day, o_orderkey) - 1 AS position FROM (SELECT o_custkey, o_orderdate AS day, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
+def u11(spark, sf):
+    return R.first_seen(read_table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query("o11_order_parity", WITH + ", r AS (SELECT *, dense_rank() OVER (ORDER BY shape_id, factor_mult, run_id) AS run_no FROM samples) SELECT run_id, node_id, row_number() OVER (ORDER BY shape_id, factor_mult, run_id, node_id) - 1 AS position_a, row_number() OVER (ORDER BY run_no, node_id) - 1 AS position_b FROM r")
+def o11(spark, sf):
+    """The order in which rows are assembled beside that in which a database gives them, whose runs are numbered as they came."""
+    s = B.samples(spark, sf).select("shape_id", "factor_mult", "run_id", "node_id")
+    numbered = with_surrogate_keys(s, ["shape_id", "factor_mult", "run_id"], "run_no")
+    both = D.order_parity(s.join(numbered, ["shape_id", "factor_mult", "run_id"]), ["shape_id", "factor_mult", "run_id", "node_id"], ["run_no", "node_id"])
+    return both.select("run_id", "node_id", "position_a", "position_b")

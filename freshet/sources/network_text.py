@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.validation import raise_if_any
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, line of text files."""
@@ -60,6 +62,13 @@ def inflows(parsed: DataFrame) -> DataFrame:
     return rows.select("file", F.col("tokens")[0].alias("node_id"), series_name(F.col("tokens")[2]).alias("series"), F.coalesce(_number(4), F.lit(1.0)).alias("mfactor"), F.coalesce(_number(5), F.lit(1.0)).alias("sfactor"), F.coalesce(_number(6), F.lit(0.0)).alias("baseline"))
 
 
+def expected_nodes(flows: DataFrame) -> DataFrame:
+    """file, node_id: nodes whose inflow (a row of `inflows`) refers to a series. A file with none at all is an error."""
+    marked = flows.groupBy("file").agg(F.count("series").alias("n"))
+    raise_if_any(marked.filter("n = 0"), "no inflow refers to a series")
+    return flows.filter("series IS NOT NULL").select("file", "node_id").distinct()
+
+
 def timeseries(parsed: DataFrame) -> DataFrame:
     from freshet.functions.scalars import clock_to_hours
 

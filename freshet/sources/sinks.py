@@ -58,6 +58,15 @@ def inflow_table(shape: DataFrame, nodes: DataFrame, factor: float) -> DataFrame
     return wide.select("node_id", "time_h", hours_to_clock(F.col("time_h")).alias("time"), F.bround(F.col("base") * factor * F.col("q_norm"), 6).alias("value_lps")).orderBy("node_id", "time_h").select("node_id", "time", "value_lps")
 
 
+def write_inflow_file(shape: DataFrame, nodes: DataFrame, factor: float, folder: str, shape_id: str) -> str:
+    """The inflow table of a shape and factor as one file, `<shape_id>_f<factor>.csv`, in the order of nodes and times; its
+    path. Nodes without a positive base are left out; a file of none is an error."""
+    rows = inflow_table(shape, nodes, factor)
+    if rows.isEmpty():
+        raise ValueError(f"no node with a positive base for {shape_id}")
+    return export_file(rows, f"{folder}/{shape_id}_f{factor:.3f}.csv")
+
+
 def append_results(tables: dict[str, DataFrame], path: str, schemas: dict[str, Sequence[str]]) -> None:
     """Appends batches to tables; columns that a batch lacks are NULL."""
     for name, df in tables.items():

@@ -25,9 +25,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
 
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """All shapes of a folder (or one file): shape_id (the file's stem), time_h, q_norm. A shape must start at 0."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    shapes = read_csv(spark, path, SHAPE).select(F.url_decode(name).alias("shape_id"), "time_h", "q_norm")
+    """All shapes of a folder (or one file): shape_id (the file's stem), time_h, q_norm. A shape must have points and start
+    at 0."""
+    stem = lambda file: F.url_decode(F.regexp_extract(file, r"([^/]+)\.csv$", 1)).alias("shape_id")
+    shapes = read_csv(spark, path, SHAPE).select(stem(F.input_file_name()), "time_h", "q_norm")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(stem(F.col("path")))
+    raise_if_any(files.join(shapes.select("shape_id").distinct(), "shape_id", "left_anti"), "a shape has no points")
     firsts = shapes.groupBy("shape_id").agg(F.min("time_h").alias("first"))
     raise_if_any(firsts.filter("first IS NULL OR first <> 0"), "shapes must start at time 0")
     return shapes

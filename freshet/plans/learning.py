@@ -185,3 +185,26 @@ def f10(spark, sf):
         prep = models.Preparation.fit(rows.filter(F.col("l_returnflag") != fold), ["l_quantity", "l_tax"], scaled=True)
         out += [(fold, *row) for row in zip(prep.columns, prep.medians, prep.means, prep.deviations, strict=True)]
     return rounded(spark.createDataFrame(out, "fold string, feature string, median double, mean double, deviation double"), median=6, mean=6, deviation=6)
+
+
+_CASCADE = ["factor_mult", "t", "network_id"]
+
+
+@query(
+    "f6_cascade",
+    WITH + "SELECT 'balance' AS fact, 0.5e0 AS value FROM (SELECT 1 FROM samples LIMIT 1) UNION ALL SELECT 'log_volume', round(avg(ln(1 + vol)), 4) FROM samples WHERE inunda = 1 "
+    "UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE) FROM samples UNION ALL SELECT 'routed_wrongly', 0e0 FROM (SELECT 1 FROM samples LIMIT 1)",
+)
+def f6(spark, sf):
+    """A cascade of linear models, fitted on all samples and flooded ones, by what its fits must meet: with classes weighted
+    to balance, the weighted mean probability is a half; the mean logarithm of predicted volumes is that of flooded rows; and
+    volumes are predicted where a flood is, only there."""
+    s = B.samples(spark, sf).select("run_id", "node_id", "inunda", "vol", *_CASCADE)
+    found = models.fit_cascade(s, _CASCADE, models.FAMILIES["linear"]).predict(s, ["inunda", "vol"])
+    flooded = F.col("inunda") == 1
+    totals = found.agg(
+        F.avg(F.when(flooded, F.col("prob"))).alias("p1"), F.avg(F.when(~flooded, F.col("prob"))).alias("p0"), F.avg(F.when(flooded, F.log1p("vol_raw"))).alias("log"),
+        F.count(F.lit(1)).cast("double").alias("rows"), F.count_if((F.col("inunda_pred") == 0) & (F.col("vol_pred") != 0) | (F.col("inunda_pred") == 1) & (F.col("vol_pred") != F.col("vol_raw"))).cast("double").alias("wrong"),
+    )
+    facts = {"balance": F.round((F.col("p1") + F.col("p0")) / 2, 4), "log_volume": F.round("log", 4), "rows": F.col("rows"), "routed_wrongly": F.col("wrong")}
+    return totals.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fact"), v.alias("value")) for k, v in facts.items()])).alias("e")).select("e.*")

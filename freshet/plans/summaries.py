@@ -203,6 +203,13 @@ def p17(spark, sf):
     return read_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("raw")).distinct().withColumn("label", S.scenario_label(F.col("raw")))
 
 
+@query("s7_captions", f"WITH {B.SAMPLES} SELECT run_id, node_id, shape_id || '__f' || printf('%.2f', factor_mult) AS scenario, printf('%d:%02d', t * 50 // 60, t * 50 % 60) AS clock, CASE WHEN t > 3 THEN printf('%.2f s', t / 4e0) ELSE printf('%.4f s', t / 4e0) END AS runtime FROM samples")
+def s7(spark, sf):
+    rows = B.samples(spark, sf)
+    hours, seconds = F.col("t") * 50 / F.lit(60.0), F.col("t") / F.lit(4.0)
+    return rows.select("run_id", "node_id", S.scenario_key(F.col("shape_id"), F.col("factor_mult")).alias("scenario"), S.hours_to_clock(hours).alias("clock"), S.runtime_caption(seconds).alias("runtime"))
+
+
 @query("p19_one_hot", "SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_returnflag = 'N' AS INTEGER) AS l_returnflag_N, CAST(l_returnflag = 'R' AS INTEGER) AS l_returnflag_R FROM lineitem")
 def p19(spark, sf):
     return X.one_hot(read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag", ["R", "A", "N"])

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.ranks import before_each
-from freshet.session import small_side
+from freshet.session import settled, small_side
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
     """group, fold_id: a fold for each distinct group, in the order of groups, numbered over parts of that order."""
-    groups = df.select(group).distinct().withColumn("_one", F.lit(1))
+    groups = settled(df.select(group).distinct().withColumn("_one", F.lit(1)))  # looked at several times, so found once
     return before_each(groups, (), [group], fold_id="_one").select(group, F.col("fold_id").cast("int").alias("fold_id"))
 
 
@@ -48,7 +48,7 @@ def balanced(df: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
     L[f] + k * s, so the r-th group of the size goes where the r-th smallest (L[f] + k * s, f) is. The driver holds how many
     groups each distinct size has (sizes add up to the rows, so distinct ones are few) and the folds' weights; a group finds
     its fold from its rank among those of its size, so no task holds all groups."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = settled(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))  # looked at several times, so counted once
     classes = sorted(((r["_n"], r["c"]) for r in sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
     if sum(c for _, c in classes) < n_folds:
         raise ValueError(f"fewer than {n_folds} groups")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.scalars import missing_if_nan
 from freshet.operators.ranks import before_each
+from freshet.session import settled
 
 
 def training_view(runs: DataFrame, scenarios: DataFrame, features: DataFrame, results: DataFrame, nodes: DataFrame, done: str = "COMPLETE") -> DataFrame:
@@ -46,7 +47,8 @@ def first_seen(df: DataFrame, key: str, *order: str) -> DataFrame:
     """key, position: distinct keys in the order in which they are first met, numbered from 0 over parts of that order."""
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
     flat = firsts.select(key, *[F.col(f"_first.{c}").alias(f"_o{k}") for k, c in enumerate(order)], F.lit(1).alias("_one"))
-    return before_each(flat, (), [*[f"_o{k}" for k in range(len(order))], key], position="_one").select(key, "position")
+    # numbering looks at its rows several times, so they are found once
+    return before_each(settled(flat), (), [*[f"_o{k}" for k in range(len(order))], key], position="_one").select(key, "position")
 
 
 def latest(df: DataFrame, key: str | Sequence[str], *order: str) -> DataFrame:

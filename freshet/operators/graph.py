@@ -133,10 +133,10 @@ def topology(nodes: DataFrame, links: DataFrame) -> Topology:
     sides = (("upstream", "to_node"), ("downstream", "from_node"))
     ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(end).alias("node_id")) for side, end in sides])).alias("e")
     long = carried.select("diameter", steep.alias("steep"), "capacity", ends).select("e.side", "e.node_id", "diameter", "steep", "capacity").filter("node_id IS NOT NULL")
-    summed = []
+    summed = []  # slopes are averaged as whole millionths: halves are exact, whatever the order of the links
     for side, _ in sides:
         of = lambda c, here=F.col("side") == side: F.when(here, F.col(c))
-        measures = {"diam_max_m": F.max(of("diameter")), "diam_min_m": F.min(of("diameter")), "diam_avg_m": F.avg(of("diameter")), "slope_avg": F.avg(of("steep")), "slope_max": F.max(of("steep")), "capacity_lps": F.sum(of("capacity"))}
+        measures = {"diam_max_m": F.max(of("diameter")), "diam_min_m": F.min(of("diameter")), "diam_avg_m": F.avg(of("diameter")), "slope_avg": half_even(F.avg(half_even(of("steep") * 1_000_000).cast("long"))) / 1_000_000, "slope_max": F.max(of("steep")), "capacity_lps": F.sum(of("capacity"))}
         summed += [F.count_if(F.col("side") == side).alias(f"{side}_pipes"), *[half_even(x, 6).alias(f"{side}_{name}") for name, x in measures.items()]]
     own = nodes.select("node_id", F.col("kind").alias("node_type"), half_even(F.col("elevation"), 4).alias("invert_elev_m"), half_even(F.col("depth"), 4).alias("full_depth_m"), half_even(F.coalesce("base", F.lit(0.0)), 6).alias("base_inflow_lps"))
     both = own.join(long.groupBy("node_id").agg(*summed), "node_id", "left").fillna(0, ["upstream_pipes", "downstream_pipes"])

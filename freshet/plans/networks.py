@@ -167,7 +167,7 @@ def r14_links(spark, sf):
     + "SELECT n.node_id, node_type, elevation AS invert_elev_m, depth AS full_depth_m, round(coalesce(base, 0), 6) AS base_inflow_lps, "
     + ", ".join(f"coalesce({s}_pipes, 0) AS {s}_pipes, {s}_diam_max_m, {s}_diam_min_m, {s}_diam_avg_m, {s}_slope_avg, {s}_slope_max, {s}_capacity_lps" for s in _SIDES)
     + " FROM n "
-    + " ".join(f"LEFT JOIN (SELECT {end} AS node_id, count(*) AS {s}_pipes, round(max(diameter_m), 6) AS {s}_diam_max_m, round(min(diameter_m), 6) AS {s}_diam_min_m, round(avg(diameter_m), 6) AS {s}_diam_avg_m, round(avg(abs(slope)), 6) AS {s}_slope_avg, max(abs(slope)) AS {s}_slope_max, round(sum(capacity), 6) AS {s}_capacity_lps FROM c GROUP BY 1) {s} ON {s}.node_id = n.node_id" for s, end in _SIDES.items()),
+    + " ".join(f"LEFT JOIN (SELECT {end} AS node_id, count(*) AS {s}_pipes, round(max(diameter_m), 6) AS {s}_diam_max_m, round(min(diameter_m), 6) AS {s}_diam_min_m, round(avg(diameter_m), 6) AS {s}_diam_avg_m, round_even(avg(CAST(round(abs(slope) * 1000000) AS BIGINT)), 0) / 1000000 AS {s}_slope_avg, max(abs(slope)) AS {s}_slope_max, round(sum(capacity), 6) AS {s}_capacity_lps FROM c GROUP BY 1) {s} ON {s}.node_id = n.node_id" for s, end in _SIDES.items()),
 )
 def r14_nodes(spark, sf):
     return network(spark, sf).nodes

@@ -10,12 +10,13 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.operators.kernels import FourierFeatures
 from freshet.operators.metrics import medians as exact_medians
 from freshet.operators.perceptron import Network
+from freshet.session import new_folder, remove
 
 
 @dataclass(frozen=True)
@@ -98,6 +99,24 @@ class Cascade:
         return raw.select(*keep, "prob", "inunda_pred", F.col("_raw").alias("vol_raw"), F.when(F.col("inunda_pred") == 1, F.col("_raw")).otherwise(0.0).alias("vol_pred"))
 
 
+def without_summaries(spark: SparkSession, fitted: PipelineModel) -> PipelineModel:
+    """The pipeline with the summaries of its training left behind, by writing and reading the models that have one. A
+    classifier's summary holds the session, which can't be sent to tasks once it has observed metrics (as a review does)."""
+    stages = []
+    for stage in fitted.stages:
+        if isinstance(stage, PipelineModel):
+            stage = without_summaries(spark, stage)
+        elif getattr(stage, "hasSummary", False):
+            path = new_folder(spark, "model")
+            try:
+                stage.save(path)
+                stage = type(stage).load(path)
+            finally:
+                remove(spark, path)
+        stages.append(stage)
+    return PipelineModel(stages)
+
+
 def fit_cascade(train: DataFrame, features: Sequence[str], family: Family, label: str = "inunda", volume: str = "vol") -> Cascade:
     prep = Preparation.fit(train, features, family.scaled)
     counts = train.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
@@ -107,7 +126,7 @@ def fit_cascade(train: DataFrame, features: Sequence[str], family: Family, label
     classifier = Pipeline(stages=[vector, family.classifier()]).fit(ready)
     flooded = ready.filter("label = 1").withColumn("target", F.log1p("_v"))
     regressor = Pipeline(stages=[vector, family.regressor()]).fit(flooded) if counts["pos"] else None
-    return Cascade(prep, classifier, regressor)
+    return Cascade(prep, without_summaries(train.sparkSession, classifier), regressor)
 
 
 def out_of_fold(samples: DataFrame, folds: DataFrame, features: Sequence[str], family: Family, key: str = "sample_idx") -> DataFrame:

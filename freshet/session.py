@@ -60,6 +60,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system that its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shipped(df: DataFrame) -> DataFrame:
     """The frame itself, after this package has been sent to the executors (once a session) for Python functions."""
     context = df.sparkSession.sparkContext

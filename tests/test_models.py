@@ -1,6 +1,7 @@
 """Cascades, preparation without leaks, and out-of-fold predictions."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from freshet.operators import folds as D
@@ -43,3 +44,12 @@ def test_importances(samples):
     cascade = models.fit_cascade(samples, ["x", "factor_mult"], models.FAMILIES["random_forest"])
     got = models.importances(cascade)
     assert {n for n, _ in got} == {"x", "factor_mult"} and got[0][1] >= got[1][1]
+
+
+@pytest.mark.parametrize("family", list(models.FAMILIES))
+def test_cascades_in_a_session_that_has_observed_metrics(spark, samples, family):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    got = models.fit_cascade(samples, ["x", "factor_mult"], models.FAMILIES[family]).predict(samples, ["sample_idx"])
+    assert got.filter("prob IS NOT NULL").count() == samples.count()

@@ -118,15 +118,25 @@ def without_summaries(spark: SparkSession, fitted: PipelineModel) -> PipelineMod
 
 
 def fit_cascade(train: DataFrame, features: Sequence[str], family: Family, label: str = "inunda", volume: str = "vol") -> Cascade:
-    prep = Preparation.fit(train, features, family.scaled)
-    counts = train.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
-    weight = counts["neg"] / counts["pos"] if counts["pos"] else 1.0
-    ready = prep.apply(train).select(*features, F.col(label).cast("double").alias("label"), F.col(volume).cast("double").alias("_v"), F.when(F.col(label) == 1, weight).otherwise(1.0).alias("weight"))
-    vector = VectorAssembler(inputCols=list(features), outputCol="features")
-    classifier = Pipeline(stages=[vector, family.classifier()]).fit(ready)
-    flooded = ready.filter("label = 1").withColumn("target", F.log1p("_v"))
-    regressor = Pipeline(stages=[vector, family.regressor()]).fit(flooded) if counts["pos"] else None
-    return Cascade(prep, without_summaries(train.sparkSession, classifier), regressor)
+    """Preparation, classifier and regressor of the rows given. They are looked at a dozen times, so what is needed of them
+    is written once to the shared folder, and removed when the models are there."""
+    spark = train.sparkSession
+    path = new_folder(spark, "training")
+    try:
+        doubles = [F.col(c).cast("double").alias(c) for c in features]
+        train.select(*doubles, F.col(label).cast("double").alias("label"), F.col(volume).cast("double").alias("_v")).write.parquet(path)
+        rows = spark.read.parquet(path)
+        prep = Preparation.fit(rows, features, family.scaled)
+        counts = rows.agg(F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos")).first()
+        weight = counts["neg"] / counts["pos"] if counts["pos"] else 1.0
+        ready = prep.apply(rows).withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
+        vector = VectorAssembler(inputCols=list(features), outputCol="features")
+        fitted = lambda estimator, df: without_summaries(spark, Pipeline(stages=[vector, estimator()]).fit(df))
+        classifier = fitted(family.classifier, ready)
+        regressor = fitted(family.regressor, ready.filter("label = 1").withColumn("target", F.log1p("_v"))) if counts["pos"] else None
+    finally:
+        remove(spark, path)
+    return Cascade(prep, classifier, regressor)
 
 
 def out_of_fold(samples: DataFrame, folds: DataFrame, features: Sequence[str], family: Family, key: str = "sample_idx") -> DataFrame:

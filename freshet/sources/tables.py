@@ -47,8 +47,8 @@ def read_scenario(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame
 
 
 def read_runs(spark: SparkSession, path: str, run_ids: Sequence[str] | None = None) -> DataFrame:
-    """Node series of runs in a folder partitioned by run_id; a selection prunes partitions."""
-    series = spark.read.parquet(path)
+    """Node series of runs in a folder of `write_series`; a selection skips files and row groups of other runs."""
+    series = spark.read.schema(SERIES).parquet(path)
     return series.filter(F.col("run_id").isin(list(run_ids))) if run_ids is not None else series
 
 

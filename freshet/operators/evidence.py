@@ -44,6 +44,14 @@ def recipe_matches(candidates: DataFrame, finalised: DataFrame, artifacts: DataF
     return done.join(artifacts, list(recipe)).select("candidate_id", "model_id")
 
 
+def links_off_recipe(links: DataFrame, candidates: DataFrame, finalised: DataFrame, artifacts: DataFrame, recipe: Sequence[str]) -> DataFrame:
+    """Links that aren't among the `recipe_matches`. Each link looks up its own candidate and its own artifact, so work grows
+    with the links, not with the pairs that share a recipe."""
+    done = candidates.join(finalised.select("candidate_id").distinct(), "candidate_id", "left_semi").select("candidate_id", *recipe)
+    fitting = links.select("candidate_id", "model_id").distinct().join(done, "candidate_id").join(artifacts.select("model_id", *recipe), ["model_id", *recipe], "left_semi")
+    return unmatched_links(links, fitting.select("candidate_id", "model_id"))
+
+
 def unmatched_links(links: DataFrame, matches: DataFrame) -> DataFrame:
     """Links (candidate_id, model_id) whose recipes don't match."""
     return links.join(matches, ["candidate_id", "model_id"], "left_anti")

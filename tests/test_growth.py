@@ -23,3 +23,26 @@ def test_series_have_no_folder_a_run(spark, tmp_path):
     back = tables.read_runs(spark, f"file://{path}")
     assert back.columns == [n for n, _ in kinds] and sorted(back.collect()) == sorted(series.collect())
     assert sorted(r["step_index"] for r in tables.read_runs(spark, f"file://{path}", ["r7", "r299"]).collect()) == [7, 299, 307, 599]
+
+
+RECIPES = "candidate_id long, a string, b string"
+
+
+def recipes(spark):
+    candidates = spark.createDataFrame([(1, "x", "y"), (1, "x", "z"), (2, "x", None), (3, "x", "y"), (4, "q", "q"), (5, "x", "y")], RECIPES)
+    artifacts = spark.createDataFrame([(10, "x", "y"), (11, "x", "y"), (12, "x", "z"), (12, "x", "z"), (13, "x", None)], RECIPES.replace("candidate", "model"))
+    return candidates, candidates.filter("candidate_id <> 3"), artifacts
+
+
+def test_unmatched_links_make_no_pairs(spark):
+    candidates, done, artifacts = recipes(spark)
+    links = spark.createDataFrame([(1, 10), (1, 12), (1, 12), (1, 13), (2, 13), (3, 10), (4, 10), (5, 11), (5, 12), (5, 12), (6, 10), (None, 10), (1, None)], "candidate_id long, model_id long")
+    got = E.links_off_recipe(links, candidates, done, artifacts, ["a", "b"])
+    want = E.unmatched_links(links, E.recipe_matches(candidates, done, artifacts, ["a", "b"]))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 9
+    n = 3000  # one recipe for all: pairs would be n * n
+    many = spark.range(n).select(F.col("id").alias("candidate_id"), F.lit("x").alias("a"), F.lit("y").alias("b"))
+    all_links = many.select("candidate_id", ((F.col("candidate_id") * 7) % (2 * n)).alias("model_id"))
+    off = E.links_off_recipe(all_links, many, many, many.withColumnRenamed("candidate_id", "model_id"), ["a", "b"])
+    assert off.count() == all_links.filter(f"model_id >= {n}").count()
+    assert all("model_id" in keys for keys in re.findall(r"Join \[([^\]]*)\]", physical(off)) if "a#" in keys)

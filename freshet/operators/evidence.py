@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators.relations import latest
 from freshet.operators.validation import raise_if_any
+from freshet.session import small_side
 
 
 def definition_id(definition: Mapping, digits: int = 64) -> str:
@@ -44,6 +45,14 @@ def recipe_matches(candidates: DataFrame, finalised: DataFrame, artifacts: DataF
     return done.join(artifacts, list(recipe)).select("candidate_id", "model_id")
 
 
+def recipe_counts(candidates: DataFrame, finalised: DataFrame, artifacts: DataFrame, recipe: Sequence[str]) -> DataFrame:
+    """candidate_id, n, least and most: how many rows of `recipe_matches` a candidate has, and the least and greatest model_id
+    among them. Artifacts are summed up by recipe before the join, so no pairs are made."""
+    done = candidates.join(finalised.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    per = artifacts.groupBy(*recipe).agg(F.count(F.lit(1)).alias("n"), F.min("model_id").alias("least"), F.max("model_id").alias("most"))
+    return done.join(small_side(per), list(recipe)).groupBy("candidate_id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 def links_off_recipe(links: DataFrame, candidates: DataFrame, finalised: DataFrame, artifacts: DataFrame, recipe: Sequence[str]) -> DataFrame:
     """Links that aren't among the `recipe_matches`. Each link looks up its own candidate and its own artifact, so work grows
     with the links, not with the pairs that share a recipe."""

@@ -46,3 +46,12 @@ def test_unmatched_links_make_no_pairs(spark):
     off = E.links_off_recipe(all_links, many, many, many.withColumnRenamed("candidate_id", "model_id"), ["a", "b"])
     assert off.count() == all_links.filter(f"model_id >= {n}").count()
     assert all("model_id" in keys for keys in re.findall(r"Join \[([^\]]*)\]", physical(off)) if "a#" in keys)
+
+
+def test_recipe_counts_make_no_pairs(spark):
+    candidates, done, artifacts = recipes(spark)
+    want = E.recipe_matches(candidates, done, artifacts, ["a", "b"]).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.min("model_id").alias("least"), F.max("model_id").alias("most"))
+    got = E.recipe_counts(candidates, done, artifacts, ["a", "b"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, 4, 10, 12), (5, 2, 10, 11)]
+    many = spark.range(50_000).select(F.col("id").alias("candidate_id"), F.lit("x").alias("a"), F.lit("y").alias("b"))  # 2.5e9 pairs
+    assert E.recipe_counts(many, many, many.withColumnRenamed("candidate_id", "model_id"), ["a", "b"]).filter("n = 50000 AND least = 0 AND most = 49999").count() == 50_000

@@ -111,7 +111,8 @@ def left_out_predictions(rows: DataFrame, by: str, features: Sequence[str], targ
     kind = rows.schema[by].dataType.simpleString()
     table = rows.sparkSession.createDataFrame(fits, f"_group {kind}, _a double, _b array<double>")
     line = reduce(lambda s, k: s + F.col("_b")[k] * F.col(features[k]).cast("double"), range(len(features)), F.col("_a"))
-    return rows.join(table, F.col(by).eqNullSafe(F.col("_group"))).select(by, target, line.alias("prediction"))
+    # a row a group, which the driver made: broadcast, as a shuffle by group would put a whole group's rows in one task
+    return rows.join(F.broadcast(table), F.col(by).eqNullSafe(F.col("_group"))).select(by, target, line.alias("prediction"))
 
 
 def evaluated(samples: DataFrame, by: str, features: Sequence[str], target: str, estimators: Mapping[str, Callable[[], Estimator]], components: int | None = None) -> DataFrame:

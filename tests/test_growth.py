@@ -55,3 +55,10 @@ def test_recipe_counts_make_no_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, 4, 10, 12), (5, 2, 10, 11)]
     many = spark.range(50_000).select(F.col("id").alias("candidate_id"), F.lit("x").alias("a"), F.lit("y").alias("b"))  # 2.5e9 pairs
     assert E.recipe_counts(many, many, many.withColumnRenamed("candidate_id", "model_id"), ["a", "b"]).filter("n = 50000 AND least = 0 AND most = 49999").count() == 50_000
+
+
+def test_left_out_predictions_shuffle_no_rows(spark):
+    rows = spark.range(40).selectExpr("cast(id % 2 as string) AS g", "cast(id as double) AS x", "cast(3 * id + 1 as double) AS y")
+    got = L.left_out_predictions(rows, "g", ["x"], "y")
+    assert "SortMergeJoin" not in physical(got) and "hashpartitioning" not in physical(got)
+    assert all(abs(r["y"] - r["prediction"]) < 1e-6 for r in got.collect())

@@ -77,14 +77,14 @@ def shuffled(doc_id: Column) -> Column:
     return F.concat(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lpad(F.hex((F.rand(5) * SALTS).cast("long")), 5, "0"))
 
 
-def plan(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def plan(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_epochs: int = MAX_EPOCHS, also: tuple[str, ...] = ()) -> DataFrame:
     """A row per row of docs: doc_id, source, size, source_size, target, taken and positions (one for each time it is
-    taken, in [0, 1]). `keep` names columns of docs to carry along under `row`."""
+    taken, in [0, 1]). `keep` names columns of docs to carry along under `row`, `also` such as stay columns."""
     order = shuffled(F.col("doc_id"))
     cuts = bounds(docs.select(order.alias("h")), ["h"])
     of = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source")))  # never null, so one shuffle by it serves the window and the join
     sized = docs.select(
-        F.col("doc_id"), F.col("source"), of.alias("of"), words(F.col("text")).alias("size"), order.alias("h"), F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row"),
+        F.col("doc_id"), F.col("source"), of.alias("of"), words(F.col("text")).alias("size"), order.alias("h"), F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row"), *also,
     )
     sized = sized.withColumn("cell", part_of(sized, ["h"], cuts))
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
@@ -104,20 +104,35 @@ def plan(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] =
         .withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0))
         .withColumn("passes", F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>")))
         .withColumn("positions", F.transform("passes", lambda k: position(F.least((offset + k * F.col("source_size") + F.col("size") / 2) / F.col("target"), F.lit(1.0)), F.col("slope"))))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "positions", *(["row"] if keep else []))
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "positions", *(["row"] if keep else []), *also)
     )
 
 
+def in_order(placed: DataFrame) -> DataFrame:
+    """Rows of `plan`, once for each position, in training order over the partitions; without a position, and without what
+    they carry, rows that are never taken come first."""
+    each = placed.select("*", F.explode_outer("positions").alias("position"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    return each.withColumn("row", F.when(F.col("position").isNotNull(), F.col("row"))).repartitionByRange("position", "h").sortWithinPartitions("position", "h")
+
+
 def stream(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, in training order over the partitions."""
     placed = plan(docs, keep=tuple(docs.columns), **options)
-    ordered = placed.select("row", F.explode("positions").alias("position"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    return ordered.repartitionByRange("position", "h").sortWithinPartitions("position", "h").select("row.*")
+    return in_order(placed.filter(F.size("positions") > 0)).select("row.*")
+
+
+def digest(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row of docs, read off the ordered stream itself: taken are
+    the words of the texts that it gives of the row."""
+    marked = docs.withColumn("_row", F.monotonically_increasing_id())  # rows of one doc_id are told apart
+    emitted = in_order(plan(marked, keep=("text",), also=("_row",), **options))
+    facts = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    per = emitted.groupBy("_row").agg(*facts, F.sum(words(F.col("row.text"))).alias("taken"), F.count("position").cast("int").alias("copies"))
+    return per.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op9_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("copies"))
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
 QUERIES = {"op9_curriculum_mixing": op9_curriculum_mixing}

@@ -236,3 +236,15 @@ def test_ids_that_are_missing_or_equal_are_mixed_by_many_tasks(spark, doc_id):
     got = curriculum.plan(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
     assert {r["source"]: r["n"] for r in got} == {"a": 66_667, "b": 133_333}
     assert all(abs(r["taken"] - r["target"]) < 20 for r in got)
+
+
+def test_mix_is_read_off_the_ordered_stream(spark, data):
+    plan = curriculum.op9_curriculum_mixing(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(position" in plan and "slope" in plan  # the schedule is inverted and the stream put in its order
+    docs = spark.createDataFrame([(k % 5 if k % 3 else None, "a b c " * (k % 4), "xyz"[k % 3] if k % 7 else None) for k in range(60)], "doc_id long, text string, source string")
+    key = lambda r: str((r["doc_id"], r["n"]))
+    emitted = curriculum.stream(docs).groupBy("doc_id").agg(F.sum(curriculum.words(F.col("text"))).alias("n")).collect()
+    told = curriculum.digest(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).filter("n > 0").collect()
+    assert sorted(map(key, emitted)) == sorted(map(key, told))
+    planned = curriculum.plan(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("copies"))
+    assert sorted(map(str, curriculum.digest(docs).collect())) == sorted(map(str, planned.collect()))

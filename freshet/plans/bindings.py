@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import flood_label
-from freshet.session import read_table
+from freshet.session import dealt, read_table
 
 THRESHOLD = 1500.0
 STEP = 60  # minutes
@@ -42,8 +42,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long") * F.round(F.col("l_discount") * 100).cast("long")
-    # lines are summed before the joins: the shuffle holds a row per (run, node)
-    summed = lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum(cents).alias("e"), F.min("l_linenumber").alias("t"))
+    # lines are dealt by run once: their sums, the join with orders and whatever groups by run need no other shuffle of them
+    dealt_lines = dealt(lines.select("l_orderkey", "l_suppkey", "l_linenumber", cents.alias("cents")), "l_orderkey")
+    summed = dealt_lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum("cents").alias("e"), F.min("l_linenumber").alias("t"))
     joined = summed.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
     raw = F.col("e").cast("double") / 10000.0
     base = joined.select(F.col("l_orderkey").alias("run_id"), F.col("l_suppkey").alias("node_id"), F.col("o_orderstatus").alias("shape_id"), F.col("o_orderpriority").alias("scenario_type"), F.col("s_nationkey").alias("network_id"), (1.0 + (F.col("l_orderkey") % 5).cast("double") * 0.5).alias("factor_mult"), "t", F.when(raw >= THRESHOLD, raw).otherwise(0.0).alias("vol"), flood_label(raw, THRESHOLD).alias("inunda"))

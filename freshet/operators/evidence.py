@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.relations import latest
 from freshet.operators.validation import raise_if_any
 from freshet.session import small_side
 
@@ -119,8 +118,10 @@ def artifact_sizes(series: DataFrame, key: str, node: str, step: str) -> DataFra
 
 
 def first_run(artifacts: DataFrame, by: str, multiplier: str, key: str) -> DataFrame:
-    """The artifact with the lowest multiplier of each group (ties: the least key): what a surrogate scales from."""
-    return latest(artifacts.withColumns({"_m": -F.col(multiplier), "_k": -F.col(key)}), by, "_m", "_k").drop("_m", "_k")
+    """The artifact with the lowest multiplier of each group (ties: the least key; a value that is missing comes last): what
+    a surrogate scales from. Groups are few and large, so each task first finds its own least."""
+    rank = F.struct(*[x for c in (multiplier, key) for x in (F.col(c).isNull(), F.col(c))])
+    return artifacts.groupBy(F.col(by).alias("_by")).agg(F.min_by(F.struct(*artifacts.columns), rank).alias("_row")).select("_row.*")
 
 
 def outside_manifest(manifest: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -114,8 +114,8 @@ def scaled_inputs(filled: DataFrame, base: DataFrame, multipliers: DataFrame, ru
 
 def peak_node(series: DataFrame, by: str, node: str, value: str) -> DataFrame:
     """The node with the greatest value of each group; ties take the least node."""
-    top = series.groupBy(by, node).agg(F.max(value).alias("peak"))
-    return R.latest(top.withColumn("_n", -F.col(node)), by, "peak", "_n").drop("_n")
+    best = F.struct(F.col(value).isNotNull(), F.col(value), -F.col(node))
+    return series.groupBy(by).agg(F.max_by(F.struct(F.col(node).alias("node"), F.col(value).alias("peak")), best).alias("_top")).select(by, F.col("_top.node").alias(node), F.col("_top.peak").alias("peak"))
 
 
 def link_capacity(flows: DataFrame, link: str, flow: str, capacity: str, hours_full: str) -> DataFrame:

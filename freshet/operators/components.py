@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators.metrics import components_needed, correlation_pairs
 from freshet.operators.models import Preparation
+from freshet.session import kept
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,7 @@ class Components:
 def fit_components(df: DataFrame, columns: Sequence[str]) -> Components:
     """Medians for missing values, population deviations as scales, then the eigenvectors of the correlation matrix, which is
     all that reaches the driver. A constant column has no variance and its own component."""
+    df = kept(df.select(*columns))  # several passes look at it
     prep = Preparation.fit(df, columns, scaled=True)
     ready = prep.apply(df.select(*columns))
     pairs = {(r["a"], r["b"]): r["r"] or 0.0 for r in correlation_pairs(ready, columns).collect()}

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Collection, Sequence
+from functools import reduce
 from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.session import kept, small_side
+
 #: Parts of an order at most, and sampled rows for each bound between them.
 MOST_PARTS, SAMPLES = 1024, 16
 
@@ -65,10 +68,21 @@ def before_each(df: DataFrame, by: Sequence[str], order: Sequence[str], falling:
 def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weight: str | None = None) -> DataFrame:
     """by, q: exact percentiles, linear between ranks, of the values that aren't NULL (each as often as its weight says).
 
-    Values are counted first; ranks of the distinct ones come from `before_each`. What is wanted are the values at two ranks
-    for each percentile, so only a handful of rows is left to gather."""
-    counts = long.filter(F.col(value).isNotNull()).groupBy(by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-    placed = before_each(counts, [by], [value], totals=True, _before="_n")
+    The order of (by, value) is cut into parts, whose rows are counted. What is wanted are the values at two ranks for each
+    percentile, so only rows of the parts that hold such a rank are shuffled, counted by value and ranked within their part."""
+    rows = long.filter(F.col(value).isNotNull()).select(F.col(by), F.col(value), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    keyed = rows.withColumn("_key", F.struct(part_of(rows, [by, value], bounds(rows, [by, value])).alias("part"), F.col(by).alias("of")))
+    parts = keyed.groupBy("_key").agg(F.sum("_w").alias("_size"))
+    same = Window.partitionBy("_key.of")
+    above = same.orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_key", "_size", F.coalesce(F.sum("_size").over(above), F.lit(0)).alias("_start"), F.sum("_size").over(same).alias("total__before"))
+    exact = [F.lit(float(p)) * (F.col("total__before") - 1) for p in at]
+    held = [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_size")) for x in exact for r in (F.floor(x), F.ceil(x))]
+    wanted = parts.filter(reduce(lambda a, b: a | b, held)).select(F.col("_key").alias("_k"), "_start", "total__before")
+    wanted = small_side(kept(wanted))  # few rows unless groups are many; then both sides are shuffled
+    counts = keyed.join(wanted, F.col("_key") == F.col("_k")).groupBy("_key", by, value).agg(F.sum("_w").alias("_n"), F.first("_start").alias("_start"), F.first("total__before").alias("total__before"))
+    within = Window.partitionBy("_key").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
     asked = placed.select(by, value, "_n", "_before", "total__before", F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("_i", "_q"))
     asked = asked.withColumn("_exact", F.col("_q") * (F.col("total__before") - 1))
     inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))

@@ -3,10 +3,16 @@
 import glob
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from freshet import session
+from freshet.operators import datasets as D
 from freshet.operators import evidence as E
+from freshet.operators import ranks
 from freshet.operators import trials as L
+from freshet.plans import bindings as B
 from freshet.sources import sinks, tables
 
 
@@ -62,3 +68,57 @@ def test_left_out_predictions_shuffle_no_rows(spark):
     got = L.left_out_predictions(rows, "g", ["x"], "y")
     assert "SortMergeJoin" not in physical(got) and "hashpartitioning" not in physical(got)
     assert all(abs(r["y"] - r["prediction"]) < 1e-6 for r in got.collect())
+
+
+def test_one_file_is_found_by_many_tasks(spark, tmp_path):
+    @F.udf("int")
+    def task(_):
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId()
+
+    rows = spark.range(0, 400, 1, 4).select("id", task("id").alias("task"))
+    path = sinks.export_file(rows, f"file://{tmp_path}/one.csv")
+    got = spark.read.csv(path, header=True, inferSchema=True).collect()
+    assert len({r["task"] for r in got}) == 4 and [r["id"] for r in got] == list(range(400))
+
+
+def test_first_and_peak_are_found_before_the_shuffle(spark):
+    runs = spark.createDataFrame([("n", 2.0, 1), ("n", 1.0, 9), ("n", 1.0, 4), ("n", None, 0), ("m", None, 3), (None, 5.0, 6)], "network string, multiplier double, run long")
+    first = E.first_run(runs, "network", "multiplier", "run")
+    assert sorted(map(str, map(tuple, first.collect()))) == sorted(map(str, [("n", 1.0, 4), ("m", None, 3), (None, 5.0, 6)]))
+    series = spark.createDataFrame([(1, 7, 2.0), (1, 5, 2.0), (1, 4, 1.0), (2, 3, None), (2, 2, None), (3, 1, None), (3, 8, 0.5)], "run long, node long, v double")
+    peak = D.peak_node(series, "run", "node", "v")
+    assert sorted(map(tuple, peak.collect())) == [(1, 5, 2.0), (2, 2, None), (3, 8, 0.5)]
+    assert "Window" not in physical(first) + physical(peak)
+
+
+def test_samples_shuffle_lines_once(spark, data):
+    assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", physical(B.samples(spark, data).groupBy("run_id").count()))) == 1
+
+
+def test_numbers_of_some_tables(spark):
+    flat = spark.createDataFrame([("h2", "a", "s", 1.0, 1), ("h1", "b", "s", 1.0, 2), ("h1", "a", "s", 2.0, 3)], "network_sha256 string, node_id string, shape_id string, factor_mult double, run_key long").withColumns({"x": F.lit(1), "y": F.lit(2)})
+    some, whole = sinks.numbered(flat, ["nodes", "networks"], {}), sinks.backfill(flat, ["x"], ["y"])
+    assert set(some) == {"nodes", "networks"}
+    assert all(sorted(map(tuple, some[t].collect())) == sorted(map(tuple, whole[t].collect())) for t in some)
+
+
+def test_percentiles_shuffle_only_parts_that_hold_them(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2).cast("string").alias("k"), F.when(F.col("id") % 11 > 0, F.expr("cast((id * 7919) % 20011 as double)")).alias("v"), (F.col("id") % 3).alias("w"))
+    rows = rows.unionByName(spark.sql("SELECT null AS k, 5.0D AS v, 1L AS w UNION ALL SELECT null, 6.0D, 1L"))
+    at = (0.0, 0.25, 0.5, 0.99, 1.0)
+    plain, weighted = ranks.percentiles(rows, "k", "v", at), ranks.percentiles(rows, "k", "v", at, weight="w")
+    assert "BroadcastHashJoin [_key" in physical(plain)
+    found = rows.filter("v IS NOT NULL").collect()
+    for got, times in ((plain, lambda r: 1), (weighted, lambda r: r["w"])):
+        for r in got.collect():
+            values = [x["v"] for x in found if x["k"] == r["k"] for _ in range(times(x))]
+            assert r["q"] == pytest.approx([float(np.percentile(values, 100 * p)) for p in at])
+    assert plain.count() == 3
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    assert session.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 10
+    assert session.dealt(spark.range(100), "id").rdd.getNumPartitions() == 4

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.ranks import before_each
-from freshet.session import settled, small_side
+from freshet.session import kept, settled, small_side
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
@@ -101,7 +101,8 @@ def sample_index(df: DataFrame, *order: str, falling: Sequence[str] = ()) -> Dat
 def order_parity(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
     """The rows with their numbers in two orders, position_a and position_b: fits that draw rows by place agree where these
     do. Rows that neither order tells apart must be equal."""
-    return sample_index(sample_index(df, *a).withColumnRenamed("sample_idx", "position_a"), *b).withColumnRenamed("sample_idx", "position_b")
+    first = kept(sample_index(kept(df), *a).withColumnRenamed("sample_idx", "position_a"))  # numbering looks at rows several times
+    return sample_index(first, *b).withColumnRenamed("sample_idx", "position_b")
 
 
 def overlap(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:

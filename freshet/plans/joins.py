@@ -9,7 +9,7 @@ from freshet.operators import relations as R
 from freshet.operators import validation as V
 from freshet.plans import bindings as B
 from freshet.plans.registry import query
-from freshet.session import read_table
+from freshet.session import kept, read_table
 from freshet.sources.sinks import with_surrogate_keys
 
 WITH = f"WITH {B.SAMPLES} "
@@ -218,7 +218,7 @@ def u11(spark, sf):
 @query("o11_order_parity", WITH + ", r AS (SELECT *, dense_rank() OVER (ORDER BY shape_id, factor_mult, run_id) AS run_no FROM samples) SELECT run_id, node_id, row_number() OVER (ORDER BY shape_id, factor_mult, run_id, node_id) - 1 AS position_a, row_number() OVER (ORDER BY run_no, node_id) - 1 AS position_b FROM r")
 def o11(spark, sf):
     """The order in which rows are assembled beside that in which a database gives them, whose runs are numbered as they came."""
-    s = B.samples(spark, sf).select("shape_id", "factor_mult", "run_id", "node_id")
+    s = kept(B.samples(spark, sf).select("shape_id", "factor_mult", "run_id", "node_id"))
     numbered = with_surrogate_keys(s, ["shape_id", "factor_mult", "run_id"], "run_no")
     both = D.order_parity(s.join(numbered, ["shape_id", "factor_mult", "run_id"]), ["shape_id", "factor_mult", "run_id", "node_id"], ["run_no", "node_id"])
     return both.select("run_id", "node_id", "position_a", "position_b")

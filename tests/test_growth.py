@@ -122,3 +122,12 @@ def test_parts_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "PART_ROWS", 100)
     assert session.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 10
     assert session.dealt(spark.range(100), "id").rdd.getNumPartitions() == 4
+
+
+def test_mismatches_are_dealt_by_the_size_of_the_table(spark, data, monkeypatch):
+    from freshet.plans import registry
+
+    registry.load()
+    monkeypatch.setattr(session, "PART_ROWS", 500)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    assert f", {-(-lines // 500)}), REPARTITION_BY_NUM" in physical(registry.QUERIES["j3_key_mismatch"](spark, data))

@@ -61,6 +61,19 @@ def test_query(spark, data, documents):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("n_bytes", [399, 400])
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, tmp_path, n_bytes):
+    rng = random.Random(5)
+    passage = " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(70))[: n_bytes - 1] + "x"
+    assert len(passage) == n_bytes and len(passage.split()) > 50
+    rows = [(1, "A" + passage + "B"), (2, "C" + passage + "D"), (3, "E" + passage.replace(" ", "\n", 1) + "F"), (4, "G" + passage[::-1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    gone = n_bytes if n_bytes >= 400 else 0
+    assert [got[k]["n_removed"] for k in (1, 2, 3, 4)] == [gone, gone, 0, 0]
+    assert [got[k]["n_bytes"] for k in (1, 2, 3, 4)] == [len(text) for _, text in rows]
+
+
 def test_halves_of_a_key_hash_the_text_from_seeds_of_their_own(spark):
     got = suffix_dedup.keyed_texts(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
     assert got.filter("t0 = xxhash64(1, text) AND t1 = xxhash64(2, text)").count() == 1

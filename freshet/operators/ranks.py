@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Collection, Sequence
 from functools import reduce
-from itertools import takewhile
+from itertools import accumulate, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.session import kept, small_side
+from freshet.session import PART_ROWS, kept, small_side
 
 #: Parts of an order at most, and sampled rows for each bound between them.
 MOST_PARTS, SAMPLES = 1024, 16
@@ -65,6 +65,21 @@ def before_each(df: DataFrame, by: Sequence[str], order: Sequence[str], falling:
     return both.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums], *[f"total_{n}" for n in sums if totals])
 
 
+def numbered(rows: DataFrame, order: Sequence[str], key: str, start: int = 0) -> DataFrame:
+    """Adds start + 1, start + 2 and so on in the order of columns in which all rows (a scan, which is counted) differ.
+
+    Rows are shuffled once, by ranges of the order, and written sorted with their place in their range; how many rows the
+    ranges before hold, which the driver adds up, gives the number. No row looks for its range by itself."""
+    n = rows.count()
+    least = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 10_000)  # few rows need few ranges
+    ranges = rows.repartitionByRange(max(1, least, -(-n // PART_ROWS)), *order).sortWithinPartitions(*order)
+    placed = kept(ranges.withColumn("_place", F.monotonically_increasing_id()))  # a range's index times 2^33, and places in it
+    of = F.shiftright("_place", 33)
+    sizes = dict(placed.groupBy(of.alias("of")).count().collect())
+    above = F.array(*[F.lit(start + 1 + k).cast("long") for k in accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0)])
+    return placed.select(*rows.columns, (F.get(above, of.cast("int")) + F.col("_place").bitwiseAND((1 << 33) - 1)).alias(key))
+
+
 def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weight: str | None = None) -> DataFrame:
     """by, q: exact percentiles, linear between ranks, of the values that aren't NULL (each as often as its weight says).
 

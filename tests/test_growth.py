@@ -104,6 +104,74 @@ def test_numbers_of_some_tables(spark):
     assert all(sorted(map(tuple, some[t].collect())) == sorted(map(tuple, whole[t].collect())) for t in some)
 
 
+def test_numbers_follow_the_order_over_many_ranges(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("nullif(cast(id * 7919 % 3001 % 40 as string), '7') AS g", "if(id % 50 = 1, double('NaN'), double(id)) AS x", "id").withColumn("x", F.when(F.col("id") % 60 > 1, F.col("x")))
+    want = {(r["g"], str(r["x"]), r["id"]): k for k, r in enumerate(rows.orderBy("g", "x", "id").collect(), 8)}
+    for part_rows in (100, 500_000):
+        monkeypatch.setattr(ranks, "PART_ROWS", part_rows)
+        got = ranks.numbered(session.kept(rows), ["g", "x", "id"], "n", 7)
+        assert got.columns == ["g", "x", "id", "n"] and dict(got.dtypes)["n"] == "bigint"
+        assert {(r["g"], str(r["x"]), r["id"]): r["n"] for r in got.collect()} == want
+        assert not re.search("lambda|Window|Exchange", physical(got))
+    assert ranks.numbered(session.kept(rows.filter("id < 0")), ["g", "x", "id"], "n").isEmpty()
+
+
+FLAT = "network_sha256 string, shape_id string, factor_mult double, run_key string, node_id string, x int, y int"
+
+
+def keyed(tables, first="node_features", value="x"):
+    """Values beside the natural keys that their numbers stand for."""
+    rows = tables[first].join(tables["nodes"], "node_pk").join(tables["runs"].withColumnRenamed("network_sha256", "net"), "run_id")
+    assert rows.filter("NOT net <=> network_sha256").isEmpty()
+    return sorted(str(tuple(r)) for r in rows.select("network_sha256", "shape_id", "factor_mult", "run_key", "node_id", value).collect())
+
+
+def test_backfill_keeps_rows_without_a_key(spark):
+    lines = [("h1", "s", 1.0, "r", "a", 1, 2), ("h1", None, 1.0, "r", "a", 3, 4), (None, None, None, None, None, 5, 6), (None, None, None, "r", None, 7, 8), ("h0", "s", 1.0, "r", "a", 9, 10)]
+    flat = spark.createDataFrame(lines, FLAT)
+    one = {n: session.kept(df) for n, df in sinks.backfill(flat, ["x"], ["y"]).items()}
+    assert {n: df.count() for n, df in one.items()} == {"networks": 3, "nodes": 3, "scenarios": 4, "runs": 5, "node_features": 5, "node_results": 5}
+    assert keyed(one) == sorted(str(r[:6]) for r in lines) and keyed(one, "node_results", "y") == sorted(str((*r[:5], r[6])) for r in lines)
+    assert all(df.isEmpty() for df in sinks.backfill(flat, ["x"], ["y"], one).values())
+
+
+def test_backfill_numbers_new_runs_behind_known_ones(spark):
+    old = [("h1", s, f, k, n, 1, 2) for s in ("m", "q") for f in (1.0, 2.0) for k in ("r1", "r3") for n in "ab"]
+    new = [("h0", "m", 1.0, "r9", "a", 3, 4), ("h1", "q", 2.0, "r2", "a", 3, 4), ("h1", "b", 2.0, "r5", "c", 3, 4), ("h1", "m", 1.0, "r2", "b", 3, 4), ("h1", "q", 2.0, "r3", "c", 3, 4)]
+    one = {n: session.kept(df) for n, df in sinks.backfill(spark.createDataFrame(old, FLAT), ["x"], ["y"]).items()}
+    more = sinks.backfill(spark.createDataFrame(old[:9] + new, FLAT), ["x"], ["y"], one)
+    natural = lambda df, key: [tuple(r) for r in df.orderBy(key).drop("scenario_id" if key == "run_id" else "", "status").collect()]
+    assert natural(more["networks"], "network_id") == [("h0", 2)] and natural(more["scenarios"], "scenario_id") == [("h0", "m", 1.0, 5), ("h1", "b", 2.0, 6)]
+    assert natural(more["runs"], "run_id") == [("h0", "m", 1.0, "r9", 9), ("h1", "b", 2.0, "r5", 10), ("h1", "m", 1.0, "r2", 11), ("h1", "q", 2.0, "r2", 12)]
+    assert natural(more["nodes"], "node_pk") == [("h0", "a", 3), ("h1", "c", 4)]
+    assert all(a.columns == b.columns for a, b in zip(one.values(), more.values(), strict=True))
+    whole = {n: df.unionByName(more[n]) for n, df in one.items()}
+    assert keyed(whole) == sorted(str(r[:6]) for r in old + new) and whole["runs"].join(whole["scenarios"], ["network_sha256", "shape_id", "factor_mult", "scenario_id"]).count() == 12
+
+
+def test_lookups_are_the_same_by_either_join(spark):
+    left = spark.createDataFrame([("a", 1, "p"), (None, 1, "q"), (None, None, "r"), ("b", 2, "s"), ("b", None, "t")], "k string, j long, v string")
+    table = spark.createDataFrame([("a", 1, 10), (None, 1, 20), (None, None, 30), ("c", 2, 40)], "k string, j long, n long")
+    want = {"inner": [("p", 10), ("q", 20), ("r", 30)], "left": [("p", 10), ("q", 20), ("r", 30), ("s", None), ("t", None)], "left_anti": [("s",), ("t",)]}
+    for how, rows in want.items():
+        for most, join in ((4, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+            got = sinks.looked_up(left, table, ["k", "j"], "n", how=how, most=most).drop("k", "j")
+            assert join in physical(got) and sorted(map(tuple, got.collect())) == rows
+
+
+def test_backfill_shuffles_numbers_only(spark, data, monkeypatch):
+    from freshet.plans import files, registry
+
+    registry.load()
+    written = []
+    for module in (files, sinks, ranks):
+        monkeypatch.setattr(module, "kept", lambda df: written.append(df) or session.kept(df))
+    assert {r["table"]: r["added_again"] for r in registry.QUERIES["snk13_backfill"](spark, data).collect()} == dict.fromkeys([*sinks.DIMENSIONS, "node_features", "node_results"], 0)
+    assert sum({"network_sha256", "vol"} <= set(df.columns) for df in written) == 1
+    rows = [df for df in written if "vol" in df.columns and "run_id" in df.columns]
+    assert rows and not any(re.search(r"(hashpartitioning|SortMergeJoin)[^\n]*(sha256|shape_id)", physical(df)) for df in rows)
+
+
 def test_percentiles_shuffle_only_parts_that_hold_them(spark):
     rows = spark.range(20_000).select((F.col("id") % 2).cast("string").alias("k"), F.when(F.col("id") % 11 > 0, F.expr("cast((id * 7919) % 20011 as double)")).alias("v"), (F.col("id") % 3).alias("w"))
     rows = rows.unionByName(spark.sql("SELECT null AS k, 5.0D AS v, 1L AS w UNION ALL SELECT null, 6.0D, 1L"))

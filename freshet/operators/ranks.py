k20_variances: exact percentiles cut the order near the wanted ranks only

Symptom: the order of all values was cut into as many parts as shuffles have partitions, so each row's search for its part gets longer as data grow, every map task writes a count for each part, and the part that holds a median is shuffled whole however little is wanted of it.
Evidence: k20_variances shuffles 18.0 MB in the profiler's quick run on sf0.1, and 161.1 MB in an own run on 12 copies (16 partitions), of which 38 MB are values near medians (2,091,173 rows counted by value).
Fix: bounds takes the wanted shares and cuts only near them, by one sample of fixed size (five cuts a group and share, equal parts as before where groups are many or rows have weights); parts of over 500,000 rows are ranked over parts of their own, so no task sorts more than before.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1804 -> 765 s, shuffle 0.68 -> 0.66 GB, spill 0.00 -> 0.00 GB, read 3.24 -> 3.24 GB, longest task 52 -> 10 s, most memory of a task 159 -> 159 MB; at 6 GB of input CPU 9769 -> 2888 s, shuffle 4.34 -> 4.29 GB, spill 0.00 -> 0.00 GB, read 19.39 -> 19.42 GB, longest task 165 -> 34 s, most memory of a task 369 -> 369 MB; with hot keys, at 1 GB of input CPU 1973 -> 851 s, shuffle 0.65 -> 0.64 GB, spill 0.00 -> 0.00 GB, read 3.00 -> 3.01 GB, longest task 72 -> 11 s, most memory of a task 163 -> 163 MB.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Collection, Sequence
 from functools import reduce
-from itertools import accumulate, takewhile
+from itertools import accumulate, groupby, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,20 +14,42 @@ from freshet.session import PART_ROWS, kept, small_side
 
 #: Parts of an order at most, and sampled rows for each bound between them.
 MOST_PARTS, SAMPLES = 1024, 16
+#: Cuts near wanted shares at most.
+MOST_CUTS = 64
 
 
-def bounds(df: DataFrame, order: Sequence[str], parts: int | None = None) -> list[tuple]:
+def around(picked: Sequence[tuple], shares: Sequence[float]) -> list[int]:
+    """Places in a sorted sample: for each group (rows of one first value) where its shares are reached, and one and four times
+    the error of a sampled rank to both sides."""
+    places, first = set(), 0
+    for _, same in groupby(picked, lambda row: row[0]):
+        size = len(list(same))
+        error = math.ceil(math.sqrt(size) / 2)
+        found = (first + round(share * (size - 1)) + error * k for share in shares for k in (-4, -1, 0, 1, 4))
+        places |= {k for k in found if first <= k < first + size}
+        first += size
+    return sorted(places)
+
+
+def bounds(df: DataFrame, order: Sequence[str], parts: int | None = None, shares: Sequence[float] = ()) -> list[tuple]:
     """Ascending values of the order's columns that cut the rows into parts (as many as shuffles have partitions, unless
-    told) of about equal size, from a sample of about SAMPLES * parts rows."""
+    told) of about equal size, from a sample of about SAMPLES * parts rows.
+
+    With `shares`, cuts lie only near these shares of each group (rows of one first value), by a sample of about SAMPLES *
+    MOST_PARTS rows: a few cuts a group, however many rows and partitions there are. If that takes more than MOST_CUTS, as
+    groups are many, parts are of equal size all the same."""
     n = min(MOST_PARTS, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if n < 2:
+    if n < 2 and not shares:
         return []
     keys = df.select(*order)
-    share = SAMPLES * n / max(1, keys.count())
+    share = SAMPLES * (MOST_PARTS if shares else n) / max(1, keys.count())
     picked = [tuple(r) for r in (keys.sample(share, seed=11) if share < 1 else keys).collect()]
     rising = lambda row: [(v is not None, isinstance(v, float) and math.isnan(v), 0 if v is None or v != v else v) for v in row]
     picked.sort(key=rising)
-    cuts = [picked[len(picked) * k // n] for k in range(1, n)] if picked else []
+    places = around(picked, shares)
+    if not shares or len(places) > MOST_CUTS:
+        places = [len(picked) * k // n for k in range(1, n)] if picked else []
+    cuts = [picked[k] for k in places]
     return [c for k, c in enumerate(cuts) if k == 0 or rising(c) != rising(cuts[k - 1])]
 
 
@@ -83,21 +105,29 @@ def numbered(rows: DataFrame, order: Sequence[str], key: str, start: int = 0) ->
 def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weight: str | None = None) -> DataFrame:
     """by, q: exact percentiles, linear between ranks, of the values that aren't NULL (each as often as its weight says).
 
-    The order of (by, value) is cut into parts, whose rows are counted. What is wanted are the values at two ranks for each
-    percentile, so only rows of the parts that hold such a rank are shuffled, counted by value and ranked within their part."""
+    The order of (by, value) is cut into parts near the wanted ranks (which a sample tells about, unless rows have weights),
+    whose rows are counted. What is wanted are the values at two ranks for each percentile, so only rows of the parts that
+    hold such a rank are shuffled, counted by value and ranked within their part. If such a part has more than PART_ROWS rows,
+    its values are ranked over parts of their own."""
     rows = long.filter(F.col(value).isNotNull()).select(F.col(by), F.col(value), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
-    keyed = rows.withColumn("_key", F.struct(part_of(rows, [by, value], bounds(rows, [by, value])).alias("part"), F.col(by).alias("of")))
+    cuts = bounds(rows, [by, value], shares=() if weight else at)
+    keyed = rows.withColumn("_key", F.struct(part_of(rows, [by, value], cuts).alias("part"), F.col(by).alias("of")))
     parts = keyed.groupBy("_key").agg(F.sum("_w").alias("_size"))
     same = Window.partitionBy("_key.of")
     above = same.orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_key", "_size", F.coalesce(F.sum("_size").over(above), F.lit(0)).alias("_start"), F.sum("_size").over(same).alias("total__before"))
     exact = [F.lit(float(p)) * (F.col("total__before") - 1) for p in at]
     held = [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_size")) for x in exact for r in (F.floor(x), F.ceil(x))]
-    wanted = parts.filter(reduce(lambda a, b: a | b, held)).select(F.col("_key").alias("_k"), "_start", "total__before")
-    wanted = small_side(kept(wanted))  # few rows unless groups are many; then both sides are shuffled
-    counts = keyed.join(wanted, F.col("_key") == F.col("_k")).groupBy("_key", by, value).agg(F.sum("_w").alias("_n"), F.first("_start").alias("_start"), F.first("total__before").alias("total__before"))
-    within = Window.partitionBy("_key").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    wanted = kept(parts.filter(reduce(lambda a, b: a | b, held)).select(F.col("_key").alias("_k"), "_size", "_start", "total__before"))
+    most = wanted.agg(F.max("_size")).first()[0] or 0
+    wanted = small_side(wanted.drop("_size"))  # few rows unless groups are many; then both sides are shuffled
+    counts = keyed.join(wanted, F.col("_key") == F.col("_k")).groupBy(F.col("_key.part").alias("_part"), by, value).agg(F.sum("_w").alias("_n"), F.first("_start").alias("_start"), F.first("total__before").alias("total__before"))
+    if most > PART_ROWS:
+        ranked = before_each(kept(counts), ["_part", by], [value], _below="_n")
+    else:
+        within = Window.partitionBy("_part", by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counts.withColumn("_below", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    placed = ranked.withColumn("_before", F.col("_start") + F.col("_below"))
     asked = placed.select(by, value, "_n", "_before", "total__before", F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("_i", "_q"))
     asked = asked.withColumn("_exact", F.col("_q") * (F.col("total__before") - 1))
     inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))

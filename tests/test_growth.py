@@ -199,3 +199,47 @@ def test_mismatches_are_dealt_by_the_size_of_the_table(spark, data, monkeypatch)
     monkeypatch.setattr(session, "PART_ROWS", 500)
     lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
     assert f", {-(-lines // 500)}), REPARTITION_BY_NUM" in physical(registry.QUERIES["j3_key_mismatch"](spark, data))
+
+
+ODD_AT = (0.0, 0.3, 0.5, 1.0)
+
+
+def odd_values(spark):
+    """Groups with a value that a third of the rows share, NaN and NULL, a NULL group, rows that come twice, one row, no value."""
+    value = F.when(F.col("id") % 7 == 0, float("nan")).when(F.col("id") % 7 == 1, None).when(F.col("id") % 3 == 0, 0.0).otherwise(F.expr("cast((id * 7919) % 20011 - 9000 as double)"))
+    rows = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, (F.col("id") % 2).cast("string")).alias("k"), value.alias("v"))
+    return rows.unionAll(rows).unionAll(spark.sql("SELECT 'one', -0.0D UNION ALL SELECT 'none', NULL"))
+
+
+def linear_between_ranks(values, at):
+    values = sorted(values, key=lambda v: (v != v, v))  # NaN is the greatest
+    exact = [p * (len(values) - 1) for p in at]
+    return [values[int(x)] + (values[-int(-x // 1)] - values[int(x)]) * (x % 1) for x in exact]
+
+
+@pytest.mark.parametrize("part_rows", [session.PART_ROWS, 100])
+@pytest.mark.parametrize("partitions", ["4", "200"])
+def test_percentiles_cut_near_their_ranks(spark, monkeypatch, partitions, part_rows):
+    rows, seen = odd_values(spark), []
+    monkeypatch.setattr(ranks, "PART_ROWS", part_rows)
+    monkeypatch.setattr(ranks, "bounds", lambda *a, f=ranks.bounds, **b: seen.append(f(*a, **b)) or seen[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["k"]: r["q"] for r in ranks.percentiles(rows, "k", "v", ODD_AT).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = rows.filter("v IS NOT NULL").collect()
+    assert set(got) == {None, "0", "1", "one"}
+    for k, q in got.items():
+        assert q == pytest.approx(linear_between_ranks([r["v"] for r in found if r["k"] == k], ODD_AT), nan_ok=True)
+    assert 4 < len(seen[0]) <= 5 * len(ODD_AT) * 4  # a few a group and rank, whatever the number of partitions
+
+
+def test_few_cuts_unless_groups_are_many(spark):
+    rows = spark.range(20_000).select((F.col("id") % 500).cast("string").alias("k"), F.col("id").cast("double").alias("v"))
+    assert len(ranks.bounds(rows, ["k", "v"], 8, shares=(0.5,))) == 7
+    one = rows.withColumn("k", F.lit("all"))
+    cuts = [v for _, v in ranks.bounds(one, ["k", "v"], 8, shares=(0.5,))]
+    assert len(cuts) == 5 and cuts == sorted(cuts) and 9_000 < cuts[1] < 10_000 < cuts[3] < 11_000
+    assert ranks.bounds(one.limit(0), ["k", "v"], 8, shares=(0.5,)) == []

@@ -14,7 +14,7 @@ from freshet.session import PART_ROWS, kept, small_side
 
 #: Parts of an order at most, and sampled rows for each bound between them.
 MOST_PARTS, SAMPLES = 1024, 16
-#: Cuts near wanted shares at most.
+#: Cuts near wanted shares, and cuts that a search is written out for, at most.
 MOST_CUTS = 64
 
 
@@ -53,13 +53,26 @@ def bounds(df: DataFrame, order: Sequence[str], parts: int | None = None, shares
     return [c for k, c in enumerate(cuts) if k == 0 or rising(c) != rising(cuts[k - 1])]
 
 
-def part_of(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """How many of the cuts aren't behind the row: a pure function of the order's columns, by binary search."""
+def part_of(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple], written_out: bool = False) -> Column:
+    """How many of the cuts aren't behind the row: a pure function of the order's columns, by binary search.
+
+    With `written_out` the search is nested conditions, which Spark compiles; a function over an array of cuts, which it
+    doesn't compile, takes many times as long. For few cuts (up to MOST_CUTS), as code grows with them."""
     if not cuts:
         return F.lit(0)
     kinds = {f.name: f.dataType for f in df.select(*order).schema.fields}
-    table = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut, strict=True)]) for cut in cuts])
+    values = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut, strict=True)]) for cut in cuts]
     key = F.struct(*order)
+    if written_out:
+
+        def search(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(values[middle] <= key, search(middle + 1, high)).otherwise(search(low, middle))
+
+        return search(0, len(cuts))
+    table = F.array(*values)
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= key, at + s).otherwise(at))
 
@@ -111,7 +124,7 @@ def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weigh
     its values are ranked over parts of their own."""
     rows = long.filter(F.col(value).isNotNull()).select(F.col(by), F.col(value), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
     cuts = bounds(rows, [by, value], shares=() if weight else at)
-    keyed = rows.withColumn("_key", F.struct(part_of(rows, [by, value], cuts).alias("part"), F.col(by).alias("of")))
+    keyed = rows.withColumn("_key", F.struct(part_of(rows, [by, value], cuts, written_out=len(cuts) <= MOST_CUTS).alias("part"), F.col(by).alias("of")))
     parts = keyed.groupBy("_key").agg(F.sum("_w").alias("_size"))
     same = Window.partitionBy("_key.of")
     above = same.orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,9 +132,10 @@ def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weigh
     exact = [F.lit(float(p)) * (F.col("total__before") - 1) for p in at]
     held = [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_size")) for x in exact for r in (F.floor(x), F.ceil(x))]
     wanted = kept(parts.filter(reduce(lambda a, b: a | b, held)).select(F.col("_key").alias("_k"), "_size", "_start", "total__before"))
+    same_key = F.col("_key") == F.struct(F.coalesce("_k.part", F.lit(0)).alias("part"), F.col("_k.of").alias("of"))  # parts aren't NULL, which a table that was written doesn't tell
     most = wanted.agg(F.max("_size")).first()[0] or 0
     wanted = small_side(wanted.drop("_size"))  # few rows unless groups are many; then both sides are shuffled
-    counts = keyed.join(wanted, F.col("_key") == F.col("_k")).groupBy(F.col("_key.part").alias("_part"), by, value).agg(F.sum("_w").alias("_n"), F.first("_start").alias("_start"), F.first("total__before").alias("total__before"))
+    counts = keyed.join(wanted, same_key).groupBy(F.col("_key.part").alias("_part"), by, value).agg(F.sum("_w").alias("_n"), F.first("_start").alias("_start"), F.first("total__before").alias("total__before"))
     if most > PART_ROWS:
         ranked = before_each(kept(counts), ["_part", by], [value], _below="_n")
     else:

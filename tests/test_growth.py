@@ -243,3 +243,22 @@ def test_few_cuts_unless_groups_are_many(spark):
     cuts = [v for _, v in ranks.bounds(one, ["k", "v"], 8, shares=(0.5,))]
     assert len(cuts) == 5 and cuts == sorted(cuts) and 9_000 < cuts[1] < 10_000 < cuts[3] < 11_000
     assert ranks.bounds(one.limit(0), ["k", "v"], 8, shares=(0.5,)) == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 12, 64])
+def test_a_search_written_out_finds_the_same_parts(spark, n):
+    rows = odd_values(spark).unionByName(spark.sql("SELECT null AS k, cast(null AS double) AS v UNION ALL SELECT '1', 0.0D UNION ALL SELECT '1', double('-inf')"))
+    cuts = ranks.bounds(rows, ["k", "v"], n + 1)
+    cuts = [(None, None), *cuts, ("1", float("nan"))] if n == 12 else cuts
+    parts = lambda w: ranks.part_of(rows, ["k", "v"], cuts, written_out=w)
+    got = rows.select(parts(True).alias("a"), parts(False).alias("b"))
+    assert got.filter("a IS DISTINCT FROM b").isEmpty() and got.select("a").distinct().count() > len(cuts) // 2
+
+
+def test_percentiles_search_no_array_for_few_cuts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert "lambdafunction" not in physical(ranks.percentiles(odd_values(spark), "k", "v", [0.5]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -124,7 +124,8 @@ def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weigh
     its values are ranked over parts of their own."""
     rows = long.filter(F.col(value).isNotNull()).select(F.col(by), F.col(value), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
     cuts = bounds(rows, [by, value], shares=() if weight else at)
-    keyed = rows.withColumn("_key", F.struct(part_of(rows, [by, value], cuts, written_out=len(cuts) <= MOST_CUTS).alias("part"), F.col(by).alias("of")))
+    few = len(cuts) <= MOST_CUTS
+    keyed = rows.withColumn("_key", F.struct(part_of(rows, [by, value], cuts, written_out=few).alias("part"), F.col(by).alias("of")))
     parts = keyed.groupBy("_key").agg(F.sum("_w").alias("_size"))
     same = Window.partitionBy("_key.of")
     above = same.orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,9 +134,10 @@ def percentiles(long: DataFrame, by: str, value: str, at: Sequence[float], weigh
     held = [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_size")) for x in exact for r in (F.floor(x), F.ceil(x))]
     wanted = kept(parts.filter(reduce(lambda a, b: a | b, held)).select(F.col("_key").alias("_k"), "_size", "_start", "total__before"))
     same_key = F.col("_key") == F.struct(F.coalesce("_k.part", F.lit(0)).alias("part"), F.col("_k.of").alias("of"))  # parts aren't NULL, which a table that was written doesn't tell
-    most = wanted.agg(F.max("_size")).first()[0] or 0
+    most, numbers = wanted.agg(F.coalesce(F.max("_size"), F.lit(0)), F.collect_set("_k.part")).first()
     wanted = small_side(wanted.drop("_size"))  # few rows unless groups are many; then both sides are shuffled
-    counts = keyed.join(wanted, same_key).groupBy(F.col("_key.part").alias("_part"), by, value).agg(F.sum("_w").alias("_n"), F.first("_start").alias("_start"), F.first("total__before").alias("total__before"))
+    near = keyed.filter(F.col("_key.part").isin(numbers)) if few else keyed  # most rows needn't be looked up
+    counts = near.join(wanted, same_key).groupBy(F.col("_key.part").alias("_part"), by, value).agg(F.sum("_w").alias("_n"), F.first("_start").alias("_start"), F.first("total__before").alias("total__before"))
     if most > PART_ROWS:
         ranked = before_each(kept(counts), ["_part", by], [value], _below="_n")
     else:

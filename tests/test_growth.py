@@ -12,6 +12,7 @@ from freshet.operators import datasets as D
 from freshet.operators import evidence as E
 from freshet.operators import ranks
 from freshet.operators import trials as L
+from freshet.operators import validation as V
 from freshet.plans import bindings as B
 from freshet.sources import sinks, tables
 
@@ -262,3 +263,13 @@ def test_percentiles_search_no_array_for_few_cuts(spark):
         assert "lambdafunction" not in physical(ranks.percentiles(odd_values(spark), "k", "v", [0.5]))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_percentiles_look_up_only_rows_of_parts_that_hold_them(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2).cast("string").alias("k"), F.expr("cast((id * 7919) % 20011 as double)").alias("v"))
+    got = ranks.percentiles(rows, "k", "v", [0.5, 0.9])
+    plan = physical(got)
+    assert re.search(r"Filter [^\n]*struct\(k", plan[plan.index("BroadcastHashJoin [_key") :])
+    found = rows.collect()
+    assert {r["k"]: r["q"] for r in got.collect()} == {k: pytest.approx(linear_between_ranks([r["v"] for r in found if r["k"] == k], [0.5, 0.9])) for k in ("0", "1")}
+    assert ranks.percentiles(rows.limit(0), "k", "v", [0.5]).isEmpty() and ranks.percentiles(rows.withColumn("v", F.lit(None).cast("double")), "k", "v", [0.5]).isEmpty()
